@@ -21,6 +21,13 @@ def op4_token_counts(spark, sf_dir):
     return token_counts(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op5_decontamination(spark, sf_dir):
+    """Every document's words that lie in benchmark windows, and the items they are of."""
+    from quire.llm.decontamination import contamination
+
+    return contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("items")
+
+
 def op6_packing(spark, sf_dir):
     """Every document's pieces and their places in sequences of 1024 tokens."""
     from quire.llm.packing import pack
@@ -30,8 +37,29 @@ def op6_packing(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_token_ids, op4_token_counts, op6_packing)}
+    return {f.__name__: f for f in (op3_token_ids, op4_token_counts, op5_decontamination, op6_packing)}
+
+
+#: Lower-casing of A to Z alone, as SQL.
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP5_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, least(10, len(w)) AS n, array_to_string(list_slice(w, p, p + least(10, len(w)) - 1), ' ') AS g
+       FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) t(p) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT doc_id, n, p, array_to_string(list_slice(w, p, p + n - 1), ' ') AS g
+       FROM d, sizes, unnest(range(1, len(w) - n + 2)) t(p)),
+hit AS (SELECT doc_id, item_id, dw.n, p FROM dw JOIN iw ON dw.g = iw.g AND dw.n = iw.n),
+words AS (SELECT doc_id, count(DISTINCT p + o) AS n_hit FROM hit, unnest(range(0, n)) t(o) GROUP BY doc_id),
+items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items,
+          sha256(array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',')) AS items_sha256 FROM hit GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_decontamination": OP5_SQL}
