@@ -5,6 +5,13 @@ from __future__ import annotations
 from quire.llm.shared import read_table
 
 
+def op2_quality_rules(spark, sf_dir):
+    """Every document's counts and its verdict under adaptive thresholds."""
+    from quire.llm.quality_rules import quality_rules
+
+    return quality_rules(read_table(spark, sf_dir, "documents"))
+
+
 def op3_token_ids(spark, sf_dir):
     """Every document's ids, written as Simple-8b shards in doc_id order and read back."""
     from quire.llm.pretokens import tokenizer_path
@@ -37,7 +44,7 @@ def op6_packing(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_token_ids, op4_token_counts, op5_decontamination, op6_packing)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_token_ids, op4_token_counts, op5_decontamination, op6_packing)}
 
 
 #: Lower-casing of A to Z alone, as SQL.
@@ -62,4 +69,6 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": OP5_SQL}
+    from quire.llm import quality_rules
+
+    return {"op2_quality_rules": quality_rules.oracle_sql(), "op5_decontamination": OP5_SQL}
