@@ -20,10 +20,10 @@ from quire.llm.shared import let, materialise
 #: Of each measure: the least distance between the upper quartile and the fence above, and of the fence below (or none).
 FLOORS = {
     "symbol_share": (150, None),
-    "dup_line_share": (300, None),
+    "dup_line_share": (450, None),
     "repeat_share": (200, None),
     "stutter_share": (100, None),
-    "word_length": (250, 250),
+    "word_length": (500, 250),
 }
 LEVELS = ("source", "lang", "all")
 
@@ -43,7 +43,7 @@ def _low(b: Column) -> Column:
 
 def _repeated(words: Column, n: int) -> Column:
     """Words within n-word windows that are found twice or more."""
-    windows = F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.slice(words, i, n)))).otherwise(F.array().cast("array<long>"))
+    windows = F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(n))))).otherwise(F.array().cast("array<long>"))
 
     def count(sorted_: Column) -> Column:
         twin = lambda x, j: F.coalesce(F.get(sorted_, j - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(sorted_, j + 1)["h"] == x["h"], F.lit(False))
