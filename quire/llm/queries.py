@@ -43,6 +43,13 @@ def op6_packing(spark, sf_dir):
     return pack(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op9_quality_classifier(spark, sf_dir):
+    """Every document's quality score."""
+    from quire.llm.quality_classifier import quality_scores
+
+    return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op10_jaccard_join(spark, sf_dir):
     """Every document's component under 5-word shingle similarity of 0.8 or more."""
     from quire.llm.jaccard_join import jaccard_join
@@ -51,7 +58,7 @@ def op10_jaccard_join(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_rules, op3_token_ids, op4_token_counts, op5_decontamination, op6_packing, op10_jaccard_join)}
+    return {f.__name__: f for f in (op2_quality_rules, op3_token_ids, op4_token_counts, op5_decontamination, op6_packing, op9_quality_classifier, op10_jaccard_join)}
 
 
 #: Lower-casing of A to Z alone, as SQL.
