@@ -5,6 +5,13 @@ from __future__ import annotations
 from quire.llm.shared import read_table
 
 
+def op1_secret_scan(spark, sf_dir):
+    """Every document's findings of secrets."""
+    from quire.llm.secret_scan import secret_findings
+
+    return secret_findings(read_table(spark, sf_dir, "documents"))
+
+
 def op2_quality_rules(spark, sf_dir):
     """Every document's counts and its verdict under adaptive thresholds."""
     from quire.llm.quality_rules import quality_rules
@@ -58,7 +65,7 @@ def op10_jaccard_join(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_quality_rules, op3_token_ids, op4_token_counts, op5_decontamination, op6_packing, op9_quality_classifier, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_token_ids, op4_token_counts, op5_decontamination, op6_packing, op9_quality_classifier, op10_jaccard_join)}
 
 
 #: Lower-casing of A to Z alone, as SQL.
