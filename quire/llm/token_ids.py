@@ -45,14 +45,21 @@ def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray
     n_blocks = -(-n // block)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(1, np.uint64)
-    position = np.arange(n)
-    end = np.minimum((position // block + 1) * block, n)
-    choice = np.full(n, ESCAPE, np.int8)
+    # by block and place, with places after the end, which any selector may cover
+    padded = np.zeros(n_blocks * block, np.uint64)
+    padded[:n] = values
+    need = padded.reshape(n_blocks, block)
+    choice = np.full((n_blocks, block), ESCAPE, np.int8)
     for s in range(13, -1, -1):
-        # the next value that is too wide for this selector
-        wide = np.flatnonzero(values >> np.uint64(BITS[s]))
-        limit = np.append(wide, n)[np.searchsorted(wide, position)]
-        choice[np.minimum(limit, end) - position >= np.minimum(COUNTS[s], end - position)] = s
+        fits = np.ones((n_blocks, block + int(COUNTS[s]) - 1), bool)
+        fits[:, :block] = need < np.uint64(1 << int(BITS[s]))
+        width = 1
+        while width < COUNTS[s]:  # fits: of `width` places from here on, all
+            step = min(width, int(COUNTS[s]) - width)
+            fits = fits[:, :-step] & fits[:, step:]
+            width += step
+        choice[fits] = s
+    choice = choice.reshape(-1)
     at, out, of = np.arange(n_blocks) * block, [], []
     stop, live = np.minimum(at + block, n), np.arange(n_blocks)
     while len(live):
