@@ -50,6 +50,20 @@ def op6_packing(spark, sf_dir):
     return pack(read_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op7_warc(spark, sf_dir):
+    """Every page written to Zstandard WARC archives and read back."""
+    from quire.llm.warc import warc_round_trip
+
+    return warc_round_trip(read_table(spark, sf_dir, "pages"))
+
+
+def op8_html_text(spark, sf_dir):
+    """Every page's main text."""
+    from quire.llm.html_text import extract_pages
+
+    return extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op9_quality_classifier(spark, sf_dir):
     """Every document's quality score."""
     from quire.llm.quality_classifier import quality_scores
@@ -65,7 +79,7 @@ def op10_jaccard_join(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_token_ids, op4_token_counts, op5_decontamination, op6_packing, op9_quality_classifier, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_quality_rules, op3_token_ids, op4_token_counts, op5_decontamination, op6_packing, op7_warc, op8_html_text, op9_quality_classifier, op10_jaccard_join)}
 
 
 #: Lower-casing of A to Z alone, as SQL.
@@ -89,7 +103,19 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+OP7_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+m AS (SELECT page_id, h, max(page_id) OVER (PARTITION BY h) AS head FROM p),
+bits AS (SELECT page_id, h, head, sha1(h) AS x FROM m)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (list_sum(list_transform(range(0, 5), lambda j: ((('0x' || substr(x, (5 * i + j) // 4 + 1, 1))::INT >> (3 - (5 * i + j) % 4)::INT) & 1) << (4 - j)::INT)) + 1)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id < head THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < head THEN head END AS refers_to
+FROM bits
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     from quire.llm import quality_rules
 
-    return {"op2_quality_rules": quality_rules.oracle_sql(), "op5_decontamination": OP5_SQL}
+    return {"op7_warc": OP7_SQL, "op2_quality_rules": quality_rules.oracle_sql(), "op5_decontamination": OP5_SQL}
