@@ -199,3 +199,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
         F.sha2(F.array_join(items_of, ",").cast("binary"), 256).alias("items_sha256"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
+
+
+def clean(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
+    """The rows of docs, with all their columns, whose id no contaminated text has (rows without an id stay)."""
+    hit = contamination(docs, items, window, k).where("contaminated").select(F.col("doc_id").alias("hit")).distinct()
+    return docs.join(hit, docs["doc_id"] == F.col("hit"), "left_anti")

@@ -336,3 +336,14 @@ def jaccard_join(docs: DataFrame, words_each: int = 5, percent: int = 80) -> Dat
     named = joined.select("node", "root").join(heads, "root").select("node", "component_id")
     out = documents.join(named, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, whose id is the least of their component.
+
+    Rows of one id count as one document, of which one row stays; rows without an id stay as they are.
+    """
+    joined = jaccard_join(docs, words_each, percent)
+    heads = joined.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("head")).distinct()
+    named = docs.join(heads, docs["doc_id"] == F.col("head"), "left_semi").dropDuplicates(["doc_id"])
+    return named.unionByName(docs.where(F.col("doc_id").isNull()))

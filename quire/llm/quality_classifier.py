@@ -197,6 +197,20 @@ def score(docs: DataFrame, model: AttentionModel) -> DataFrame:
     return _rows(docs).mapInArrow(judge, "doc_id long, score double")
 
 
+def accepted(docs: DataFrame, model: AttentionModel, cut: float = 0.3) -> DataFrame:
+    """The rows of docs, with all their columns, whose text scores `cut` or more."""
+
+    def judge(batches):
+        for batch in batches:
+            data, offsets = flat(batch.column(batch.schema.get_field_index("text")))
+            good = [np.zeros(0, bool)]
+            for first, last in slices(offsets, CHUNK):
+                good.append(model.scores(*passage_features(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])) >= cut)
+            yield batch.filter(pa.array(np.concatenate(good)))
+
+    return docs.mapInArrow(judge, docs.schema)
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = 0.3, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document."""
     out = score(docs, train(docs, labels, sample))
