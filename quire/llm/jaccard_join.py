@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.components import components
-from quire.llm.shared import flat, materialise, mix, slices
+from quire.llm.shared import flat, materialise, mix, ragged, slices
 from quire.llm.words import UNSPACED, gram_hashes, spans, word_hashes
 
 CHUNK = 2 << 20
@@ -245,59 +245,94 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "points_a", "points_b", "hashes_a", "hashes_b").mapInArrow(test, "a long, b long")
 
 
-class CountTree:
-    """An R-tree over count vectors, packed in the order of size and counts; boxes keep their upper corner and least size."""
+class CountTrees:
+    """R-trees over the count vectors of many groups at once, one tree a group.
 
-    def __init__(self, points: np.ndarray):
+    Points are packed in the order of component and size, FANOUT to a box. A box keeps its upper corner, its least
+    size and its component if all its points are of one. Trees grow until no group has more than FANOUT boxes.
+    """
+
+    def __init__(self, group: np.ndarray, root: np.ndarray, points: np.ndarray):
+        """group: ascending numbers; the rows of a group lie together."""
         sizes = points.sum(axis=1)
-        self.order = np.lexsort((*points.T[:8], sizes))
-        level = points[self.order]
-        self.levels = [(level, sizes[self.order])]
-        while len(level) > FANOUT:
-            cut = np.arange(0, len(level), FANOUT)
-            level = np.maximum.reduceat(level, cut, axis=0)
-            self.levels.append((level, np.minimum.reduceat(self.levels[-1][1], cut)))
-
-    def near(self, points: np.ndarray, percent: int, block: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
-        """(query, point) numbers of all pairs that the bound allows, from the root down."""
+        self.order = np.lexsort((sizes, root, group))
+        group, root = group[self.order], root[self.order]
+        self.levels = [(points[self.order], sizes[self.order], root, np.ones(len(root), bool), None)]
+        while True:
+            start = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            count = np.diff(np.append(start, len(group)))
+            if count.max() <= FANOUT:
+                break
+            cut = ragged(np.zeros(len(count), np.int64), -(-count // FANOUT)) * FANOUT + np.repeat(start, -(-count // FANOUT))
+            corner, least, roots, one, _ = self.levels[-1]
+            same = np.append(False, (roots[1:] == roots[:-1]) & one[1:])
+            same[cut] = one[cut]
+            below = np.diff(np.append(cut, len(group)))
+            self.levels.append((np.maximum.reduceat(corner, cut, axis=0), np.minimum.reduceat(least, cut), roots[cut], np.logical_and.reduceat(same, cut), (cut, below)))
+            group = group[cut]
+        self.tops = group[start], start, count
+
+    def near(self, group: np.ndarray, root: np.ndarray, points: np.ndarray, percent: int, block: int = 60_000) -> tuple[np.ndarray, np.ndarray]:
+        """(query, point) numbers of the pairs in one group, of different components, that the bound allows, from the roots down."""
         sizes = points.sum(axis=1)
-        q = np.repeat(np.arange(len(points)), len(self.levels[-1][0]))
-        box = np.tile(np.arange(len(self.levels[-1][0])), len(points))
-        for depth in range(len(self.levels) - 1, -1, -1):
-            corners, least = self.levels[depth]
-            kept = []
-            for i in range(0, len(q), step := max(1, block // LANES)):
-                a, b = q[i : i + step], box[i : i + step]
-                bound = np.minimum(points[a], corners[b]).sum(axis=1)
-                kept.append((100 + percent) * bound >= percent * (sizes[a] + least[b]))
-            on = np.concatenate([np.zeros(0, bool), *kept])
-            q, box = q[on], box[on]
-            if depth:
-                below = len(self.levels[depth - 1][0])
-                q = np.repeat(q, FANOUT)
-                box = np.repeat(box * FANOUT, FANOUT) + np.tile(np.arange(FANOUT), len(box))
-                q, box = q[box < below], box[box < below]
-        return q, self.order[box]
+        tree = np.searchsorted(self.tops[0], group)
+        found = (tree < len(self.tops[0])) & (self.tops[0][np.minimum(tree, len(self.tops[0]) - 1)] == group)
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for part in np.array_split(np.flatnonzero(found), max(1, int(found.sum()) * FANOUT // block)):
+            n = self.tops[2][tree[part]]
+            q, box = np.repeat(part, n), ragged(self.tops[1][tree[part]], n)
+            for depth in range(len(self.levels) - 1, -1, -1):
+                corners, least, roots, one, below = self.levels[depth]
+                other = ~one[box] | (roots[box] != root[q])
+                q, box = q[other], box[other]
+                bounds = [np.minimum(points[q[i : i + block]], corners[box[i : i + block]]).sum(axis=1) for i in range(0, len(q), block)]
+                bound = np.concatenate([np.zeros(0, np.int64), *bounds])
+                on = (100 + percent) * bound >= percent * (sizes[q] + least[box])
+                q, box = q[on], box[on]
+                if below:
+                    first, n = below[0][box], below[1][box]
+                    q, box = np.repeat(q, n), ragged(first, n)
+            out.append((q, self.order[box]))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def open_pairs(grouped: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes of different components that share a prefix shingle and that the R-tree's bound allows."""
 
-    def join(table: pa.Table) -> pa.Table:
+    def pairs_of(table: pa.Table) -> pa.RecordBatch | None:
+        """Of whole groups, in the order of their keys."""
+        keys = np.stack([table[c].to_numpy() for c in KEY], axis=1)
+        group = np.cumsum(np.append(False, (keys[1:] != keys[:-1]).any(axis=1)))
         node, root, side = (table[n].to_numpy() for n in ("node", "root", "side"))
-        points = np.frombuffer(b"".join(table["points"].to_pylist()), "<u4").reshape(-1, LANES).astype(np.int64)
+        points = np.frombuffer(b"".join(table["points"].to_pylist()), "<u4").reshape(-1, LANES).astype(np.int32)
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         if not len(left) or not len(right):
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        q, p = CountTree(points[left]).near(points[right], percent)
-        a, b = left[p], right[q]
-        on = root[a] != root[b]
-        a, b = node[a[on]], node[b[on]]
+            return None
+        q, p = CountTrees(group[left], root[left], points[left]).near(group[right], root[right], points[right], percent)
+        a, b = node[left[p]], node[right[q]]
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
+    def join(batches):
+        held = None  # rows from the start of a group on; a group has 2 parts at most
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            keys = np.stack([held[c].to_numpy() for c in KEY], axis=1)
+            change = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1))
+            if len(change):
+                last = int(change[-1]) + 1
+                if (out := pairs_of(held.slice(0, last))) is not None:
+                    yield out
+                held = held.slice(last)
+        if held is not None and len(held) and (out := pairs_of(held)) is not None:
+            yield out
+
+    KEY = ("shingle", "k", "i", "j")
     members = grouped.select("shingle", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    split = members.groupBy("shingle").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2").select("shingle")
+    # many shingles of a shared passage have the same nodes: one of them is enough
+    of = members.groupBy("shingle").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2"))
+    split = of.where("r1 <> r2").groupBy("c", "h1", "h2").agg(F.min("shingle").alias("shingle")).select("shingle")
     # of sizes whose ratio allows a link, the classes are equal or neighbours
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent) * (1 + 1e-9)))).cast("long")
     members = members.join(split, "shingle", "left_semi").withColumn("k", size_class)
@@ -314,7 +349,9 @@ def open_pairs(grouped: DataFrame, roots: DataFrame, sets: DataFrame, percent: i
     down = F.transform(numbers(F.coalesce("parts_below", F.lit(0))), lambda j: task(F.col("k") - 1, -1 - j, F.col("salt"), F.lit(1)))
     tasks = dealt.withColumn("salt", salt).select("shingle", "node", "root", F.inline(F.concat(own, up, down)))
     tasks = tasks.join(sets.select("node", "points"), "node")
-    return tasks.groupBy("shingle", "k", "i", "j").applyInArrow(join, "a long, b long").distinct()
+    parts = int(grouped.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = tasks.select(*KEY, "side", "node", "root", "points").repartition(parts, *KEY).sortWithinPartitions(*KEY)
+    return dealt.mapInArrow(join, "a long, b long").distinct()
 
 
 def jaccard_join(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataFrame:
