@@ -1,0 +1,474 @@
+"""Validation: declared constraints on properties, rules on links and bodies, rules of document families, fixes.
+
+Violations are rows (file, rule_id, severity, line, message). Rules over one note's lines run in batches of notes;
+rules across notes are joins.
+"""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass, field
+from datetime import date
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from quire.functions.markdown import FENCE, TASK, heading, is_date, is_datetime, is_datetime_tz, link_spans
+from quire.functions.text import SEMVER, damerau, glob_regex
+from quire.operators.aggregate import repeated_numbers
+from quire.sources.vault import child, good
+
+VIOLATION = "file string, rule_id string, severity string, line int, message string"
+KINDS = ("string", "date", "datetime", "datetime-tz", "number", "boolean", "list", "enum", "string-list")
+
+
+@dataclass
+class Schema:
+    """Declared types; a type's own constraints win over the default's, requirements unite in order."""
+
+    default: dict = field(default_factory=dict)
+    types: dict[str, dict] = field(default_factory=dict)
+    bind: dict[str, str] = field(default_factory=dict)
+
+    @classmethod
+    def of(cls, config: dict) -> Schema:
+        schema = cls(config.get("default", {}), config.get("types", {}), config.get("bind", {}))
+        for name, t in [("default", schema.default), *schema.types.items()]:
+            for prop, c in t.get("properties", {}).items():
+                if c.get("type", "string") not in KINDS:
+                    raise ValueError(f"{name}.{prop}: unknown kind {c['type']}")
+                if c.get("type") == "enum" and not c.get("values"):
+                    raise ValueError(f"{name}.{prop}: an enum needs values")
+                for key in ("pattern", "item-pattern"):
+                    if key in c:
+                        re.compile(c[key])
+        return schema
+
+    def __bool__(self) -> bool:
+        return bool(self.default or self.types)
+
+    def effective(self, name: str | None) -> dict:
+        own = self.types.get(name or "", {})
+        required = list(dict.fromkeys([*self.default.get("required", []), *own.get("required", [])]))
+        properties = {**self.default.get("properties", {}), **own.get("properties", {})}
+        declared = bool(properties)
+        for r in required:
+            properties.setdefault(r, {"type": "string", "implied": True})
+        return {"required": required, "properties": properties, "declared": declared, "sections": [*self.default.get("required-sections", []), *own.get("required-sections", [])], "defaults": own.get("defaults", {}), "template": own.get("template")}
+
+
+def with_type(notes: DataFrame, schema: Schema) -> DataFrame:
+    """Adds own_type (the property), bound (by path) and schema_type (which of them is declared, else null)."""
+    prop = F.get(F.filter("properties", lambda p: p["name"] == "type"), F.lit(0))
+    own = F.when(prop["type"].isin("text", "date", "datetime"), F.get(prop["items"], F.lit(0))["text"])
+    bound = F.lit(None).cast("string")
+    for glob, name in reversed(schema.bind.items()):
+        if name in schema.types:
+            bound = F.when(F.col("rel_path").rlike(glob_regex(glob)), name).otherwise(bound)
+    known = F.lit(False) if not schema.types else F.coalesce(own.isin(*schema.types), F.lit(False))
+    return notes.withColumns({"own_type": own, "bound": bound, "schema_type": F.when(own.isNotNull(), F.when(known, own)).otherwise(bound), "type_row": prop})
+
+
+def _rows(df: DataFrame, rule: str, severity: Column | str, message: Column, line=1) -> DataFrame:
+    sev = F.lit(severity) if isinstance(severity, str) else severity
+    return df.select(F.col("rel_path").alias("file"), F.lit(rule).alias("rule_id"), sev.alias("severity"), (F.lit(line) if isinstance(line, int) else line).cast("int").alias("line"), message.alias("message"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def constraint_rows(schema: Schema) -> list[tuple]:
+    out = []
+    for name in [None, *schema.types]:
+        e = schema.effective(name)
+        for prop, c in e["properties"].items():
+            out.append((name or "", prop, c.get("type", "string"), c.get("pattern"), c.get("min"), c.get("max"), c.get("values"), c.get("item-pattern"), prop in e["required"], bool(c.get("implied"))))
+    return out
+
+
+def schema_violations(notes: DataFrame, schema: Schema, strict: bool = False) -> DataFrame:
+    """Findings under the rule SCHEMA, at line 1: one at most for each property."""
+    spark = notes.sparkSession
+    soft = "error" if strict else "warning"
+    typed = with_type(good(notes), schema)
+    parts = [
+        _rows(typed.where("own_type IS NULL AND type_row IS NOT NULL AND type_row.type <> 'null'"), "SCHEMA", "error", F.lit("type must be text")),
+        _rows(typed.where("own_type IS NULL AND type_row IS NULL AND bound IS NULL"), "SCHEMA", soft, F.lit("no type")),
+        _rows(typed.where("own_type IS NOT NULL AND bound IS NOT NULL AND own_type <> bound"), "SCHEMA", "warning", F.concat(F.lit("type is "), F.col("own_type"), F.lit(" where the path asks for "), F.col("bound"))),
+        _rows(typed.where(F.exists("tags", lambda t: t.contains(","))), "SCHEMA", "warning", F.lit("a tag holds a comma")),
+    ]
+    columns = "schema_type string, name string, kind string, pattern string, low int, high int, values array<string>, item_pattern string, required boolean, implied boolean"
+    rules = F.broadcast(spark.createDataFrame(constraint_rows(schema), columns))  # as many rows as the settings declare
+    keyed = typed.select("rel_path", F.coalesce("schema_type", F.lit("")).alias("schema_type"), "properties")
+    props = keyed.select("rel_path", "schema_type", F.explode("properties").alias("p")).select("rel_path", "schema_type", "p.*")
+    empty = F.col("json").isin("null", "[]")
+    asked = keyed.select("rel_path", "schema_type", F.transform("properties", lambda p: p["name"]).alias("names")).join(rules.where("required"), "schema_type")
+    parts.append(_rows(asked.where(~F.array_contains("names", F.col("name"))), "SCHEMA", "error", F.concat(F.lit("missing property: "), F.col("name"))))
+    both = props.join(rules, ["schema_type", "name"])
+    parts.append(_rows(both.where(F.col("required") & empty), "SCHEMA", "error", F.concat(F.lit("empty property: "), F.col("name"))))
+    text = F.get("items", F.lit(0))["text"]
+    plain = F.col("type").isin("text", "date", "datetime", "datetime-tz")
+    kind = F.col("kind")
+    # a quoted date or time is text of that shape
+    whole_date = F.coalesce(text.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(text, F.lit("yyyy-MM-dd")).isNotNull(), F.lit(False))
+    clock = r"T([01]\d|2[0-3]):[0-5]\d:[0-5]\d"
+    day = F.try_to_date(F.substring(text, 1, 10), F.lit("yyyy-MM-dd")).isNotNull()
+    problem = (
+        F.when(kind == "string", F.when(~plain, F.lit("must be text")).when(F.length(text) < F.col("low"), F.lit("is too short")).when(F.length(text) > F.col("high"), F.lit("is too long")).when(F.col("pattern").isNotNull() & ~F.expr("regexp_like(items[0].text, pattern)"), F.lit("doesn't have the pattern")))
+        .when(kind == "date", F.when(~(plain & whole_date), F.lit("must be a date")))
+        .when(kind == "datetime", F.when(~(plain & F.coalesce(text.rlike(rf"^\d{{4}}-\d{{2}}-\d{{2}}{clock}$") & day, F.lit(False))), F.lit("must be a date with a time")))
+        .when(kind == "datetime-tz", F.when(~(plain & F.coalesce(text.rlike(rf"^\d{{4}}-\d{{2}}-\d{{2}}{clock}(Z|[+-]([01]\d|2[0-3]):[0-5]\d)$") & day, F.lit(False))), F.lit("must be a time with its zone")))
+        .when(kind == "number", F.when(F.col("type") != "number", F.lit("must be a number")))
+        .when(kind == "boolean", F.when(F.col("type") != "checkbox", F.lit("must be true or false")))
+        .when(kind == "list", F.when(F.col("type") != "list", F.lit("must be a list")))
+        .when(kind == "enum", F.when(~(plain & F.coalesce(F.array_contains("values", text), F.lit(False))), F.lit("isn't one of the values")))
+        .when(kind == "string-list", F.when(F.col("type") != "list", F.lit("must be a list")).when(F.exists("items", lambda i: i["kind"] != "text"), F.lit("must hold texts only")).when(F.col("item_pattern").isNotNull() & F.exists("items", lambda i: ~F.regexp_like(i["text"], F.col("item_pattern"))), F.lit("holds an item without the pattern")))
+    )
+    parts.append(_rows(both.where(~empty & ~F.col("implied")).withColumn("problem", problem).where("problem IS NOT NULL"), "SCHEMA", "error", F.concat(F.col("name"), F.lit(" "), F.col("problem"))))
+    closed = [n or "" for n in [None, *schema.types] if schema.effective(n)["declared"]]
+    if closed:
+        open_ = props.where(F.col("schema_type").isin(*closed) & ~F.col("name").isin("type", "tags", "title")).join(rules.select("schema_type", "name"), ["schema_type", "name"], "left_anti")
+        parts.append(_rows(open_, "SCHEMA", soft, F.concat(F.lit("undeclared property: "), F.col("name"))))
+    wanted = [(n or "", s) for n in [None, *schema.types] if (s := schema.effective(n)["sections"])]
+    if wanted:
+        order = spark.createDataFrame(wanted, "schema_type string, wanted array<string>")
+        # a cursor through the wanted headings, moved on by the note's headings
+        fold = typed.select("rel_path", F.coalesce("schema_type", F.lit("")).alias("schema_type"), F.transform("sections", lambda s: F.concat(F.repeat(F.lit("#"), s["level"]), F.lit(" "), F.coalesce(s["heading"], F.lit("")))).alias("held")).join(F.broadcast(order), "schema_type")
+        same = lambda w, h: (w == h) | (w == F.regexp_replace(h, "^#+ ", ""))
+        reached = F.aggregate("held", F.lit(0), lambda i, h: F.when(same(F.get("wanted", i), h), i + 1).otherwise(i))
+        parts.append(_rows(fold.withColumn("i", reached).where("i < size(wanted)"), "SCHEMA", "error", F.concat(F.lit("missing section, or out of order: "), F.get("wanted", F.col("i")))))
+    return _union(parts)
+
+
+def parse_violations(notes: DataFrame) -> DataFrame:
+    return _rows(notes.where("parse_error IS NOT NULL"), "NOTE005", "error", F.concat(F.lit("frontmatter: "), F.col("parse_error")))
+
+
+def date_violations(notes: DataFrame, keys: tuple[str, ...] = ("date", "created", "modified", "updated"), times: tuple[str, ...] = ()) -> DataFrame:
+    """NOTE003: properties that hold no date; NOTE004: ones declared as times that hold none."""
+    props = child(good(notes), "properties").where("type NOT IN ('null', 'list')").withColumn("text", F.get("items", F.lit(0))["text"])
+    day = F.try_to_date(F.substring("text", 1, 10), F.lit("yyyy-MM-dd")).isNotNull()
+    shape = F.col("type").isin("date", "datetime", "datetime-tz")
+    out = _rows(props.where(F.col("name").isin(*keys) & ~(shape & day)), "NOTE003", "warning", F.concat(F.col("name"), F.lit(" holds no date")))
+    if times:
+        out = out.unionByName(_rows(props.where(F.col("name").isin(*times) & ~(F.col("type").isin("datetime", "datetime-tz") & day)), "NOTE004", "warning", F.concat(F.col("name"), F.lit(" holds no date with a time"))))
+    return out
+
+
+def done_with_open_tasks(notes: DataFrame, schema: Schema) -> DataFrame:
+    """NOTE002: completed notes with open tasks, where the schema's status knows `completed`."""
+    known = any("completed" in t.get("properties", {}).get("status", {}).get("values", []) for t in [schema.default, *schema.types.values()])
+    done = F.exists("properties", lambda p: (p["name"] == "status") & F.exists(p["items"], lambda i: i["text"] == "completed"))
+    return _rows(good(notes).where(done & F.exists("tasks", lambda t: ~t["done"])) if known else good(notes).limit(0), "NOTE002", "error", F.lit("completed, but tasks are open"))
+
+
+def link_violations(resolved: DataFrame, front: DataFrame | None = None) -> DataFrame:
+    """NOTE006: links in bodies that lead nowhere."""
+    return _rows(resolved.where("verdict = 'broken' AND line > 1"), "NOTE006", "warning", F.concat(F.lit("broken link: "), F.col("target")), F.col("line"))
+
+
+# Rules over the lines of one note. Each yields (rule, severity, line, message).
+
+#: Public rule names and what they are on by default.
+BODY_RULES = ("MD001", "MD009", "MD010", "MD011", "MD012", "MD018", "MD019", "MD022", "MD023", "MD031", "MD034", "MD040", "MD042", "MD047", "NOTE001")
+
+
+def body_findings(lines: list[dict], text: str):
+    body = [x for x in lines if x["kind"] != "front"]
+    level, blank, inside = 0, 0, ""
+    for k, x in enumerate(body):
+        raw, n, code = x["raw"], x["line"], x["kind"] == "code"
+        before = body[k - 1]["raw"] if k else ""
+        after = body[k + 1]["raw"] if k + 1 < len(body) else ""
+        opens = code and not inside and FENCE.match(raw)
+        if code:
+            m = FENCE.match(raw)
+            if opens:
+                inside = m[1]
+                if k and before.strip():
+                    yield "MD031", "warning", n, "a code block needs a blank line before it"
+                if not m[2].strip():
+                    yield "MD040", "warning", n, "a code block needs a language"
+            elif m and inside and m[1][0] == inside[0] and len(m[1]) >= len(inside) and not m[2].strip():
+                inside = ""
+                if after.strip():
+                    yield "MD031", "warning", n, "a code block needs a blank line after it"
+            continue
+        blank = blank + 1 if not raw.strip() else 0
+        if blank == 2:
+            yield "MD012", "warning", n, "more than one blank line"
+        trailing = len(raw) - len(raw.rstrip(" "))
+        if trailing and trailing != 2 and raw.strip() or trailing and not raw.strip():
+            yield "MD009", "warning", n, "trailing spaces"
+        if "\t" in raw:
+            yield "MD010", "warning", n, "a hard tab"
+        if x["kind"] != "body":
+            continue
+        if re.search(r"\([^()]+\)\[[^\]^][^\]]*\]", x["cleaned"]):
+            yield "MD011", "warning", n, "a link the wrong way round"
+        if re.match(r"#{1,6}[^#\s]", raw) and not re.match(r"#[\w/-]+(\s|$)", raw):
+            yield "MD018", "warning", n, "no space after the heading's mark"
+        if re.match(r"#{1,6}[ \t]{2,}\S", raw):
+            yield "MD019", "warning", n, "several spaces after the heading's mark"
+        if re.match(r"[ \t]+#{1,6}[ \t]\S", raw) and not re.match(r"\s{4,}", raw):
+            yield "MD023", "warning", n, "a heading must start its line"
+        if h := heading(raw):
+            if level and h[0] > level + 1:
+                yield "MD001", "warning", n, f"heading level {h[0]} after level {level}"
+            level = h[0]
+            if k and before.strip() or after.strip():
+                yield "MD022", "warning", n, "a heading needs blank lines around it"
+        spans = link_spans(x["cleaned"], x["raw"], external=True)
+        for m in re.finditer(r"https?://[^\s<>)\]]+", x["cleaned"]):
+            if not any(s.start <= m.start() < s.end for s in spans) and x["cleaned"][m.start() - 1 : m.start()] != "<":
+                yield "MD034", "warning", n, "a bare address"
+        if re.search(r"(?<!!)\[[^\]]*\]\(\s*(?:#|<>)?\s*\)", x["cleaned"]):
+            yield "MD042", "warning", n, "a link to nothing"
+        if re.match(r"\s*\[[ xX]\] ", raw) and not TASK.match(raw):
+            yield "NOTE001", "error", n, "a checkbox outside a list"
+    if text and not text.endswith("\n"):
+        yield "MD047", "warning", lines[-1]["line"] if lines else 1, "the file must end with a line end"
+
+
+CATEGORIES = ("Added", "Changed", "Deprecated", "Removed", "Fixed", "Security")
+
+
+def changelog_findings(lines: list[dict]):
+    body = [x for x in lines if x["kind"] == "body"]
+    heads = [(x["line"], *heading(x["raw"])) for x in body if heading(x["raw"])]
+    if not heads or heads[0][1] != 1 or heads[0][2] != "Changelog":
+        yield "CHANGELOG001", "warning", 1, "the title must be Changelog"
+    labels = {m[1].lower() for x in body if (m := re.match(r"\[([^\]]+)\]:\s", x["raw"]))}
+    before = None
+    for i, (line, level, text) in enumerate(heads):
+        end = heads[i + 1][0] if i + 1 < len(heads) else 1 << 30
+        if level == 2:
+            m = re.fullmatch(r"\[?([^\]\s]+)\]?(?:\s+-\s+(\S+))?(?:\s+\[YANKED\])?", text)
+            if not m or m[1] != "Unreleased" and not (re.match(SEMVER, m[1]) and m[2] and is_date(m[2])):
+                yield "CHANGELOG002", "warning", line, f"not a version heading: {text}"
+                continue
+            if m[1] == "Unreleased":
+                if any(h[1] == 2 for h in heads[:i]):
+                    yield "CHANGELOG006", "warning", line, "Unreleased must come first"
+            else:
+                version = [int(v) for v in re.findall(r"\d+", m[1])[:3]]
+                if before and version >= before[0]:
+                    yield "CHANGELOG004", "warning", line, "versions must fall"
+                if before and m[2] > before[1]:
+                    yield "CHANGELOG005", "warning", line, "dates must fall"
+                before = (version, m[2])
+            if text.startswith("[") and m[1].lower() not in labels:
+                yield "CHANGELOG008", "warning", line, f"no link definition for {m[1]}"
+        if level == 3:
+            if text not in CATEGORIES:
+                yield "CHANGELOG003", "warning", line, f"not a category: {text}"
+            if not any(line < x["line"] < end and x["raw"].strip() for x in body):
+                yield "CHANGELOG007", "warning", line, "an empty section"
+
+
+def okf_findings(path: str, lines: list[dict]):
+    name = path.rsplit("/", 1)[-1]
+    body = [x for x in lines if x["kind"] == "body"]
+    heads = [(x["line"], *heading(x["raw"])) for x in body if heading(x["raw"])]
+    if name == "index.md":
+        if not heads or heads[0][1] != 1:
+            yield "OKF001", "warning", 1, "an index starts with its title"
+        for x in body:
+            if re.match(r"\s*[-*+] ", x["raw"]) and not link_spans(x["cleaned"], x["raw"], external=True):
+                yield "OKF002", "warning", x["line"], "an index entry without a link"
+        return
+    if name == "log.md":
+        days = [(n, t) for n, level, t in heads if level == 2]
+        for n, t in days:
+            if not is_date(t[:10]):
+                yield "OKF003", "warning", n, "a log heading must be a date"
+        for (_, a), (n, b) in zip(days, days[1:], strict=False):
+            if b[:10] > a[:10]:
+                yield "OKF004", "warning", n, "the newest entry comes first"
+        return
+    for i, (n, level, t) in enumerate(heads):
+        end = heads[i + 1][0] if i + 1 < len(heads) else 1 << 30
+        below = i + 1 < len(heads) and heads[i + 1][1] > level
+        if not below and not any(n < x["line"] < end and x["raw"].strip() for x in lines):
+            yield "OKF005", "warning", n, f"an empty section: {t}"
+
+
+def skill_findings(path: str, properties: dict[str, str], lines: list[dict]):
+    name = properties.get("name", "")
+    if name.lower() in ("skill", "agent", "assistant", "system", "default"):
+        yield "SKILL001", "error", 1, "the name is reserved"
+    folder = path.rsplit("/", 2)[-2] if path.count("/") else ""
+    if folder and name != folder:
+        yield "SKILL002", "warning", 1, "the name must be its folder's"
+    if sum(x["kind"] != "front" for x in lines) > 500:
+        yield "SKILL003", "warning", 1, "more than 500 lines"
+
+
+def body_violations(notes: DataFrame, rules: tuple[str, ...] = BODY_RULES, profiles: tuple[str, ...] = ()) -> DataFrame:
+    """Findings of the line rules, and of the profiles changelog, okf and skills where they apply by file name."""
+
+    def check(batches):
+        schema = pa.schema([("file", pa.string()), ("rule_id", pa.string()), ("severity", pa.string()), ("line", pa.int32()), ("message", pa.string())])
+        for batch in batches:
+            out = []
+            for path, lines, text, props in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                lines, found = lines or [], []
+                found += [f for f in body_findings(lines, text or "") if f[0] in rules]
+                name = path.rsplit("/", 1)[-1]
+                if "changelog" in profiles and name.lower() == "changelog.md":
+                    found += changelog_findings(lines)
+                if "okf" in profiles:
+                    found += okf_findings(path, lines)
+                if "skills" in profiles and name == "SKILL.md":
+                    found += skill_findings(path, {p["name"]: p["items"][0]["text"] for p in props or () if p["items"]}, lines)
+                out += [{"file": path, "rule_id": r, "severity": s, "line": n, "message": m} for r, s, n, m in found]
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    return good(notes).select("rel_path", "lines", "text", "properties").mapInArrow(check, VIOLATION)
+
+
+def madr_violations(notes: DataFrame) -> DataFrame:
+    """MADR001: a folder's number used twice; MADR002: superseded by a number that its folder lacks."""
+    twice = repeated_numbers(notes.select("rel_path"))
+    out = _rows(twice, "MADR001", "warning", F.concat(F.lit("number used twice: "), F.col("number")))
+    folder = F.regexp_extract("rel_path", "^(?:(.*)/)?[^/]*$", 1)
+    numbers = notes.select(folder.alias("dir"), F.regexp_extract("rel_path", r"(?:^|/)([0-9]{4})-[^/]*$", 1).alias("number"), F.col("rel_path").alias("other")).where("number <> ''")
+    status = child(good(notes), "properties").where("name = 'status'").select("rel_path", folder.alias("dir"), F.regexp_extract(F.get("items", F.lit(0))["text"], r"(?i)superseded by.*?([0-9]{4})", 1).alias("number")).where("number <> ''")
+    missing = status.join(numbers, (status["dir"] == numbers["dir"]) & (status["number"] == numbers["number"]) & (status["rel_path"] != numbers["other"]), "left_anti")
+    return out.unionByName(_rows(missing, "MADR002", "warning", F.concat(F.lit("no such record: "), F.col("number"))))
+
+
+def citation_violations(resolved: DataFrame) -> DataFrame:
+    """OKF006: links to files that aren't there."""
+    return _rows(resolved.where("verdict = 'broken'"), "OKF006", "warning", F.concat(F.lit("citation leads nowhere: "), F.col("target")), F.col("line"))
+
+
+@dataclass
+class LintOptions:
+    strict: bool = False
+    ignore: list[str] = field(default_factory=list)
+    overrides: dict[str, dict] = field(default_factory=dict)
+    profiles: tuple[str, ...] = ()
+
+
+def overridden(violations: DataFrame, overrides: dict[str, dict]) -> DataFrame:
+    """Without rules switched off, and with the severities that settings give."""
+    off = [r for r, o in overrides.items() if o.get("enabled") is False]
+    out = violations.where(~F.col("rule_id").isin(*off)) if off else violations
+    severity = F.col("severity")
+    for r, o in overrides.items():
+        if "severity" in o:
+            severity = F.when(F.col("rule_id") == r, o["severity"]).otherwise(severity)
+    return out.withColumn("severity", severity)
+
+
+def lint(notes: DataFrame, schema: Schema, resolved: DataFrame | None = None, options: LintOptions | None = None) -> DataFrame:
+    """All findings, by file, line and rule."""
+    o = options or LintOptions()
+    parts = [parse_violations(notes), body_violations(notes, profiles=o.profiles), date_violations(notes)]
+    if schema:
+        parts += [schema_violations(notes, schema, o.strict), done_with_open_tasks(notes, schema)]
+    if resolved is not None:
+        parts.append(link_violations(resolved))
+        if "okf" in o.profiles:
+            parts.append(citation_violations(resolved))
+    if "madr" in o.profiles:
+        parts.append(madr_violations(notes))
+    out = overridden(_union(parts), o.overrides)
+    for glob in o.ignore:
+        out = out.where(~F.col("file").rlike(glob_regex(glob)))
+    return out.orderBy("file", "line", "rule_id", "message")
+
+
+def rule_groups(violations: DataFrame, most: int = 20) -> DataFrame:
+    """(rule_id, severity, total, files, shown, limited): the first `most` findings of each rule with its totals."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("rule_id").orderBy("file", "line", "message")
+    ranked = violations.withColumn("_rank", F.row_number().over(w))
+    shown = F.array_sort(F.collect_list(F.when(F.col("_rank") <= most, F.struct("file", "line", "message"))))
+    out = ranked.groupBy("rule_id").agg(F.max("severity").alias("severity"), F.count("*").alias("total"), F.count_distinct("file").alias("files"), shown.alias("shown"))
+    return out.withColumn("limited", F.col("total") > most).orderBy("rule_id")
+
+
+def counts(violations: DataFrame) -> DataFrame:
+    """One row: errors, warnings, files_with_issues."""
+    return violations.agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"), F.count_distinct("file").alias("files_with_issues"))
+
+
+def fixed_properties(path: str, properties: dict, schema: Schema, today: str | None = None) -> dict:
+    """Properties after the repairs, in their order: type by path, defaults, enum typos, dates, tags with commas."""
+    props = dict(properties)
+    if "type" not in props:
+        for glob, name in schema.bind.items():
+            if name in schema.types and re.match(glob_regex(glob), path):
+                props["type"] = name
+                break
+    own = props.get("type")
+    e = schema.effective(own if isinstance(own, str) else None)
+    for name, value in e["defaults"].items():
+        if name not in props:
+            props[name] = (today or date.today().isoformat()) if value == "$today" else value
+    for name, c in e["properties"].items():
+        value = props.get(name)
+        if c.get("type") == "enum" and isinstance(value, str) and value not in c["values"]:
+            near = sorted((damerau(value.lower(), v.lower()), v) for v in c["values"])
+            if near and near[0][0] <= 2 and (len(near) == 1 or near[1][0] > near[0][0]):
+                props[name] = near[0][1]
+        if c.get("type") == "date" and isinstance(value, str) and not is_date(value) and (m := re.fullmatch(r"\s*(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})\s*", value)):
+            whole = f"{m[1]}-{int(m[2]):02}-{int(m[3]):02}"
+            props[name] = whole if is_date(whole) else value
+    tags = props.get("tags")
+    if isinstance(tags, list) and any(isinstance(t, str) and "," in t for t in tags):
+        props["tags"] = list(dict.fromkeys(x for t in tags for x in ([y.strip() for y in t.split(",") if y.strip()] if isinstance(t, str) else [t])))
+    elif isinstance(tags, str) and "," in tags:
+        props["tags"] = list(dict.fromkeys(y.strip() for y in tags.split(",") if y.strip()))
+    return props
+
+
+def fixed_body(text: str, passes: int = 5) -> str:
+    """The text after safe repairs of lines: spaces, tabs, blank lines, headings' marks, bare addresses, the last line end."""
+    from quire.functions.markdown import parse_note
+
+    for _ in range(passes):
+        note = parse_note(text)
+        found: dict[int, set[str]] = {}
+        for rule, _, line, _ in body_findings([vars(x) for x in note.lines], text):
+            found.setdefault(line, set()).add(rule)
+        rows, out = text.split("\n"), []
+        for n, raw in enumerate(rows, 1):
+            rules = found.get(n, set())
+            if "MD012" in rules:
+                continue
+            if "MD009" in rules:
+                raw = raw.rstrip(" ")
+            if "MD010" in rules:
+                raw = raw.replace("\t", "    ")
+            if "MD018" in rules:
+                raw = re.sub(r"^(#{1,6})", r"\1 ", raw)
+            if "MD019" in rules:
+                raw = re.sub(r"^(#{1,6})[ \t]+", r"\1 ", raw)
+            if "MD023" in rules:
+                raw = raw.lstrip()
+            if "MD034" in rules:
+                raw = re.sub(r"(?<![<(\[])(https?://[^\s<>)\]]+)", r"<\1>", raw)
+            if "NOTE001" in rules:
+                raw = re.sub(r"^(\s*)(\[)", r"\1- \2", raw)
+            out.append(raw)
+        new = "\n".join(out)
+        if new and not new.endswith("\n"):
+            new += "\n"
+        if new == text:
+            break
+        text = new
+    return text
+
+
+def valid_times(text: str) -> str | None:
+    """Which of the strict kinds a text is."""
+    return "date" if is_date(text) else "datetime" if is_datetime(text) else "datetime-tz" if is_datetime_tz(text) else None
