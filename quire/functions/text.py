@@ -128,7 +128,7 @@ def normalised(path: Column) -> Column:
 
 def date_ok(c: Column) -> Column:
     """A calendar date as yyyy-MM-dd."""
-    return F.coalesce(c.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & F.try_to_date(c, F.lit("yyyy-MM-dd")).isNotNull(), F.lit(False))
+    return F.coalesce(c.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & F.try_to_date(c, "yyyy-MM-dd").isNotNull(), F.lit(False))
 
 
 def loose_date(c: Column) -> Column:

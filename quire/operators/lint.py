@@ -115,9 +115,9 @@ def schema_violations(notes: DataFrame, schema: Schema, strict: bool = False) ->
     plain = F.col("type").isin("text", "date", "datetime", "datetime-tz")
     kind = F.col("kind")
     # a quoted date or time is text of that shape
-    whole_date = F.coalesce(text.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(text, F.lit("yyyy-MM-dd")).isNotNull(), F.lit(False))
+    whole_date = F.coalesce(text.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(text, "yyyy-MM-dd").isNotNull(), F.lit(False))
     clock = r"T([01]\d|2[0-3]):[0-5]\d:[0-5]\d"
-    day = F.try_to_date(F.substring(text, 1, 10), F.lit("yyyy-MM-dd")).isNotNull()
+    day = F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd").isNotNull()
     problem = (
         F.when(kind == "string", F.when(~plain, F.lit("must be text")).when(F.length(text) < F.col("low"), F.lit("is too short")).when(F.length(text) > F.col("high"), F.lit("is too long")).when(F.col("pattern").isNotNull() & ~F.expr("regexp_like(items[0].text, pattern)"), F.lit("doesn't have the pattern")))
         .when(kind == "date", F.when(~(plain & whole_date), F.lit("must be a date")))
@@ -152,7 +152,7 @@ def parse_violations(notes: DataFrame) -> DataFrame:
 def date_violations(notes: DataFrame, keys: tuple[str, ...] = ("date", "created", "modified", "updated"), times: tuple[str, ...] = ()) -> DataFrame:
     """NOTE003: properties that hold no date; NOTE004: ones declared as times that hold none."""
     props = child(good(notes), "properties").where("type NOT IN ('null', 'list')").withColumn("text", F.get("items", F.lit(0))["text"])
-    day = F.try_to_date(F.substring("text", 1, 10), F.lit("yyyy-MM-dd")).isNotNull()
+    day = F.try_to_date(F.substring("text", 1, 10), "yyyy-MM-dd").isNotNull()
     shape = F.col("type").isin("date", "datetime", "datetime-tz")
     out = _rows(props.where(F.col("name").isin(*keys) & ~(shape & day)), "NOTE003", "warning", F.concat(F.col("name"), F.lit(" holds no date")))
     if times:
