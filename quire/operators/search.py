@@ -6,10 +6,9 @@ import re
 from collections import Counter
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quire.functions.stemmer import language as known_language
 from quire.functions.stemmer import stem
@@ -27,14 +26,15 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{IsAlphabetic}\p{N}]+"), lambda t: t != "")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _stemmed(words: pd.Series, lang: pd.Series) -> pd.Series:
-    return pd.Series([None if w is None else [stem(x) for x in w] if (known_language(l) or "english") == "english" else list(w) for w, l in zip(words, lang, strict=True)])
+def stemmed(rows: DataFrame) -> DataFrame:
+    """(rel_path, words, lang) with English words (also where lang is null or unknown) as their stems."""
 
+    def stems(batches):
+        for batch in batches:
+            words = [w if w is None or (known_language(l) or "english") != "english" else [stem(x) for x in w] for w, l in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string())), batch.column(2)], ["rel_path", "words", "lang"])
 
-def stemmed(words: Column, lang: Column | None = None) -> Column:
-    """Stems of English tokens; those of other languages as they are."""
-    return _stemmed(words, F.coalesce(lang, F.lit("english")) if lang is not None else F.lit("english"))
+    return rows.select("rel_path", "words", "lang").mapInArrow(stems, "rel_path string, words array<string>, lang string")
 
 
 def document_text(title: Column, body: Column) -> Column:
@@ -53,7 +53,8 @@ class Index:
 
 def build_index(docs: DataFrame, text: Column, path: str = "rel_path", stemming: bool = False, lang: Column | None = None) -> Index:
     words = tokens(F.coalesce(text, F.lit("")))
-    rows = docs.select(F.col(path).alias("rel_path"), (stemmed(words, lang) if stemming else words).alias("words"))
+    rows = docs.select(F.col(path).alias("rel_path"), words.alias("words"), (F.lit(None).cast("string") if lang is None else lang).alias("lang"))
+    rows = stemmed(rows) if stemming else rows
     each = rows.select("rel_path", F.posexplode("words").alias("position", "term"))
     postings = each.groupBy("term", "rel_path").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
     return Index(postings, rows.select("rel_path", F.size("words").alias("dl")), stemming)

@@ -312,17 +312,19 @@ def first_only_dedupe(spark, sf_dir):
     return L.first_only(rows, there).select("rel_path", "target", "line")
 
 
-_TYPO = "substr(text, 1, 9) || 'x' || substr(text, 10, 20)"
+#: DuckDB compares bytes where Spark's side compares characters, so names keep ASCII alone.
+_ASCII = "regexp_replace(text, '[^ -~]', {})"
+_TYPO = "substr(t, 1, 9) || 'x' || substr(t, 10, 20)"
 
 
-@query(f"""WITH b AS (SELECT item_id, lower({_TYPO}) AS name FROM benchmark WHERE item_id % 2 = 0), s AS (SELECT lower(substr(text, 1, 29)) AS stem, 'p/' || item_id || '/' || substr(text, 1, 29) || '.md' AS path FROM benchmark),
+@query(f"""WITH a AS (SELECT item_id, {_ASCII.format("'', 'g'")} AS t FROM benchmark), b AS (SELECT item_id, lower({_TYPO}) AS name FROM a WHERE item_id % 2 = 0), s AS (SELECT lower(substr(t, 1, 29)) AS stem, 'p/' || item_id || '/' || substr(t, 1, 29) || '.md' AS path FROM a),
 x AS (SELECT item_id, path, jaro_winkler_similarity(name, stem) AS score FROM b, s WHERE score >= 0.8),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, path) AS k, lead(score) OVER (PARTITION BY item_id ORDER BY score DESC, path) AS second FROM x)
 SELECT item_id::INT AS line, path AS new_path, round(score, 6) AS confidence FROM r WHERE k = 1 AND (second IS NULL OR score - second > 0.01)""")
 def fuzzy_repair_top2(spark, sf_dir):
     """The nearest name by Jaro-Winkler unless the second is as near: misspelt beginnings of benchmark items."""
-    items = table(spark, sf_dir, "benchmark")
-    paths = items.select(F.concat(F.lit("p/"), F.col("item_id").cast("string"), F.lit("/"), F.substring("text", 1, 29), F.lit(".md")).alias("rel_path"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.expr(_ASCII.format("''")).alias("t"))
+    paths = items.select(F.concat(F.lit("p/"), F.col("item_id").cast("string"), F.lit("/"), F.substring("t", 1, 29), F.lit(".md")).alias("rel_path"))
     broken = items.where("item_id % 2 = 0").select(F.col("item_id").cast("string").alias("rel_path"), F.col("item_id").cast("int").alias("line"), F.lit("wikilink").alias("kind"), F.expr(_TYPO).alias("target"))
     return repair.fuzzy_repairs(broken, paths).where("new_path IS NOT NULL").select("line", "new_path", F.round("confidence", 6).alias("confidence"))
 

@@ -1,0 +1,319 @@
+import json
+import os
+
+import pytest
+from quire.functions import markdown as M
+from quire.operators import aggregate as A
+from quire.operators import filters as X
+from quire.operators import links as L
+from quire.operators import lint, mutate, repair
+from quire.operators import search as S
+from quire.plans.find import Find, find, total
+from quire.sources import lists, sinks, snapshot
+from quire.sources.vault import child, discover, good, read_vault
+
+FILES = {
+    "alpha.md": '---\ntitle: Alpha\nstatus: planned\npriority: 10\ntags: [rust, Project/x]\ndue: 2024-01-02\nnone:\nq: "9"\n---\n# Alpha\nIntro [[beta]] and [g](gamma.md#Top)\n## Tasks\n- [ ] one\n- [x] two\n### Subtasks\n- [ ] three\n## Notes\nrunning fast machines\n',
+    "beta.md": "---\nstatus: completed\ntags: rust\npriority: 2\nrelated: ['[[gamma]]']\n---\n# Beta\nback to [[Alpha]] and [[missing]] run run\n- [ ] open\n",
+    "gamma.md": "# Top\nno front matter; the machine runs [x](sub/nested.md) [y](../out.md) [z](alpa.md)\n",
+    "sub/nested.md": "---\ntags:\n  - project/backend\n---\nplain [up](../alpha.md) [[gamma#Nope]] about alpha, Alphabet and `alpha`\n",
+    "foo/index.md": "index [[lonely]]\n",
+    "lonely.md": "nothing here\n",
+    "bad.md": "---\na: [\n---\n",
+    ".hid/h.md": "hidden\n",
+    "skip/s.md": "ignored\n",
+    ".gitignore": "skip/\n",
+}
+
+
+@pytest.fixture(scope="module")
+def root(tmp_path_factory):
+    top = tmp_path_factory.mktemp("vault")
+    for name, text in FILES.items():
+        os.makedirs((top / name).parent, exist_ok=True)
+        (top / name).write_text(text)
+    return str(top)
+
+
+@pytest.fixture(scope="module")
+def notes(spark, root):
+    return read_vault(spark, root).cache()
+
+
+@pytest.fixture(scope="module")
+def resolved(notes):
+    return L.resolve(child(good(notes), "links"), good(notes).select("rel_path")).cache()
+
+
+def names(notes, resolved, **query):
+    return [r.file for r in find(notes, Find(**query), resolved).collect()]
+
+
+def test_discovery(spark, root, notes):
+    assert {r.rel_path for r in notes.collect()} == {n for n in FILES if n.endswith(".md") and n[0] != "." and not n.startswith("skip")}
+    assert ".hid/h.md" in {r.rel_path for r in discover(spark, root, [".hid"]).collect()}
+    assert notes.where("parse_error IS NOT NULL").first().rel_path == "bad.md"
+
+
+@pytest.mark.parametrize(
+    ("query", "want"),
+    [
+        ({"properties": ["status=PLANNED"]}, ["alpha.md"]),
+        ({"properties": ["status!=planned"]}, ["beta.md"]),
+        ({"properties": ["none"]}, ["alpha.md"]),
+        ({"properties": ["!status"], "globs": ["*.md"]}, ["gamma.md", "lonely.md"]),
+        ({"properties": ["priority>=3"]}, ["alpha.md"]),
+        ({"properties": ["q>10"]}, ["alpha.md"]),
+        ({"properties": ["q=9.0"]}, []),
+        ({"properties": ["tags=RUST"]}, ["alpha.md", "beta.md"]),
+        ({"properties": ["title~=/^TO/i"]}, ["gamma.md"]),
+        ({"tags": ["project"]}, ["alpha.md", "sub/nested.md"]),
+        ({"task": "todo"}, ["alpha.md", "beta.md"]),
+        ({"sections": ["## Tasks"], "task": "done"}, ["alpha.md"]),
+        ({"sections": ["notes"], "task": "todo"}, []),
+        ({"title": "top"}, ["gamma.md"]),
+        ({"regexp": "MACHINE"}, ["alpha.md", "gamma.md"]),
+        ({"regexp": "(?-i)MACHINE"}, []),
+        ({"globs": ["**/*.md", "!a*", "!b*"], "files": ["alpha.md"], "limit": 2}, ["alpha.md", "foo/index.md"]),
+        ({"pattern": "run machine"}, ["gamma.md", "alpha.md"]),
+        ({"pattern": '"running fast"'}, ["alpha.md"]),
+        ({"pattern": "run -back"}, ["gamma.md", "alpha.md"]),
+        ({"pattern": "machine", "sections": ["Notes"]}, ["alpha.md"]),
+        ({"broken_links": True}, ["beta.md", "gamma.md", "sub/nested.md"]),
+        ({"dead_end": True}, ["lonely.md"]),
+        ({"orphan": True}, []),
+        ({"sort": "property:priority", "limit": 2}, ["beta.md", "alpha.md"]),
+        ({"sort": "links_count", "limit": 2}, ["beta.md", "gamma.md"]),
+        ({"sort": "backlinks_count", "limit": 1}, ["gamma.md"]),
+    ],
+)
+def test_find(notes, resolved, query, want):
+    assert names(notes, resolved, **query) == want
+
+
+def test_reverse_turns_the_whole_list(notes, resolved):
+    assert names(notes, resolved, sort="property:priority", reverse=True) == names(notes, resolved, sort="property:priority")[::-1]
+    assert total(notes, Find(task="todo", limit=1)) == 2
+
+
+def test_fields(notes, resolved):
+    row = find(notes, Find(files=["gamma.md"], fields=["all"]), resolved).first()
+    assert {b.source for b in row.backlinks} == {"alpha.md", "beta.md", "sub/nested.md"} and row.title == "Top"
+    assert find(notes, Find(files=["alpha.md"], fields=["properties-typed"])).first().properties_typed[1].type == "text"
+
+
+def test_verdicts(resolved):
+    got = {(r.rel_path, r.target): r.verdict for r in resolved.collect()}
+    assert got[("alpha.md", "beta")] == "resolved" and got[("beta.md", "missing")] == "broken" and got[("gamma.md", "../out.md")] == "out-of-vault"
+    assert got[("sub/nested.md", "../alpha.md")] == "resolved" and got[("beta.md", "Alpha")] == "case-mismatch"
+
+
+def test_anchors(notes, resolved):
+    assert [(r.rel_path, r.fragment) for r in L.broken_anchors(resolved, child(good(notes), "sections")).collect()] == [("sub/nested.md", "Nope")]
+
+
+def test_summary(notes, resolved):
+    out = {k: [tuple(r) for r in v.collect()] for k, v in A.summary(notes, resolved).items()}
+    assert out["tasks"] == [(4, 1)] and out["tags"][0] == ("rust", 2) and out["folders"][0] == (".", 4)
+    assert out["links"] == [(11, 2, 1)] and ("completed", 1) in out["status"]
+
+
+def test_properties_summary_mixes_types(notes):
+    rows = {r.name: r for r in A.properties_summary(child(good(notes), "properties")).collect()}
+    assert rows["tags"].type == "mixed" and rows["priority"]["count"] == 2 and rows["priority"].mixed_types is None
+
+
+@pytest.mark.parametrize(
+    ("line", "want"),
+    [
+        ("see [[a|b]] ![[c#d]] \\[[e]]", ["a", "c"]),
+        ("[t](x.md 'title') ![i](p.png) [u](<a b.md> \"t)\")", ["x.md 'title'", "a b.md"]),
+        ("[h](https://x.y) [m](MAILTO:a@b) [f](#top) [g](tel:1)", ["tel:1"]),
+        ("[a [b\\] c](d.md)", ["d.md"]),
+        ("[[x.MD]] [[#only]]", ["x"]),
+    ],
+)
+def test_links_of_a_line(line, want):
+    assert [s.link["target"] for s in M.link_spans(line) if s.link] == want
+
+
+def test_lines_that_code_and_comments_hide():
+    text = "a `[[x]]` ``[[y]] ` [[z]]``\n`open [[p]]\nclosed` [[q]]\n<!-- [[r]]\n[[s]] --> [[t]]\n%%[[u]]%% [[v]]\n%%\n[[w]]\n%%\n~~~\n[[k]]\n~~~\n`stray [[l]]\n"
+    assert [x["target"] for x in M.parse_note(text).links] == ["q", "t", "v", "l"]
+
+
+def test_headings_tasks_and_frontmatter():
+    assert M.heading("# C#") == (1, "C") and M.heading("# T ## ") == (1, "T ##") and M.heading("#x") is None and M.heading("##") == (2, "")
+    assert M.task("  * [-] odd") == ("-", "odd") and M.task("[ ] bare") is None
+    assert M.parse_note("---\na: 1\na: 2\n---\n").error and M.parse_note("---\na: &x 1\nb: *x\n---\n").error and M.parse_note("---\nno end\n").error
+    note = M.parse_note("﻿---\nd: 2024-13-45\nyes: yes\nt: 2024-01-01T10:00:00Z\n  ---  \nbody")
+    assert note.properties == {"d": "2024-13-45", "yes": "yes", "t": "2024-01-01T10:00:00Z"}
+    assert [M.property_type(v) for v in (True, 1.5, [], None, "2024-13-45", "2024-01-01T10:00:00", "2024-01-01T10:00:00+02:00", {"a": 1}, "x")] == ["checkbox", "number", "list", "null", "date", "datetime", "datetime-tz", "text", "text"]
+
+
+def test_queries_parse():
+    q = S.parse_query('one OR "two three" -four -"five six" AND')
+    assert q.optional and q.positive == [["one"], ["two", "three"]] and q.negative == ["four", "five", "six"]
+    assert S.operators_only("and OR") and not S.operators_only("and x") and S.language("xx", "fr") == "french"
+    assert X.parse_property_filter("a.b >= 3") == X.PropertyFilter("a.b", ">=", "3")
+    with pytest.raises(ValueError):
+        X.parse_property_filter("a~=(?=x)")
+
+
+def test_optional_phrases_reject_words_apart(spark):
+    docs = spark.createDataFrame([("a", "red green"), ("b", "green red blue"), ("c", "red"), ("d", "blue")], "rel_path string, t string")
+    index = S.build_index(docs, docs["t"])
+    assert {r.rel_path for r in S.bm25(index, S.parse_query('"red green" OR blue')).collect()} == {"a", "c", "d"}
+
+
+def test_snapshot(spark, root, notes, resolved):
+    snapshot.save(notes, root)
+    held, index = snapshot.load(spark, root)
+    assert held.count() == notes.count() and not snapshot.stale(root)
+    live = [(r.file, round(r.score, 9)) for r in find(notes, Find(pattern="run machine"), resolved).collect()]
+    assert [(r.file, round(r.score, 9)) for r in find(held, Find(pattern="run machine"), resolved, index).collect()] == live
+    changed = held.where("rel_path = 'lonely.md'")
+    assert snapshot.refresh(held, changed, held.where("rel_path = 'bad.md'")).count() == held.count() - 1
+    assert snapshot.drop(root) and not snapshot.drop(root) and snapshot.load(spark, root) is None
+    with pytest.raises(ValueError):
+        snapshot.save(notes, root, "../out")
+
+
+def test_slices_and_lists(spark, notes):
+    assert lists.read_slice(notes, "alpha.md", section="Tasks").first().text == "## Tasks\n- [ ] one\n- [x] two\n### Subtasks\n- [ ] three"
+    assert lists.read_slice(notes, "alpha.md", lines=(1, 1)).first().text == "# Alpha"
+    assert lists.normalise_list("﻿./a.md\r\n\nb\\c.md\n") == ["a.md", "b/c.md"]
+    found, n = lists.files_from(spark, ["alpha.md", "x.md", "y.txt", "../z.md"], notes)
+    assert found.count() == 1 and n == {"missing": 1, "not_markdown": 1, "outside": 1}
+
+
+def test_config(tmp_path):
+    (tmp_path / ".quire.toml").write_text('profiles = ["madr"]\n[views.open]\ntask = "todo"\n[views.all]\nlimit = 5\n[schema.default]\nrequired = ["title"]\n')
+    config = lists.load_config(str(tmp_path))
+    assert lists.view(config, "open").task == "todo" and lists.wide_views(config) == ["all"]
+    assert config["schema"]["types"]["adr"]["required"] == ["status", "date"] and config["lint"]["rules"] == ["MADR"]
+
+
+def test_repairs(notes, resolved):
+    paths = good(notes).select("rel_path")
+    rows = {r.old_target: (r.new_target, r.strategy) for r in repair.fix_plan(L.broken(resolved), paths).collect()}
+    assert rows["alpa.md"] == ("alpha.md", "fuzzy") and rows["missing"] == (None, None)
+
+
+def test_mentions(notes):
+    hits = repair.mentions(good(notes), repair.title_inventory(good(notes)))
+    assert [(r.line, r.col, r.surface, r.target) for r in hits.where("rel_path = 'sub/nested.md'").collect()] == [(5, FILES["sub/nested.md"].split("\n")[4].index(" alpha,") + 2, "alpha", "alpha.md")]
+
+
+SCHEMA = lint.Schema.of(
+    {
+        "default": {"required": ["title"]},
+        "types": {"note": {"required": ["date"], "properties": {"date": {"type": "date"}, "status": {"type": "enum", "values": ["open", "completed"]}, "name": {"type": "string", "pattern": "^[a-z]+$", "max": 5}}, "required-sections": ["## One", "## Two"], "defaults": {"made": "$today"}}},
+        "bind": {"bound/**": "note"},
+    }
+)
+
+
+@pytest.fixture(scope="module")
+def linted(spark, tmp_path_factory):
+    top = tmp_path_factory.mktemp("lint")
+    files = {
+        "clean.md": "---\ntype: note\ntitle: T\ndate: 2024-02-29\nstatus: open\n---\n\n## One\n\n## Two\n",
+        "bad.md": "---\ntype: note\ntitle: T\ndate: 2023-02-29\nstatus: opne\nname: Toolong\nextra: 1\ntags: ['a,b']\n---\n\n## Two\n\n## One\n",
+        "bound/b.md": "---\ntitle: T\n---\n",
+        "none.md": "text  \n\n\n\nmore https://x.y/z\n```\ncode\n```\n[ ] bare\n##no\n### three",
+        "dec/0001-a.md": "---\nstatus: superseded by 0009\n---\n# A\n",
+        "dec/0001-b.md": "# B\n",
+        "CHANGELOG.md": "# Changelog\n\n## [Unreleased]\n\n## [1.0.0] - 2024-01-01\n\n### Added\n\n- x\n\n## [1.1.0] - 2024-02-01\n\n### Odd\n",
+    }
+    for name, text in files.items():
+        os.makedirs((top / name).parent, exist_ok=True)
+        (top / name).write_text(text)
+    notes = read_vault(spark, str(top)).cache()
+    resolved = L.resolve(child(good(notes), "links"), notes.select("rel_path"))
+    rows = lint.lint(notes, SCHEMA, resolved, lint.LintOptions(profiles=("madr", "changelog"))).collect()
+    return notes, rows
+
+
+def test_lint(linted):
+    _, rows = linted
+    of = lambda f: {(r.rule_id, r.message) for r in rows if r.file == f}
+    assert of("clean.md") == set()
+    assert {m for r, m in of("bad.md") if r == "SCHEMA"} == {"date must be a date", "status isn't one of the values", "name is too long", "undeclared property: extra", "undeclared property: status"} - {"undeclared property: status"} | {"a tag holds a comma", "missing section, or out of order: ## Two"}
+    assert ("SCHEMA", "missing property: date") in of("bound/b.md")
+    assert {r for r, _ in of("none.md")} >= {"MD012", "MD034", "MD040", "MD031", "NOTE001", "MD018", "MD047", "SCHEMA"}
+    assert {r for r, _ in of("dec/0001-a.md")} >= {"MADR001", "MADR002"}
+    assert {r for r, _ in of("CHANGELOG.md")} >= {"CHANGELOG003", "CHANGELOG004", "CHANGELOG005", "CHANGELOG007", "CHANGELOG008"}
+
+
+def test_lint_fixes(linted):
+    notes, _ = linted
+    plan = {r.rel_path: r for r in mutate.property_plan(notes, mutate.fix_lint(SCHEMA, "2024-05-05")).collect()}
+    assert "status: open" in plan["bad.md"].after and "- a\n- b" in plan["bad.md"].after and "made: '2024-05-05'" in plan["bad.md"].after
+    fixed = lint.fixed_body("##no\ntext   \n\n\n\n[ ] a\nhttps://x.y")
+    assert fixed == "## no\ntext\n\n- [ ] a\n<https://x.y>\n"
+
+
+def test_property_edits_keep_what_they_do_not_touch():
+    text = "﻿---\r\n# note\r\na: 1   # keep\r\nlist:\r\n  - x\r\n---\r\nbody\r\n"
+    out = mutate.with_properties(text, {"a": 1, "list": ["x", "y"]})
+    assert out == "﻿---\r\n# note\r\na: 1   # keep\r\nlist:\r\n  - x\r\n  - y\r\n---\r\nbody\r\n"
+    assert mutate.with_properties("body", {"a": 1}) == "---\na: 1\n---\nbody" and mutate.with_properties("---\na: 1\n---\nbody", {}) == "body"
+    run = lambda edit, p: edit("x.md", p)
+    assert run(mutate.add_tag("B"), {"tags": "a"}) == {"tags": ["a", "B"]} and run(mutate.add_tag("A"), {"tags": ["a"]}) == {"tags": ["a"]}
+    assert run(mutate.append_value("k", 2), {"k": 1}) == {"k": [1, 2]} and run(mutate.append_value("k", 1), {}) == {"k": [1]}
+    assert run(mutate.remove_property("k", "A"), {"k": ["a"], "z": 1}) == {"z": 1}
+    assert list(run(mutate.rename_property("a", "c"), {"a": 1, "b": 2})) == ["b", "c"]
+    assert run(mutate.rename_tag("a", "b"), {"tags": ["A", "b", "c"]}) == {"tags": ["b", "c"]}
+    for edit, p in ((mutate.append_value("k", 1), {"k": {}}), (mutate.rename_property("a", "b"), {"a": 1, "b": 2})):
+        with pytest.raises(mutate.Conflict):
+            run(edit, p)
+
+
+def test_plans_and_their_application(spark, notes, tmp_path):
+    for name, text in FILES.items():
+        os.makedirs((tmp_path / name).parent, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    plan = mutate.task_plan(notes.where("rel_path = 'alpha.md'"), lines=[13, 14])
+    assert sinks.apply(plan, str(tmp_path)) == 1
+    assert "- [x] one\n- [ ] two" in (tmp_path / "alpha.md").read_text()
+    assert A.tally(mutate.property_plan(notes, mutate.set_property("status", "planned"))).first().asDict() == {"scanned": 6, "modified": 5, "skipped": 1, "conflicts": 0}
+
+
+def test_moves(notes):
+    moves = mutate.move_plan(good(notes), notes.where("rel_path IN ('alpha.md', 'gamma.md')"), "deep/er")
+    plan = {r.rel_path: r.after for r in mutate.rewrite_plan(notes, mutate.move_link_changes(notes, moves)).collect()}
+    assert "[up](../deep/er/alpha.md)" in plan["sub/nested.md"] and "[[gamma#Nope]]" in plan["sub/nested.md"]
+    assert "[x](../../sub/nested.md)" in plan["gamma.md"] and "alpha.md" not in plan
+    clash = mutate.move_plan(good(notes), notes.where("rel_path IN ('alpha.md', 'sub/nested.md')"), "sub")
+    assert {r.rel_path: r.state for r in clash.collect()} == {"alpha.md": "move", "sub/nested.md": "skipped"}
+
+
+def test_generated_texts(notes):
+    assert mutate.scaffold(SCHEMA, "note", "N", "2024-01-01").startswith("---\ntype: note\ntitle: N\ndate: '2024-01-01'\n")
+    assert mutate.spliced("a\n<!-- r:begin -->\nold\n<!-- r:end -->\nb\n", "r", "new") == "a\n<!-- r:begin -->\nnew\n<!-- r:end -->\nb\n"
+    log = mutate.log_entry(mutate.log_entry("# Log\n", "one", "2024-01-01"), "two", "2024-01-02")
+    assert log.index("two") < log.index("one") and mutate.log_entry(log, "three", "2024-01-02").index("three") < log.index("one")
+    text = "# Changelog\n\n## [Unreleased]\n\n### Added\n\n- a\n\n## [1.0.0] - 2024-01-01\n\n[1.0.0]: x\n"
+    added = mutate.changelog_add(mutate.changelog_add(text, "Added", "b"), "Fixed", "c")
+    assert "- a\n- b\n\n### Fixed\n\n- c\n\n## [1.0.0]" in added
+    assert "## [Unreleased]\n\n## [1.1.0] - 2024-02-02\n" in mutate.changelog_release(added, "1.1.0", "2024-02-02") and "[1.1.0]: TBD" in mutate.changelog_release(added, "1.1.0", "2024-02-02")
+    pages = {r.dir: r.text for r in mutate.index_pages(notes).collect()}
+    assert "[sub](sub/index.md)" in pages[""] and "## Other" in pages["sub"]
+    assert mutate.record_table(notes).first().text.count("- [") == 6
+
+
+def test_sinks(spark, linted):
+    _, rows = linted
+    df = spark.createDataFrame(rows).limit(1)
+    out = json.loads(sinks.envelope(df, total=9, hints=["h"]))
+    assert out["total"] == 9 and len(out["results"]) == 1
+    assert sinks.annotations(df).first().value.startswith("::")
+
+
+def test_stream(spark, root, tmp_path):
+    from quire.streaming.ingest import LatestNotes, stream_files
+
+    table = LatestNotes(spark, str(tmp_path / "table"))
+    table.follow(stream_files(spark, root), once=True).awaitTermination(120)
+    assert {r.rel_path for r in table.read().collect()} >= {"alpha.md", "sub/nested.md"}
