@@ -1,0 +1,312 @@
+import collections
+import hashlib
+import re
+
+import numpy as np
+import pytest
+from quire.llm import decontamination, html_text, jaccard_join, quality_classifier, quality_rules, queries, secret_scan, warc
+from quire.llm.components import components
+from quire.llm.shared import read_table
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+
+
+# Quality rules
+
+
+def test_rules_against_sql(spark, odd, compare):
+    rows = odd.where("doc_id IS NOT NULL").select("doc_id", "text", "lang", "source", "n_chars").distinct()
+    compare(quality_rules.quality_rules(rows), quality_rules.oracle_sql(), {"documents": rows.toArrow()})
+
+
+def test_rules_on_the_table(spark, compare):
+    compare(queries.op2_quality_rules(spark, SMALL), quality_rules.oracle_sql(), {"documents": f"{SMALL}/documents.parquet"})
+
+
+def test_rules_keep_rows(spark, odd, nothing):
+    assert quality_rules.quality_rules(odd).count() == odd.count()
+    assert quality_rules.quality_rules(nothing).count() == 0
+
+
+def test_rules_run_no_python(spark, odd):
+    plan = quality_rules.quality_rules(odd)._jdf.queryExecution().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
+
+
+# Decontamination
+
+
+def brute_hits(text, items, window=10):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+    hit, found = set(), set()
+    for item, t in items:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+        n = min(window, len(w))
+        grams = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if n else set()
+        for i in range(len(words) - n + 1):
+            if n and tuple(words[i : i + n]) in grams:
+                hit |= {*range(i, i + n)}
+                found.add(str(item))
+    return len(words), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
+
+
+def test_contamination(spark, odd, nothing, items):
+    known = [(r.item_id, r.text) for r in items.collect() if r.item_id is not None]
+    got = collections.Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontamination.contamination(odd, items).collect())
+    assert got == collections.Counter((r.doc_id, *brute_hits(r.text, known)) for r in odd.collect())
+    assert decontamination.contamination(nothing, items).count() == 0
+    assert decontamination.contamination(odd, items.limit(0)).where("contaminated OR n_hit > 0").count() == 0
+    left = decontamination.clean(odd, items)
+    assert left.columns == odd.columns
+    assert {r.doc_id for r in left.collect()} == {r.doc_id for r in odd.collect() if not brute_hits(r.text, known)[4]}
+
+
+def test_every_shared_window_has_a_shared_print():
+    r = np.random.default_rng(3)
+    words = r.integers(0, 4, 4000).astype(np.uint64)
+    whole = np.array([0, len(words)])
+    at, h = decontamination.winnow(words, whole, 5, 10)
+    for a in r.integers(0, 3900, 60):
+        part = words[a : a + 10]
+        own, own_h = decontamination.winnow(part, np.array([0, 10]), 5, 10)
+        assert set(own + a) <= set(at.tolist()) and set(own_h) <= set(h)
+
+
+# Jaccard join
+
+
+def brute_components(rows, n=5, percent=80):
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+        sets.append(frozenset(tuple(w[i : i + n]) for i in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else []))
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[find(i)] = min(d, least.get(find(i), d))
+    return collections.Counter((d, len(s), least.get(find(i), d) if s else d) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True)))
+
+
+def family(seed, size, words, changes):
+    r = np.random.default_rng(seed)
+    base = [f"t{seed}x{i}" for i in range(words)]
+    out = []
+    for _ in range(size):
+        w = list(base)
+        for k in r.integers(0, words, r.integers(0, changes + 1)):
+            w[k] = f"c{r.integers(0, 1000)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_join(spark, odd, nothing, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "PART", 7)
+    monkeypatch.setattr(jaccard_join, "FANOUT", 3)
+    texts = [t for s in range(6) for t in family(s, 14, 30 + 25 * s, 4)] + ["shared boilerplate words that many texts have in them " + f"a{i} b{i} c{i}" for i in range(40)]
+    rows = [(1000 + i, t) for i, t in enumerate(texts)] + [(r.doc_id, r.text) for r in odd.collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = collections.Counter(map(tuple, jaccard_join.jaccard_join(docs).collect()))
+    want = brute_components(rows)
+    assert got == want
+    kept = jaccard_join.one_of_each(docs)
+    heads = {d for d, _, c in want if d is not None and d == c}
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(heads)
+
+
+def test_join_of_odd_rows(spark, odd, nothing):
+    assert jaccard_join.jaccard_join(nothing).count() == 0
+    kept = jaccard_join.one_of_each(odd)
+    assert kept.columns == odd.columns and kept.where("doc_id = 4").count() == 1 and kept.where("doc_id IS NULL").count() == 1
+    assert kept.where("doc_id = 5").count() == 0  # equal to 4 but for case
+
+
+def test_tree_finds_all_that_the_bound_allows():
+    r = np.random.default_rng(0)
+    points = r.integers(0, 5, (300, jaccard_join.LANES)).astype(np.int32)
+    points[150:] = points[:150]
+    points[150:, :4] += 1
+    group, root = np.sort(r.integers(0, 4, 300)), r.integers(0, 3, 300)
+    q, p = jaccard_join.CountTrees(group, root, points).near(group, root, points, 80)
+    got = set(zip(q.tolist(), p.tolist(), strict=True))
+    bound = np.minimum(points[:, None], points[None]).sum(axis=2)
+    size = points.sum(axis=1)
+    want = (180 * bound >= 80 * (size[:, None] + size[None])) & (group[:, None] == group[None]) & (root[:, None] != root[None])
+    assert got == set(zip(*np.nonzero(want), strict=True))
+
+
+@pytest.mark.parametrize("links", [[], [(1, 1)], [(1, 2), (3, 4), (2, 3), (9, 7)], [(i, i + 1) for i in range(33)]])
+def test_components(spark, links):
+    root = {x: x for e in links for x in e}
+    for _ in root:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {k: v for k, v in root.items() if any(k in e and e[0] != e[1] for e in links)}
+
+
+# Secrets
+
+
+def test_base_findings_are_the_rules():
+    text = "token: secret: abcdefghij PASSWORD='hunter2hunter2' ſecret=abcdefgh1 apikey=short api_key = aaaaaaaa AKIAAKIA12 " + "f" * 40 + "G AKIA" + "Z9" * 8
+    want = []
+    for kind, (rule, group, least) in secret_scan.RULES.items():
+        want += [(m.start(), kind, m.end()) for m in rule.finditer(text) if len(m[group]) >= least]
+    assert secret_scan.base_findings(text) == want and len(want) == 4
+
+
+def test_network_on_unseen_findings():
+    network = secret_scan.trained()
+    x, y, classes = secret_scan.findings(800, seed=77)
+    hit = network.scores(x) >= network.thresholds[classes]
+    assert hit[y == 1].mean() > 0.85 and hit[y == 0].mean() < 0.05
+
+
+def test_scan_and_mask(spark, odd, nothing):
+    network = secret_scan.trained()
+    rows = {r.doc_id: r for r in secret_scan.secret_findings(odd, network).collect()}
+    assert (rows[8].n_assign, rows[8].n_access, rows[1].n_assign, rows[1].spans) == (1, 1, 0, "")
+    assert rows[1].base_sha256 == hashlib.sha256(b"").hexdigest()
+    text = odd.where("doc_id = 8").first().text
+    spans = [s.split(":") for s in rows[8].spans.split(",")]
+    assert text[int(spans[0][1]) : int(spans[0][2])] == "password = abcdefgh12"
+    masked = {r.doc_id: r for r in secret_scan.redacted(odd, network).collect()}
+    assert "abcdefgh12" not in masked[8].text and masked[9].text == odd.where("doc_id = 9").first().text and masked[1].text is None
+    assert masked[8].n_chars == len(masked[8].text) and secret_scan.redacted(odd, network).columns == odd.columns
+    assert secret_scan.secret_findings(nothing, network).count() == 0
+
+
+# Classifier
+
+
+def test_classifier_learns_held_out_rows(spark):
+    from pyspark.sql import functions as F
+
+    out = queries.op9_quality_classifier(spark, "/root/testdata/sf0.01")
+    held = out.join(read_table(spark, "/root/testdata/sf0.01", "labels"), "doc_id").where("held_out")
+    right, n = held.agg(F.count_if(F.expr("predicted = quality")), F.count("*")).first()
+    assert n > 40 and right / n > 0.95
+
+
+def test_classifier_takes_anything(spark, odd, nothing):
+    labels = spark.createDataFrame([(4, 1), (9, 0), (9, 1), (None, 1), (10, None), (77, 0)], "doc_id long, quality int")
+    rows = quality_classifier.quality_scores(odd, labels).collect()
+    assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
+    blank = quality_classifier.quality_scores(odd, labels.limit(0)).collect()
+    assert {r.score for r in blank} == {0.5}
+    assert quality_classifier.quality_scores(nothing, labels).count() == 0
+    model = quality_classifier.train(odd, labels)
+    assert quality_classifier.accepted(odd, model, 0.0).count() == odd.count() and quality_classifier.accepted(odd, model).columns == odd.columns
+
+
+def test_gradients():
+    r = np.random.default_rng(1)
+    m = quality_classifier.AttentionModel()
+    m.p = {k: v.astype(np.float64) for k, v in m.p.items()}
+    x, off, y = r.random((9, quality_classifier.N_FEATURES)), np.array([0, 4, 9]), np.array([1.0, 0.0])
+
+    def loss():
+        p = m.forward(x, off)["y"]
+        return -(y * np.log(p) + (1 - y) * np.log(1 - p)).mean()
+
+    g = m.gradients(x, off, y)
+    for name, v in m.p.items():
+        at = tuple(r.integers(0, s) for s in v.shape)
+        v[at] += 1e-5
+        up = loss()
+        v[at] -= 2e-5
+        down = loss()
+        v[at] += 1e-5
+        assert abs((up - down) / 2e-5 - g[name][at]) < 1e-6
+
+
+# Archives
+
+
+def pages(spark):
+    rows = [(1, "http://a/é ü", "<p>same</p>"), (2, None, "<p>same</p>"), (3, "http://c\r\nX: y", "other"), (4, "u", None), (5, "u", ""), (None, "n", "<p>same</p>"), (2, "again", "<p>same</p>"), (6, "l", "x" * 300_000)]
+    return spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, digest string")
+
+
+def test_archives(spark):
+    got = collections.Counter(map(tuple, warc.warc_round_trip(pages(spark)).collect()))
+    want = collections.Counter()
+    rows = pages(spark).collect()
+    for r in rows:
+        body = (r.html or "").encode()
+        head = max((x.page_id for x in rows if (x.html or "") == (r.html or "") and x.page_id is not None), default=None)
+        revisit = r.page_id is not None and r.page_id < head
+        want[(r.page_id, len(body), warc.digest_of(body), "revisit" if revisit else "response", head if revisit else None)] += 1
+    assert got == want
+    assert warc.warc_round_trip(pages(spark).limit(0)).count() == 0
+    assert warc.warc_round_trip(pages(spark), least=10**9).where("record_type <> 'response'").count() == 0
+
+
+def test_archives_on_the_table(spark, compare):
+    compare(queries.op7_warc(spark, SMALL), queries.OP7_SQL, {"pages": f"{SMALL}/pages.parquet"})
+
+
+def test_damaged_archives_are_refused():
+    import io
+
+    dictionary = b""
+    raw = warc.record(7, "u", b"payload", None)
+    assert warc.parse(raw)["payload"] == b"payload"
+    for bad in (raw.replace(b"payload", b"Payload"), raw[:-2], raw.replace(b"WARC/1.1", b"WARC/9"), raw.replace(b"WARC-Date", b"WARC-Dat")):
+        with pytest.raises(ValueError):
+            warc.parse(bad)
+    file = warc.archive_head(b"") + warc.compressor(dictionary).compress(raw) * 3
+    assert [warc.parse(x)["page_id"] for x in warc.frames(io.BytesIO(file))] == [7, 7, 7]
+    with pytest.raises(ValueError):
+        list(warc.frames(io.BytesIO(file[:-3])))
+    with pytest.raises(ValueError):
+        list(warc.frames(io.BytesIO(b"\x50\x2a\x4d\x18\xff\x00\x00\x00abc")))
+
+
+# Pages
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
+<div class="cookie-notice"><p>We use cookies, plenty of them, and say so in a long text that is no article.</p></div>
+<nav><ul><li><a href="/a">Menu one</a></li><li><a href="/b">Menu two</a></li></ul></nav>
+%s<aside><p>A sidebar of some length that goes on and on.</p></aside>
+<section id="comments"><article class="comment"><p>Reader: I have much to say about this text, at length.</p></article></section>
+<form><p>Sign up <input></p></form><footer>&copy; footer</footer></body></html>"""
+BODY = "<h1>A &amp; B</h1><p><b>First&nbsp; paragraph\n with   text enough to count.<br><p>Tiny.</p><p>Second paragraph, also with <a href='x'>a link</a> in it &lt;tag&gt;.</p>"
+WANT = "A & B\n\nFirst paragraph with text enough to count.\n\nTiny.\n\nSecond paragraph, also with a link in it <tag>."
+
+
+@pytest.mark.parametrize("wrap", ["<article>%s</article>", "<main>%s</main>", "<main><article>%s", "<div class='post'>%s</div>", "<div id='page'><div>%s</div></div>"])
+def test_main_text(wrap):
+    assert html_text.main_text(PAGE % (wrap % BODY)) == WANT
+
+
+def test_pages_of_any_kind(spark):
+    got = {r.page_id: r for r in html_text.extract_pages(pages(spark)).collect()}
+    assert (got[4].text, got[5].text, got[3].text, got[1].n_chars) == ("", "", "other", 4)
+    assert html_text.extract_pages(pages(spark).limit(0)).count() == 0
+    for text in ("<", "<p", "</p></p>", "<!--", "<a><b><i>", "&#xD800; &bogus;", "<p>a<div>b</p>c</div>", "<script>", "\x00<td>x"):
+        assert isinstance(html_text.main_text(text), str)
+
+
+def test_articles_of_the_table_come_out_whole(spark):
+    import html
+
+    for p in read_table(spark, SMALL, "pages").collect():
+        body = re.search(r"<article>(.*?)</article>", p.html, re.S)[1]
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]+>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", body)]
+        assert html_text.main_text(p.html) == "\n\n".join(x for x in blocks if x)
