@@ -7,7 +7,7 @@ follow from arithmetic on their ids. What needs Markdown itself is tested on sma
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -39,14 +39,17 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-PATH = F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
+def path_of() -> Column:
+    return F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
+
+
 NOTES_SQL = "(SELECT d.*, source || '/' || doc_id || '.md' AS rel_path, quality, toxic FROM documents d LEFT JOIN labels USING (doc_id))"
 
 
 def notes(spark, sf_dir: str) -> DataFrame:
     """Documents as notes, without their lines."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    docs = table(spark, sf_dir, "documents").join(labels, "doc_id", "left").withColumn("rel_path", PATH)
+    docs = table(spark, sf_dir, "documents").join(labels, "doc_id", "left").withColumn("rel_path", path_of())
     props = typed_properties(lang=F.col("lang"), source=F.col("source"), n_chars=F.col("n_chars"), quality=F.col("quality"), toxic=F.col("toxic"))
     return docs.withColumns({"properties": props, "tags": F.array("lang", F.concat(F.lit("src/"), F.col("source")))})
 
@@ -57,7 +60,7 @@ def _where(spark, sf_dir, *texts) -> DataFrame:
 
 
 def lines(spark, sf_dir: str) -> DataFrame:
-    each = table(spark, sf_dir, "documents").select(PATH.alias("rel_path"), "doc_id", F.posexplode(F.split("text", "\n")).alias("i", "raw"))
+    each = table(spark, sf_dir, "documents").select(path_of().alias("rel_path"), "doc_id", F.posexplode(F.split("text", "\n")).alias("i", "raw"))
     return each.select("rel_path", "doc_id", (F.col("i") + 1).alias("line"), F.lit("body").alias("kind"), "raw", F.lit(None).cast("string").alias("section"))
 
 
@@ -122,7 +125,7 @@ def glob_scope(spark, sf_dir):
 @query("SELECT rel_path, title FROM (SELECT source || '/' || doc_id || '.md' AS rel_path, string_split(text, chr(10))[1] AS title FROM documents) WHERE contains(lower(title), 'anea') OR regexp_matches(title, '(?i)^le\\b')")
 def title_filter(spark, sf_dir):
     """Titles by part or expression; a document's first line stands for its title."""
-    rows = table(spark, sf_dir, "documents").select(PATH.alias("rel_path"), F.get(F.split("text", "\n"), F.lit(0)).alias("title"))
+    rows = table(spark, sf_dir, "documents").select(path_of().alias("rel_path"), F.get(F.split("text", "\n"), F.lit(0)).alias("title"))
     return rows.where(X.title_predicate("ANEA", F.col("title")) | X.title_predicate(r"/^le\b/", F.col("title")))
 
 
@@ -188,7 +191,7 @@ SELECT rel_path, round(score, 6) AS score FROM s JOIN t USING (doc_id) WHERE tru
 
 
 def _search(spark, sf_dir, text: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("rel_path", PATH)
+    docs = table(spark, sf_dir, "documents").withColumn("rel_path", path_of())
     found = S.bm25(S.build_index(docs, F.col("text")), S.parse_query(text))
     return found.select("rel_path", F.round("score", 6).alias("score"))
 
@@ -221,7 +224,7 @@ def bm25_phrase(spark, sf_dir):
 w AS (SELECT doc_id, unnest(ws) AS term FROM t) SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM w GROUP BY term""")
 def term_statistics(spark, sf_dir):
     """Every term of the index with its counts."""
-    docs = table(spark, sf_dir, "documents").withColumn("rel_path", PATH)
+    docs = table(spark, sf_dir, "documents").withColumn("rel_path", path_of())
     return S.build_index(docs, F.col("text")).postings.groupBy("term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df"))
 
 
@@ -270,7 +273,7 @@ _LINKS = """(SELECT doc_id, source || '/' || doc_id || '.md' AS rel_path, o.p AS
 
 def _links(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Links in six forms: exact, upper case, without .md, stem alone, a missing one, one out of the vault."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", PATH.alias("rel_path"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", path_of().alias("rel_path"))
     others = docs.select(F.col("doc_id").alias("other_id"), F.col("rel_path").alias("other"))
     rows = docs.withColumn("other_id", F.expr("(doc_id * 7 + 3) % 1300")).join(others, "other_id", "left")
     form, other = F.col("doc_id") % 6, F.coalesce("other", F.lit("gone/x.md"))
@@ -299,7 +302,7 @@ def link_health(spark, sf_dir):
 @query(f"SELECT rel_path, other AS path FROM {_LINKS} WHERE form <= 3 AND other IS NOT NULL AND doc_id % 4 <> other_id % 3")
 def broken_anchors(spark, sf_dir):
     """Links to headings that their documents lack; a document has the heading `part N` of its id % 3."""
-    heads = table(spark, sf_dir, "documents").select(PATH.alias("rel_path"), F.concat(F.lit(" part "), (F.col("doc_id") % 3).cast("string")).alias("heading"))
+    heads = table(spark, sf_dir, "documents").select(path_of().alias("rel_path"), F.concat(F.lit(" part "), (F.col("doc_id") % 3).cast("string")).alias("heading"))
     return L.broken_anchors(L.resolve(*_links(spark, sf_dir)), heads).select("rel_path", "path")
 
 
@@ -333,7 +336,7 @@ def fuzzy_repair_top2(spark, sf_dir):
 SELECT doc_id::INT AS line, path AS new_path, CASE doc_id % 3 WHEN 0 THEN 'case' WHEN 1 THEN 'extension' ELSE 'stem' END AS strategy FROM p""")
 def certain_repairs(spark, sf_dir):
     """Repairs that leave no doubt: another case, the extension, the only stem."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", PATH.alias("p"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", path_of().alias("p"))
     target = F.when(F.col("doc_id") % 3 == 0, F.upper("p")).when(F.col("doc_id") % 3 == 1, F.regexp_replace("p", r"\.md$", "")).otherwise(F.concat(F.lit("old/place/"), T.stem(F.col("p"))))
     broken = docs.select(F.lit("from.md").alias("rel_path"), F.col("doc_id").cast("int").alias("line"), F.lit("wikilink").alias("kind"), target.alias("target"))
     return repair.certain_repairs(broken, docs.select(F.col("p").alias("rel_path"))).select("line", "new_path", "strategy")
@@ -523,7 +526,7 @@ def rename_collisions(spark, sf_dir):
 
 
 def _edited(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(PATH.alias("rel_path"), F.concat(F.lit("---\nlang: "), F.col("lang"), F.lit("\nsource: "), F.col("source"), F.lit("\n---\nbody\n")).alias("text"), F.lit(None).cast("string").alias("parse_error"))
+    docs = table(spark, sf_dir, "documents").select(path_of().alias("rel_path"), F.concat(F.lit("---\nlang: "), F.col("lang"), F.lit("\nsource: "), F.col("source"), F.lit("\n---\nbody\n")).alias("text"), F.lit(None).cast("string").alias("parse_error"))
     return mutate.property_plan(docs, mutate.set_property("lang", "en"), mutate.rename_property("source", "origin"))
 
 
@@ -536,7 +539,7 @@ def set_plan_diff(spark, sf_dir):
 @query("SELECT count(*) AS scanned, count(*) FILTER (lang <> 'en') AS modified, count(*) FILTER (lang = 'en') AS skipped, 0::BIGINT AS conflicts FROM documents")
 def mutation_tally(spark, sf_dir):
     """How many notes a plan changes."""
-    docs = table(spark, sf_dir, "documents").select(PATH.alias("rel_path"), F.concat(F.lit("---\nlang: "), F.col("lang"), F.lit("\n---\n")).alias("text"), F.lit(None).cast("string").alias("parse_error"))
+    docs = table(spark, sf_dir, "documents").select(path_of().alias("rel_path"), F.concat(F.lit("---\nlang: "), F.col("lang"), F.lit("\n---\n")).alias("text"), F.lit(None).cast("string").alias("parse_error"))
     return A.tally(mutate.property_plan(docs, mutate.set_property("lang", "en")))
 
 
