@@ -130,8 +130,11 @@ def parse(raw: bytes) -> dict:
 
 def dictionary_of(pages: DataFrame) -> bytes:
     """A dictionary trained on a bounded sample; empty if there is too little to train on."""
-    rows = pages.where(F.col("html").isNotNull()).select("page_id", F.expr(f"substring(encode(html, 'UTF-8'), 1, {SAMPLE_BYTES})").alias("head"))
-    sample = [bytes(r["head"]) for r in rows.orderBy(F.xxhash64("page_id"), "page_id", "head").limit(SAMPLE).collect()]
+    rows = pages.where(F.col("html").isNotNull()).withColumn("__key", F.xxhash64("page_id"))
+    # ids first: each task offers SAMPLE of them, and bytes come of the chosen alone
+    chosen = F.broadcast(rows.select("__key").distinct().orderBy("__key").limit(SAMPLE))
+    heads = rows.join(chosen, "__key").select("__key", F.expr(f"substring(encode(html, 'UTF-8'), 1, {SAMPLE_BYTES})").alias("head"))
+    sample = [bytes(r["head"]) for r in heads.orderBy("__key", "head").limit(SAMPLE).collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY, [s for s in sample if s], level=3).as_bytes()
     except (zstandard.ZstdError, ValueError):
