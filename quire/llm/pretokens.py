@@ -12,7 +12,7 @@ import numpy as np
 from quire.llm.shared import HashTable, flat, ragged, slices, span_hashes
 
 #: Bytes of text worked on at once; with the arrays made from them some 100 MB.
-CHUNK = 1 << 20
+CHUNK = 1_000_000
 #: A longer text is cut at a place where a pre-token starts for certain.
 LONG = 4 << 20
 LETTER, NUMBER, OTHER, SPACE, UNKNOWN = 1, 2, 3, 4, 255
@@ -154,17 +154,17 @@ class Cutter:
 class WordCache:
     """What a function of a pre-token gives (a ragged row of ids), by its hash; emptied when full, so memory has a bound.
 
-    Pre-tokens with equal 64-bit hashes count as equal: with 2e6 entries held, one wrong answer is expected in some 1e13 different pre-tokens.
+    Pre-tokens with equal 64-bit hashes count as equal: with 1e6 entries held, one wrong answer is expected in some 2e13 different pre-tokens.
     """
 
-    MOST = 2_000_000
+    MOST = 1_000_000
 
     def __init__(self, rows):
         self.rows = rows  # list of bytes -> (flat int32 array, lengths)
         self.clear()
 
     def clear(self) -> None:
-        self.table, self.flat, self.used = HashTable(22), np.zeros(1 << 20, np.int32), 0
+        self.table, self.flat, self.used = HashTable(21), np.zeros(1 << 20, np.int32), 0
         self.starts, self.lengths, self.n = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32), 0
 
     def _room(self, name: str, n: int) -> None:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from quire.llm.shared import flat, mix, slices
 from quire.llm.words import UNSPACED, spans, word_hashes
 
-CHUNK = 1 << 20
+CHUNK = 1_000_000
 PASSAGE = 48
 PAIRS = 64
 #: Documents that training takes at most.
