@@ -24,17 +24,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where(F.col("a") != F.col("b")).distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Every upper end has one lower end, which is no upper end itself."""
+    n, uppers = edges.agg(F.count("*"), F.count_distinct("a")).first()
+    return n == uppers and edges.select(F.col("b").alias("x")).join(edges.select(F.col("a").alias("x")), "x", "left_semi").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of the undirected links (a, b); the root is the component's least node.
 
     Each round is written to the shared folder. Rounds end when the links are stars; a path of n nodes takes some log n.
     """
     edges = materialise(links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    state = None
-    while True:
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.hash("a", "b"))).first()
-        if now == state or now[0] == 0:
-            break
-        state = now
+    while not _stars(edges):
         edges = materialise(_star(_star(edges, True), False), "links")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

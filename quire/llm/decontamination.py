@@ -20,12 +20,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import flat, let, materialise, mix, ragged, slices
+from quire.llm.shared import BITS, bitmap, flat, materialise, mix, slices
 from quire.llm.words import ALNUM, gram_hashes, spans, word_hashes
 
-CHUNK = 2 << 20
-#: The bitmap: 2 ** 24 bits, sent in segments.
-BITS, SEGMENT = 24, 1 << 16
+CHUNK = 1_000_000
 
 
 def winnow(words: np.ndarray, offsets: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -96,27 +94,6 @@ def short_prints(h: np.ndarray, size: int) -> np.ndarray:
     return mix(h ^ np.uint64(0xA0761D6478BD642F + size))
 
 
-def bitmap(prints: DataFrame) -> np.ndarray:
-    """The bits of all prints, 2 MB whatever the benchmark's size: tasks set theirs, groups of segments are or-ed."""
-
-    def mark(batches):
-        bits = np.zeros(1 << BITS, bool)
-        for batch in batches:
-            bits[(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)] = True
-        packed = np.packbits(bits).reshape(-1, SEGMENT)
-        full = np.flatnonzero(packed.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array([packed[i].tobytes() for i in full], pa.binary())], ["segment", "bits"])
-
-    def unite(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(b, np.uint8) for b in table["bits"].to_pylist()]
-        return pa.table({"segment": table["segment"].slice(0, 1), "bits": pa.array([np.bitwise_or.reduce(parts).tobytes()], pa.binary())})
-
-    out = np.zeros(((1 << BITS) // 8 // SEGMENT, SEGMENT), np.uint8)
-    for row in prints.select("print").mapInArrow(mark, "segment long, bits binary").groupBy("segment").applyInArrow(unite, "segment long, bits binary").collect():
-        out[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
-    return np.unpackbits(out.reshape(-1)).astype(bool)
-
-
 def candidates(docs: DataFrame, bits: np.ndarray, sizes: list[int], k: int, window: int) -> DataFrame:
     """A row for each document with the fingerprints that the bitmap lets pass."""
     packed = np.packbits(bits)
@@ -182,7 +159,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
     """(doc_id, n_words, n_hit, n_items, items, items_sha256, contaminated) of every document."""
     prints = materialise(item_prints(items, k, window, item_col, item_text), "prints")
     sizes = sorted(r[0] for r in prints.where(F.col("size") < window).select("size").distinct().collect())
-    seen = materialise(candidates(docs, bitmap(prints), sizes, k, window), "seen")
+    seen = materialise(candidates(docs, bitmap(prints, "print"), sizes, k, window), "seen")
     hits = seen.where(F.size("hits") > 0).select("part", "row", F.inline("hits"))
     joined = hits.join(prints, ["print", "size"]).select("part", "row", "item_id", "size", "place", "words", "around")
     runs = joined.mapInArrow(extended(k, window), "part int, row long, item_id string, low long, high long")
@@ -203,5 +180,5 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
 
 def clean(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
     """The rows of docs, with all their columns, whose id no contaminated text has (rows without an id stay)."""
-    hit = contamination(docs, items, window, k).where("contaminated").select(F.col("doc_id").alias("hit")).distinct()
-    return docs.join(hit, docs["doc_id"] == F.col("hit"), "left_anti")
+    hit = contamination(docs, items, window, k).where("contaminated").select(F.col("doc_id").alias("__hit")).distinct()
+    return docs.join(hit, docs["doc_id"] == F.col("__hit"), "left_anti")

@@ -5,8 +5,8 @@ set). Two sets with Jaccard similarity of t or more share one of their first n -
 order; the order used puts shingles that many documents hold last, by a frequency sketch of fixed size that every
 shingle of every document is counted in. So each link's two nodes meet in the group of a shared prefix shingle:
 
-1. In each group every node is tested against the group's leader (a new one where sizes rule a link out). That links
-   most families of near copies with one test a member.
+1. In each group every node is tested against the group's leader (a new one where sizes rule a link out) and its centre.
+   That links most families of near copies with two tests a member.
 2. Groups whose nodes are not one component by then hold pairs that are still open. There shingles are hashed to
    LANES counts a node; the counts are points of an R-tree, the sum of coordinate minima with a box's upper corner
    bounds the overlap with all points in it, and surviving pairs of different components are tested by their sets.
@@ -27,13 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.components import components
-from quire.llm.shared import flat, materialise, mix, ragged, slices
+from quire.llm.shared import BITS, bitmap, flat, materialise, mix, ragged, slices
 from quire.llm.words import UNSPACED, gram_hashes, spans, word_hashes
 
-CHUNK = 2 << 20
+CHUNK = 1_000_000
 #: The frequency sketch: 2 ** 22 counters, sent in segments of one byte a counter.
 SKETCH, SEGMENT = 22, 1 << 16
-LANES = 64
+LANES = 128
 #: Nodes of one part of an open group; a task joins two parts.
 PART = 1500
 FANOUT = 12
@@ -67,7 +67,7 @@ def set_nodes(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def lanes(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How many members of each set fall into each of LANES groups."""
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    at = row * LANES + (hashes >> np.uint64(40) & np.uint64(LANES - 1)).astype(np.int64)
+    at = row * LANES + (hashes >> np.uint64(24) & np.uint64(LANES - 1)).astype(np.int64)
     return np.bincount(at, minlength=(len(offsets) - 1) * LANES).reshape(-1, LANES).astype(np.int32)
 
 
@@ -84,7 +84,7 @@ def _place(hashes: np.ndarray) -> np.ndarray:
 
 
 def scan(docs: DataFrame, words_each: int) -> DataFrame:
-    """A row for each document (doc_id, n, node), and each task's counters as rows (segment, counts)."""
+    """A row for each document (doc_id, n, node, points), and each task's counters as rows (segment, counts)."""
 
     def make(batches):
         counts = np.zeros(1 << SKETCH, np.uint32)
@@ -93,16 +93,17 @@ def scan(docs: DataFrame, words_each: int) -> DataFrame:
                 np.add.at(counts, _place(hashes), np.uint32(1))
                 n = np.diff(off)
                 node = pa.array(set_nodes(hashes, off).view(np.int64), mask=n == 0)
+                points = pa.array([p.tobytes() for p in lanes(hashes, off).astype("<u4")], pa.binary())
                 nothing = pa.nulls(last - first)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(n), node, nothing.cast(pa.int32()), nothing.cast(pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(n), node, points, nothing.cast(pa.int32()), nothing.cast(pa.binary())], names)
         low = np.minimum(counts, 255).astype(np.uint8).reshape(-1, SEGMENT)
         full = np.flatnonzero(low.any(axis=1))
         if len(full):
             none = pa.nulls(len(full)).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(full.astype(np.int32)), pa.array([low[i].tobytes() for i in full], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(full), pa.binary()), pa.array(full.astype(np.int32)), pa.array([low[i].tobytes() for i in full], pa.binary())], names)
 
-    names = ["doc_id", "n", "node", "segment", "counts"]
-    return _rows(docs).mapInArrow(make, "doc_id long, n long, node long, segment int, counts binary")
+    names = ["doc_id", "n", "node", "points", "segment", "counts"]
+    return _rows(docs).mapInArrow(make, "doc_id long, n long, node long, points binary, segment int, counts binary")
 
 
 def frequency_classes(scanned: DataFrame) -> np.ndarray:
@@ -205,35 +206,70 @@ def groups(prefix: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(stream, "shingle long, node long, n long, leader long, leader_n long")
 
 
-def node_sets(docs: DataFrame, members: DataFrame, words_each: int) -> DataFrame:
-    """(node, n, points, hashes) of the nodes of `members`, each from one document that has it."""
+def centred(grouped: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each group's centre and its other nodes of fitting size.
+
+    Copies that differ from each other may all be near one original. Its shingles are those that the others kept, so
+    it is the node whose groups are largest taken together.
+    """
+    sizes = grouped.groupBy("shingle").agg(F.count("*").alias("c"))
+    scores = grouped.join(sizes, "shingle").groupBy("node").agg(F.sum("c").alias("score"))
+    best = F.max_by(F.struct(F.col("node").alias("centre"), F.col("n").alias("size")), F.struct("score", "node"))
+    centres = grouped.join(scores, "node").groupBy("shingle").agg(best.alias("m")).select("shingle", "m.*")
+    fits = 100 * F.least("n", "size") >= percent * F.greatest("n", "size")
+    rows = grouped.join(centres, "shingle").where((F.col("node") != F.col("centre")) & fits)
+    return rows.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+
+
+def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of nodes whose overlap may be large enough: the sum of their counts' minima bounds it."""
+
+    def test(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(batch.column(n).to_pylist()), "<u4").reshape(-1, LANES) for n in ("points_a", "points_b"))
+            n = a.sum(axis=1, dtype=np.int64) + b.sum(axis=1, dtype=np.int64)
+            # an overlap o is enough if 100 o >= percent (n - o)
+            enough = (100 + percent) * np.minimum(a, b).sum(axis=1, dtype=np.int64) >= percent * n
+            yield batch.select(["a", "b"]).filter(pa.array(enough))
+
+    side = lambda s: points.select(F.col("node").alias(s), F.col("points").alias(f"points_{s}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "points_a", "points_b").mapInArrow(test, "a long, b long")
+
+
+def node_sets(docs: DataFrame, documents: DataFrame, pairs: DataFrame, words_each: int) -> DataFrame:
+    """(node, hashes) of the nodes of pairs, each from one document that has it.
+
+    A bitmap of the documents' ids, 2 MB at any scale, lets the scan pass by the others; what it lets through in
+    vain finds no pair.
+    """
+    members = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    first = documents.join(members, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    key = F.coalesce("doc_id", F.lit(0))
+    wanted = bitmap(first.select(F.xxhash64(key).alias("h")), "h")
+    packed = np.packbits(wanted)
 
     def make(batches):
+        known = np.unpackbits(packed).astype(bool)
         for batch in batches:
-            for first, last, hashes, off in shingle_sets(batch.column(0), words_each):
-                nodes = set_nodes(hashes, off)
-                points = lanes(hashes, off).astype("<u4")
+            on = known[(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)]
+            for _, _, hashes, off in shingle_sets(batch.column(1).filter(pa.array(on)), words_each):
                 raw = memoryview(hashes.astype("<u8").tobytes())
                 sets = [bytes(raw[8 * a : 8 * b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([_long(nodes), pa.array(np.diff(off)), pa.array([p.tobytes() for p in points], pa.binary()), pa.array(sets, pa.binary())], ["node", "n", "points", "hashes"])
+                _, one = np.unique(nodes := set_nodes(hashes, off), return_index=True)
+                yield pa.RecordBatch.from_arrays([_long(nodes[one]), pa.array([sets[i] for i in one.tolist()], pa.binary())], ["node", "hashes"])
 
-    first = members.groupBy("node").agg(F.min("doc_id").alias("doc_id")).where(F.col("doc_id").isNotNull())
-    texts = _rows(docs).join(first.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
-    return texts.mapInArrow(make, "node long, n long, points binary, hashes binary").dropDuplicates(["node"])
+    made = _rows(docs).select(F.xxhash64(key).alias("h"), "text").mapInArrow(make, "node long, hashes binary")
+    return made.join(members, "node", "left_semi").dropDuplicates(["node"])
 
 
 def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar enough: first by the bound, then by the sets."""
+    """The pairs (a, b) of nodes whose sets are similar enough."""
 
     def test(batches):
         for batch in batches:
             keep = []
-            pa_, pb = (np.frombuffer(b"".join(batch.column(n).to_pylist()), "<u4").reshape(-1, LANES) for n in ("points_a", "points_b"))
-            n = pa_.sum(axis=1, dtype=np.int64) + pb.sum(axis=1, dtype=np.int64)
-            bound = np.minimum(pa_, pb).sum(axis=1, dtype=np.int64)
-            enough = (100 + percent) * bound >= percent * n  # overlap o is enough if 100 o >= percent (a + b - o)
             a, b = batch.column("hashes_a"), batch.column("hashes_b")
-            for i in np.flatnonzero(enough).tolist():
+            for i in range(len(batch)):
                 x, y = (np.frombuffer(c[i].as_buffer(), "<u8") for c in (a, b))
                 both = np.concatenate([x, y])
                 both.sort()
@@ -241,8 +277,8 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    side = lambda s: sets.select(F.col("node").alias(s), F.col("points").alias(f"points_{s}"), F.col("hashes").alias(f"hashes_{s}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "points_a", "points_b", "hashes_a", "hashes_b").mapInArrow(test, "a long, b long")
+    side = lambda s: sets.select(F.col("node").alias(s), F.col("hashes").alias(f"hashes_{s}"))
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "hashes_a", "hashes_b").mapInArrow(test, "a long, b long")
 
 
 class CountTrees:
@@ -296,7 +332,7 @@ class CountTrees:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def open_pairs(grouped: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def open_pairs(grouped: DataFrame, roots: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes of different components that share a prefix shingle and that the R-tree's bound allows."""
 
     def pairs_of(table: pa.Table) -> pa.RecordBatch | None:
@@ -348,7 +384,7 @@ def open_pairs(grouped: DataFrame, roots: DataFrame, sets: DataFrame, percent: i
     up = F.transform(numbers(F.coalesce("parts_above", F.lit(0))), lambda j: task(F.col("k"), -1 - F.col("salt"), j, F.lit(0)))
     down = F.transform(numbers(F.coalesce("parts_below", F.lit(0))), lambda j: task(F.col("k") - 1, -1 - j, F.col("salt"), F.lit(1)))
     tasks = dealt.withColumn("salt", salt).select("shingle", "node", "root", F.inline(F.concat(own, up, down)))
-    tasks = tasks.join(sets.select("node", "points"), "node")
+    tasks = tasks.join(points, "node")
     parts = int(grouped.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = tasks.select(*KEY, "side", "node", "root", "points").repartition(parts, *KEY).sortWithinPartitions(*KEY)
     return dealt.mapInArrow(join, "a long, b long").distinct()
@@ -359,14 +395,22 @@ def jaccard_join(docs: DataFrame, words_each: int = 5, percent: int = 80) -> Dat
     scanned = materialise(scan(docs, words_each), "sets")
     documents = scanned.where(F.col("segment").isNull()).select("doc_id", "n", "node")
     grouped = materialise(groups(prefixes(docs, frequency_classes(scanned), words_each, percent), percent), "groups")
-    shared = grouped.select("node").distinct()
-    sets = materialise(node_sets(docs, documents.join(shared, "node", "left_semi"), words_each), "node-sets")
-    led = grouped.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    first = materialise(linked(led, sets, percent), "links")
+    points = scanned.where("node IS NOT NULL").select("node", "points").join(grouped.select("node").distinct(), "node", "left_semi")
+    points = materialise(points.dropDuplicates(["node"]), "points")
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        pairs = materialise(pairs, "pairs")
+        if pairs.isEmpty():
+            return pairs
+        return materialise(linked(pairs, node_sets(docs, documents, pairs, words_each), percent), "links")
+
+    led = grouped.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+    led = materialise(led.union(centred(grouped, percent)).distinct(), "led")
+    first = tested(bounded(led, points, percent))
     roots = materialise(components(first), "roots")
-    rest = open_pairs(grouped, roots, sets, percent).join(led, ["a", "b"], "left_anti")
-    links = first.union(materialise(linked(rest, sets, percent), "links"))
-    roots = materialise(components(links), "roots")
+    more = tested(open_pairs(grouped, roots, points, percent).join(led, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        roots = materialise(components(first.union(more)), "roots")
     least = documents.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     joined = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     heads = joined.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -381,6 +425,6 @@ def one_of_each(docs: DataFrame, words_each: int = 5, percent: int = 80) -> Data
     Rows of one id count as one document, of which one row stays; rows without an id stay as they are.
     """
     joined = jaccard_join(docs, words_each, percent)
-    heads = joined.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("head")).distinct()
-    named = docs.join(heads, docs["doc_id"] == F.col("head"), "left_semi").dropDuplicates(["doc_id"])
+    heads = joined.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__head")).distinct()
+    named = docs.join(heads, docs["doc_id"] == F.col("__head"), "left_semi").dropDuplicates(["doc_id"])
     return named.unionByName(docs.where(F.col("doc_id").isNull()))

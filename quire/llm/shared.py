@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,15 +25,26 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/quire-{purpose}-{uuid.uuid4().hex}"
 
 
+#: Bytes of rows that Spark hands to Python at once at most; texts and sets would fill 64 MB else, in every task twice.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    if int(re.sub(r"\D", "", spark.conf.get(BATCH[0]))) > BATCH[1]:
+        spark.conf.set(*map(str, BATCH))
+
+
 def materialise(df: DataFrame, purpose: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it again: lineage ends there, and a lost executor costs nothing."""
     spark = df.sparkSession
+    small_batches(spark)
     path = work_dir(spark, purpose)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,6 +53,34 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Bits of a bitmap of hashes, a power of two, and bytes of the segments that it is sent in.
+BITS, SEGMENT = 24, 1 << 16
+
+
+def bitmap(rows: DataFrame, column: str) -> np.ndarray:
+    """Flags by the upper bits of all hashes in a column: 2 MB on the driver whatever the table's size.
+
+    Tasks set their own bits; segments are or-ed in groups. None of the hashes is missed, so it only ever rules out.
+    """
+
+    def mark(batches):
+        bits = np.zeros(1 << BITS, bool)
+        for batch in batches:
+            bits[(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)] = True
+        packed = np.packbits(bits).reshape(-1, SEGMENT)
+        full = np.flatnonzero(packed.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(full), pa.array([packed[i].tobytes() for i in full], pa.binary())], ["segment", "bits"])
+
+    def unite(table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(b, np.uint8) for b in table["bits"].to_pylist()]
+        return pa.table({"segment": table["segment"].slice(0, 1), "bits": pa.array([np.bitwise_or.reduce(parts).tobytes()], pa.binary())})
+
+    out = np.zeros(((1 << BITS) // 8 // SEGMENT, SEGMENT), np.uint8)
+    for row in rows.select(column).mapInArrow(mark, "segment long, bits binary").groupBy("segment").applyInArrow(unite, "segment long, bits binary").collect():
+        out[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
+    return np.unpackbits(out.reshape(-1)).astype(bool)
+
+
 def file_system(uri: str):
     """(pyarrow file system, path) of a URI or plain path; executors open shared files through it."""
     from pyarrow import fs
