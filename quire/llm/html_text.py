@@ -3,8 +3,10 @@
 The standard library's parser streams events. A block element starts a new line; a line's ratio is its characters
 outside links against its tags. Ratios are smoothed by a Gaussian along the page and cut in two clusters at the
 threshold that parts them best (Otsu's, on logarithms). Lines belong to regions, their nearest sectioning element;
-a region is content if most of its characters are in lines of the upper cluster or if it holds most of an article,
-and then all its lines count, so short paragraphs stay. Elements that are never article text (menus, headers, footers,
+a region is content if most of its characters are in lines of the upper cluster and it is no list of links, and then
+all its lines count, so short paragraphs stay. <article> and <main> are a prior alone: ratios aren't smoothed across
+their edges, and where they hold half of a page's text or more, lines in them need no more than PROSE characters a tag,
+wherever the threshold lies. Elements that are never article text (menus, headers, footers,
 sidebars, notices, adverts, forms, comments, scripts, styles, hidden ones) give no lines at all.
 
 Defined cases: a null or empty html gives an empty text; unclosed and stray tags are tolerated; repeated rows are
@@ -34,6 +36,8 @@ SKIPPED_NAMES = frozenset(
 #: Open elements that the start of another ends, as HTML has it.
 ENDED_BY = {"p": BLOCKS - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody"}, "th": {"td", "th", "tr", "tbody"}, "option": {"option", "optgroup"}}
 SIGMA = 1.5
+#: Characters a tag that are enough for text in an article.
+PROSE = 8
 
 
 class Events(HTMLParser):
@@ -44,7 +48,7 @@ class Events(HTMLParser):
         self.open: list[tuple[str, bool, int, int]] = []  # tag, skipped, region, article
         self.lines: list[list] = []
         self.buffer: list[str] = []
-        self.linked = self.tags = self.links = self.regions = self.articles = 0
+        self.linked = self.tags = self.links = self.regions = self.articles = self.coloured = 0
 
     def flush(self) -> None:
         text = " ".join("".join(self.buffer).split())
@@ -62,7 +66,7 @@ class Events(HTMLParser):
                 self._close()
         if tag in BLOCKS:
             self.flush()
-        self.tags += 1
+        self.tags += not self.coloured  # tags within preformatted text colour it
         if tag == "br":
             self.buffer.append(" ")
         if tag in VOID:
@@ -70,13 +74,14 @@ class Events(HTMLParser):
         _, skipped, region, article = self.open[-1] if self.open else ("", False, 0, 0)
         if not skipped and (skipped := self._never(tag, attrs, article)):
             self.flush()
-        if tag in REGIONS:
+        if tag in REGIONS and not (tag == "td" and article):  # cells in an article are of a table, not a layout
             self.regions += 1
             region = self.regions
         if tag in ("article", "main"):
             self.articles += 1
             article = self.articles
         self.links += tag == "a"
+        self.coloured += tag == "pre"
         self.open.append((tag, skipped, region, article))
 
     def _never(self, tag: str, attrs, article: int) -> bool:
@@ -100,10 +105,11 @@ class Events(HTMLParser):
         if tag in BLOCKS or skipped and not (len(self.open) > 1 and self.open[-2][1]):
             self.flush()
         self.links -= tag == "a"
+        self.coloured -= tag == "pre"
         self.open.pop()
 
     def handle_endtag(self, tag):
-        self.tags += 1
+        self.tags += not self.coloured or tag == "pre"
         if not any(x[0] == tag for x in self.open):
             if tag == "p":
                 self.flush()
@@ -151,16 +157,19 @@ def main_text(html: str) -> str:
         return ""
     own = np.array([max(len(t) - link, 0) for t, link, _, _, _ in lines], float)
     size = np.array([len(t) for t, *_ in lines], float)
-    ratio = np.log1p(smooth(own / np.maximum(np.array([n for _, _, n, _, _ in lines]), 1)))
-    upper = ratio >= threshold(ratio)
     region, article = (np.array([x[i] for x in lines]) for i in (3, 4))
+    inside = article > 0
+    ratio = own / np.maximum(np.array([n for _, _, n, _, _ in lines]), 1)
+    for part in (inside, ~inside):
+        if part.any():
+            ratio[part] = np.log1p(smooth(ratio[part]))
+    upper = ratio >= threshold(ratio)
     total = lambda keys, values: np.bincount(keys, values)[keys]
     menu = total(region, own) < 0.4 * total(region, size)
+    if inside.any() and own[inside].sum() >= 0.5 * own.sum():
+        upper |= inside & (ratio >= np.log1p(PROSE))
+        menu &= ~inside | (total(region, size) < 0.5 * total(article, size))
     keep = (total(region, size * upper) >= 0.5 * total(region, size)) & ~menu
-    if (inside := article > 0).any():
-        # articles hold the content where there are any: those that are a fair part of the longest
-        text = np.bincount(article, own * inside)
-        keep = inside & (text[article] >= 0.25 * text[1:].max()) & ~(menu & (total(region, size) < 0.5 * total(article, size)))
     if not keep.any():
         keep = region == region[np.argmax(total(region, own))]
     return "\n\n".join(x[0] for x, k in zip(lines, keep.tolist(), strict=True) if k)

@@ -295,6 +295,21 @@ def test_main_text(wrap):
     assert html_text.main_text(PAGE % (wrap % BODY)) == WANT
 
 
+LONG = "A sentence of the story, with commas, clauses and words enough to count as text. " * 4
+
+
+def test_ratios_decide_inside_and_outside_of_articles():
+    story, labels = f"<p>{LONG}</p>" * 5, "<div>" + "<p><b>Tag</b> <i>x</i></p>" * 8 + "</div>"
+    want = "\n\n".join([LONG.strip()] * 5)
+    assert html_text.main_text(f"<article>{story}{labels}</article>") == want
+    # what is not a layout's keeps its text: tables, code, sections of shorter paragraphs
+    rest = "<table>" + "<tr><td>12</td><td>7</td></tr>" * 6 + "</table><div><pre>" + "<b>x</b>=<i>1</i>\n" * 9 + "</pre></div><section>" + "<p>A shorter paragraph.</p>" * 4 + "</section>"
+    got = html_text.main_text(f"<article>{story}{rest}</article>")
+    assert got == "\n\n".join([want, *["12", "7"] * 6, " ".join(["x=1"] * 9), *["A shorter paragraph."] * 4])
+    # a teaser is no reason to drop a story that is in no article
+    assert html_text.main_text(f"<div id='story'>{story}</div><article><h3>Other</h3><p>Read on.</p></article>") == want
+
+
 def test_pages_of_any_kind(spark):
     got = {r.page_id: r for r in html_text.extract_pages(pages(spark)).collect()}
     assert (got[4].text, got[5].text, got[3].text, got[1].n_chars) == ("", "", "other", 4)
