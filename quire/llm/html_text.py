@@ -7,7 +7,9 @@ a region is content if most of its characters are in lines of the upper cluster
 all its lines count, so short paragraphs stay. <article> and <main> are a prior alone: ratios aren't smoothed across
 their edges, and where they hold half of a page's text or more, lines in them need no more than PROSE characters a tag,
 wherever the threshold lies. Elements that are never article text (menus, headers, footers,
-sidebars, notices, adverts, forms, comments, scripts, styles, hidden ones) give no lines at all.
+sidebars, notices, adverts, forms, comments, scripts, styles, hidden ones) give no lines at all. Names tell them by any
+word, but not headings and inline elements in an article; ids of blocks and names of sections there, which often are
+those of the text's own parts ("related-work"), must be made up of such words. Nested articles are part of the outermost.
 
 Defined cases: a null or empty html gives an empty text; unclosed and stray tags are tolerated; repeated rows are
 extracted each; an empty table gives an empty result; other columns are ignored.
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 REGIONS = frozenset("article body div html main section td".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SKIPPED = frozenset("aside audio button canvas datalist dialog footer form head header iframe input label math menu nav noframes noscript object optgroup option script select style svg template textarea title video".split())
 SKIPPED_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 SKIPPED_NAMES = frozenset(
@@ -33,6 +36,9 @@ SKIPPED_NAMES = frozenset(
     "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo promotion related recommended "
     "reply replies respond search share sharing sidebar signup skip social sponsor sponsored subscribe teaser toolbar topbar widget".split()
 )
+#: Words that go along with those in a name, and words that head parts of an article as well.
+FURNITURE = frozenset("area articles bar block box button buttons container content form inner items links list module outer panel posts section stories widgets wrap wrapper".split())
+TOPICS = frozenset({"advertising", "disclaimer", "discussion", "navigation", "notice", "notices", "promotion"})
 #: Open elements that the start of another ends, as HTML has it.
 ENDED_BY = {"p": BLOCKS - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody"}, "th": {"td", "th", "tr", "tbody"}, "option": {"option", "optgroup"}}
 SIGMA = 1.5
@@ -40,6 +46,12 @@ SIGMA = 1.5
 PROSE = 8
 
 
+def _all_furniture(value: str) -> bool:
+    """Whether a name in value is made of words for what is never article text alone."""
+    names = ({*re.split(r"[^a-z]+", x)} - {""} for x in value.split())
+    return any(words <= SKIPPED_NAMES | FURNITURE and words & SKIPPED_NAMES - TOPICS for words in names)
+
+
 class Events(HTMLParser):
     """Lines of a page: [text, link characters, tags, region, article]."""
 
@@ -77,7 +89,7 @@ class Events(HTMLParser):
         if tag in REGIONS and not (tag == "td" and article):  # cells in an article are of a table, not a layout
             self.regions += 1
             region = self.regions
-        if tag in ("article", "main"):
+        if tag in ("article", "main") and not article:
             self.articles += 1
             article = self.articles
         self.links += tag == "a"
@@ -97,7 +109,8 @@ class Events(HTMLParser):
             if name == "style" and "display:none" in value.replace(" ", ""):
                 return True
             if name in ("class", "id") and SKIPPED_NAMES & {*re.split(r"[^a-z]+", value)}:
-                return True
+                if not article or tag in BLOCKS and tag not in HEADINGS and (name == "class" and tag != "section" or _all_furniture(value)):
+                    return True
         return False
 
     def _close(self) -> None:

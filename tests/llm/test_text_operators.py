@@ -310,6 +310,20 @@ def test_ratios_decide_inside_and_outside_of_articles():
     assert html_text.main_text(f"<div id='story'>{story}</div><article><h3>Other</h3><p>Read on.</p></article>") == want
 
 
+def test_text_of_nested_and_several_articles_stays():
+    body = f"<p>{LONG * 2}</p>" * 8
+    want = [(LONG * 2).strip()] * 8
+    assert html_text.main_text(f"<main><h1>Title</h1><p>Lead: {LONG}</p><article>{body}</article></main>").split("\n\n") == ["Title", f"Lead: {LONG.strip()}", *want]
+    assert html_text.main_text(f"<article>{body}</article><article><h2>Next</h2><p>{LONG}</p></article>").split("\n\n") == [*want, "Next", LONG.strip()]
+
+
+def test_names_of_an_articles_own_parts():
+    parts = f"<h2 id='discussion'>Discussion</h2><p>{LONG}<span class='share'>of all</span></p><section id='related-work' class='level2'><p>{LONG}</p></section><section id='discussion'><p>{LONG}</p></section>"
+    never = "".join(f"<{x}><p>{LONG}never</p></{x.split()[0]}>" for x in ("section id='comments'", "div id='related-posts'", "div class='share-buttons'", "section class='newsletter-box'"))
+    got = html_text.main_text(f"<article>{parts}{never}</article>").split("\n\n")
+    assert got == ["Discussion", f"{LONG}of all", LONG.strip(), LONG.strip()]
+
+
 def test_pages_of_any_kind(spark):
     got = {r.page_id: r for r in html_text.extract_pages(pages(spark)).collect()}
     assert (got[4].text, got[5].text, got[3].text, got[1].n_chars) == ("", "", "other", 4)
