@@ -2,7 +2,8 @@
 
 The base rules give their findings as they are. Other candidates are long runs of key characters with a letter and a
 digit; a convolutional network in numpy reads LEFT characters before, the candidate's head and tail, and RIGHT after,
-each with its own max pooling. It is trained on labelled findings (by default made from a seeded generator), its
+each with its own max pooling. Of a candidate longer than head and tail it reads pieces all along as well, each with what
+is around it, and the highest score counts: any 32 characters in a row are in one piece. It is trained on labelled findings (by default made from a seeded generator), its
 scores are calibrated on a fold it hasn't seen, and each candidate class gets the highest threshold that keeps the
 wanted recall there.
 
@@ -34,6 +35,8 @@ LONG_HEX = re.compile(r"[0-9a-f]{32,}")
 NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey")
 WIDE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 LEFT, HEAD, TAIL, RIGHT, WIDTH, FILTERS, DENSE = 20, 32, 12, 12, 5, 20, 16
+#: Longer candidates are read in pieces of SPAN characters too, one every STEP.
+SPAN, STEP = HEAD + TAIL, 12
 SEGMENTS = ((0, LEFT), (LEFT, LEFT + HEAD + TAIL), (LEFT + HEAD + TAIL, LEFT + HEAD + TAIL + RIGHT))
 
 
@@ -73,16 +76,31 @@ def window(text: str, a: int, b: int) -> np.ndarray:
     """Classes of the characters around and in text[a:b]; 0 where there is none, 1 for others below 128, last above."""
     head, tail = text[a : min(b, a + HEAD)], text[max(a + HEAD, b - TAIL) : b]
     parts = text[max(0, a - LEFT) : a].rjust(LEFT, "\0"), head.ljust(HEAD, "\0"), tail.ljust(TAIL, "\0"), text[b : b + RIGHT].ljust(RIGHT, "\0")
+    return _codes("".join(parts))
+
+
+def _codes(text: str) -> np.ndarray:
     known = _classes()
-    return np.array([0 if c == "\0" else known.get(c, 1 if c < "\x80" else N_CLASSES - 1) for c in "".join(parts)], np.int16)
+    return np.array([0 if c == "\0" else known.get(c, 1 if c < "\x80" else N_CLASSES - 1) for c in text], np.int16)
+
+
+def windows(text: str, a: int, b: int) -> np.ndarray:
+    """The window of text[a:b] and, where that leaves out its middle, those of pieces all along it."""
+    ends = window(text, a, b)[None]
+    if b - a <= SPAN:
+        return ends
+    around = _codes(text[max(0, a - LEFT) : a].rjust(LEFT, "\0") + text[a : b + RIGHT].ljust(b - a + RIGHT, "\0"))
+    at = np.append(np.arange(0, b - a - SPAN, STEP), b - a - SPAN)
+    return np.concatenate([ends, np.lib.stride_tricks.sliding_window_view(around, LEFT + SPAN + RIGHT)[at]])
 
 
-def findings(n: int = 1600, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Labelled findings from a seeded generator: (windows, labels, candidate classes)."""
+def findings(n: int = 1600, seed: int = 5, within: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Labelled findings from a seeded generator: (windows, labels, candidate classes); within: pieces of longer candidates."""
     r = np.random.default_rng(seed)
     hexa, upper, alnum, base64 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
     of = lambda chars, k: "".join(chars[i] for i in r.integers(0, len(chars), k))
     word = lambda: of("aeiounrstlhdc", int(r.integers(2, 9)))
+    spoken = lambda: "".join(pick("", of("bcdfghjklmnpqrstvwxyz", 1), pick("st", "pr", "br", "cl", "tr", "ch", "sh", "th")) + of("aeiou", 1) + pick("", of("bcdgklmnprstvx", 1), pick("rt", "ck", "st", "nd", "ng", "ss")) for _ in range(k(1, 4)))
     pick = lambda *x: x[int(r.integers(0, len(x)))]
     k = lambda a, b: int(r.integers(a, b))
     secret = (
@@ -112,8 +130,20 @@ def findings(n: int = 1600, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.n
         before = pick("", *(["key ", "auth: ", "bearer ", "credential=", "private ", "pass "] if label else ["see ", "file ", "at ", "page ", "id "]), "")
         left = " ".join(word() for _ in range(k(0, 5))) + pick(" ", "\n", ' "', " (") + before
         right = pick(" ", "\n", '" ', ". ", ") ") + " ".join(word() for _ in range(k(0, 4)))
-        text = left + token + right
-        rows.append(window(text, len(left), len(left) + len(token)))
+        if within:
+            # ordinary parts before and after; the piece holds most of the token that the label is of
+            glue, part = pick("/", "/", "_", "-", "="), lambda: pick(spoken, spoken, spoken, word, pick(*other))()  # noqa: B023
+            head, tail = (glue.join(part() for _ in range(k(2, 7))) for _ in range(2))
+            a = len(left) + len(head) + 1
+            token, b = head + glue + token + glue + tail, a + len(token)
+            text = left + token + right
+            least, most = len(left), max(len(left), len(left) + len(token) - SPAN)
+            room = min(SPAN, b - a, 32)
+            at = min(max(k(b - SPAN, a + 1) if b - a <= room else k(a, b - room + 1), least), most)
+            rows.append(window(text, at, min(at + SPAN, len(left) + len(token))))
+        else:
+            text = left + token + right
+            rows.append(window(text, len(left), len(left) + len(token)))
         labels.append(label)
         classes.append(candidate_class(token))
     return np.stack(rows), np.array(labels, np.float32), np.array(classes)
@@ -190,25 +220,32 @@ class CharNetwork:
 
 
 def trained(recall: float = 0.95, labelled=None) -> CharNetwork:
-    x, y, classes = labelled or findings()
+    """A network fitted to labelled findings (windows, labels, classes), or to generated ones, three quarters of them pieces."""
+    if labelled is None:
+        whole, pieces = findings(), findings(4800, seed=6, within=True)
+        order = np.random.default_rng(2).permutation(len(whole[0]) + len(pieces[0]))
+        labelled = [np.concatenate(x)[order] for x in zip(whole, pieces, strict=True)]
+    x, y, classes = labelled
     return CharNetwork().fit(x, y, classes, recall)
 
 
 def scan_text(texts: list[str], network: CharNetwork) -> list[list[tuple[int, str, int]]]:
     """All findings (start, kind, end) of each text, in the order of start and kind."""
     found = [base_findings(t) for t in texts]
-    rows, owner, where = [], [], []
-    for i, t in enumerate(texts):
-        for a, b in candidates(t, found[i]):
-            rows.append(window(t, a, b))
-            owner.append(i)
-            where.append((a, b))
-    for first in range(0, len(rows), 2048):
-        score = network.scores(np.stack(rows[first : first + 2048]))
-        for k, p in enumerate(score.tolist(), first):
-            a, b = where[k]
-            if p >= network.thresholds[candidate_class(texts[owner[k]][a:b])]:
-                found[owner[k]].append((a, "other", b))
+    where = [(i, a, b) for i, t in enumerate(texts) for a, b in candidates(t, found[i])]
+    best, rows, owner, held = np.zeros(len(where)), [], [], 0
+    for k, (i, a, b) in enumerate(where):
+        rows.append(windows(texts[i], a, b))
+        owner.append(np.full(len(rows[-1]), k))
+        held += len(rows[-1])
+        if held >= 2048 or k == len(where) - 1:
+            x, of = np.concatenate(rows), np.concatenate(owner)
+            for first in range(0, held, 2048):
+                np.maximum.at(best, of[first : first + 2048], network.scores(x[first : first + 2048]))
+            rows, owner, held = [], [], 0
+    for p, (i, a, b) in zip(best.tolist(), where, strict=True):
+        if p >= network.thresholds[candidate_class(texts[i][a:b])]:
+            found[i].append((a, "other", b))
     return [sorted(f, key=lambda x: (x[0], KINDS.index(x[1]))) for f in found]
 
 

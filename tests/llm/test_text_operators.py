@@ -177,6 +177,20 @@ def test_network_on_unseen_findings():
     assert hit[y == 1].mean() > 0.85 and hit[y == 0].mean() < 0.05
 
 
+def test_network_sees_the_middle_of_long_candidates():
+    text = "of /var/lib/app/releases/current/conf/ghp_a8Jd0Qm4Zt7Rk2Wx9Lp5Vn3Bc6Yf1Hs0Gu8E/backup/archive/old files"
+    assert secret_scan.scan_text([text], secret_scan.trained()) == [[(3, "other", len(text) - 6)]]
+    run = "".join(chr(33 + i % 90) for i in range(131))
+    pieces = [w[secret_scan.LEFT : -secret_scan.RIGHT].tolist() for w in secret_scan.windows(f"a {run} b", 2, 133)[1:]]
+    codes = secret_scan.windows(run, 0, 131)[1:]
+    assert all(any(codes_of(run[i : i + 32]) == p[j : j + 32] for p in pieces for j in range(13)) for i in range(100)) and len(codes) == len(pieces)
+    assert len(secret_scan.windows(run, 0, secret_scan.SPAN)) == 1
+
+
+def codes_of(text):
+    return secret_scan.window(text, 0, len(text))[secret_scan.LEFT : secret_scan.LEFT + len(text)].tolist()
+
+
 def test_scan_and_mask(spark, odd, nothing):
     network = secret_scan.trained()
     rows = {r.doc_id: r for r in secret_scan.secret_findings(odd, network).collect()}
