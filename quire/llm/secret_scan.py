@@ -8,7 +8,7 @@ scores are calibrated on a fold it hasn't seen, and each candidate class gets th
 wanted recall there.
 
 Defined cases: a null text is empty and has no finding; findings of one kind never overlap, those of different kinds
-may; a candidate that overlaps a base finding isn't reported again; repeated rows are scanned each; an empty table
+may; of a run that base findings overlap, what they leave over is a candidate if it is one by itself; repeated rows are scanned each; an empty table
 gives an empty result; other columns are ignored. Offsets are code points, ends are exclusive.
 """
 
@@ -33,7 +33,8 @@ RULES = {
 #: The same findings of hex, sooner: a run that long is met at its first character.
 LONG_HEX = re.compile(r"[0-9a-f]{32,}")
 NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey")
-WIDE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+WIDE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 LEFT, HEAD, TAIL, RIGHT, WIDTH, FILTERS, DENSE = 20, 32, 12, 12, 5, 20, 16
 #: Longer candidates are read in pieces of SPAN characters too, one every STEP.
 SPAN, STEP = HEAD + TAIL, 12
@@ -53,12 +54,24 @@ def base_findings(text: str) -> list[tuple[int, str, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
-    """Runs of key characters with a letter and a digit, apart from the base findings."""
-    out = []
+    """Runs of key characters with a letter and a digit, without what of them is in base findings."""
+    out, taken, i = [], [], 0
+    for a, _, b in sorted(base):
+        if taken and a <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
     for m in WIDE.finditer(text):
-        run = m[0]
-        if not run.isalpha() and any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and not any(a < m.end() and m.start() < b for a, _, b in base):
-            out.append(m.span())
+        at, end = m.span()
+        while i < len(taken) and taken[i][1] <= at:
+            i += 1
+        k = i
+        while at < end:
+            a, b = taken[k] if k < len(taken) and taken[k][0] < end else (end, end)
+            run = text[at:a]
+            if len(run) >= LEAST and not run.isalpha() and any(c.isdigit() for c in run) and any(c.isalpha() for c in run):
+                out.append((at, a))
+            at, k = b, k + 1
     return out
 
 
