@@ -5,7 +5,7 @@ digit; a convolutional network in numpy reads LEFT characters before, the candid
 each with its own max pooling. Of a candidate longer than head and tail it reads pieces all along as well, each with what
 is around it, and the highest score counts: any 32 characters in a row are in one piece. It is trained on labelled findings (by default made from a seeded generator), its
 scores are calibrated on a fold it hasn't seen, and each candidate class gets the highest threshold that keeps the
-wanted recall there.
+wanted recall there, that of all classes together if the fold has no secret of the class.
 
 Defined cases: a null text is empty and has no finding; findings of one kind never overlap, those of different kinds
 may; of a run that base findings overlap, what they leave over is a candidate if it is one by itself; repeated rows are scanned each; an empty table
@@ -210,10 +210,11 @@ class CharNetwork:
             self.slope -= 0.05 * (float((e * z).mean()) + 0.01 * (self.slope - 1))
             self.shift -= 0.05 * float(e.mean())
         score = self.scores(x[cut:])
+        every = np.sort(score[labels == 1])
         for c in range(3):
             positive = np.sort(score[(classes[cut:] == c) & (labels == 1)])
-            if len(positive):
-                self.thresholds[c] = max(0.5, positive[int((1 - recall) * len(positive))])
+            if len(positive := positive if len(positive) else every):
+                self.thresholds[c] = positive[int((1 - recall) * len(positive) + 1e-9)]
         return self
 
     def _gradients(self, x: np.ndarray, y: np.ndarray) -> dict:
@@ -232,13 +233,16 @@ class CharNetwork:
         return 1 / (1 + np.exp(-(self.slope * self.forward(x)["z"].astype(np.float64) + self.shift)))
 
 
+def examples() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Generated findings in a mixed order, three quarters of them pieces."""
+    whole, pieces = findings(), findings(4800, seed=6, within=True)
+    order = np.random.default_rng(2).permutation(len(whole[0]) + len(pieces[0]))
+    return tuple(np.concatenate(x)[order] for x in zip(whole, pieces, strict=True))
+
+
 def trained(recall: float = 0.95, labelled=None) -> CharNetwork:
-    """A network fitted to labelled findings (windows, labels, classes), or to generated ones, three quarters of them pieces."""
-    if labelled is None:
-        whole, pieces = findings(), findings(4800, seed=6, within=True)
-        order = np.random.default_rng(2).permutation(len(whole[0]) + len(pieces[0]))
-        labelled = [np.concatenate(x)[order] for x in zip(whole, pieces, strict=True)]
-    x, y, classes = labelled
+    """A network fitted to labelled findings (windows, labels, classes), or to generated ones."""
+    x, y, classes = labelled or examples()
     return CharNetwork().fit(x, y, classes, recall)
 
 

@@ -205,6 +205,23 @@ def test_remainders_of_base_findings_are_candidates():
         assert {(a, b) for a, kind, b in secret_scan.scan_text([text], secret_scan.trained())[0] if kind == "other"} == {*got}
 
 
+@pytest.mark.parametrize("recall", [0.9, 0.95, 0.99])
+def test_thresholds_keep_the_wanted_recall(recall):
+    x, y, classes = secret_scan.examples()
+    network, fold = secret_scan.trained(recall, (x, y, classes)), slice(len(x) * 3 // 4, None)
+    score, secret = network.scores(x[fold]), y[fold] == 1
+    for c in range(3):
+        own = np.sort(score[secret & (classes[fold] == c)])
+        hit = own >= network.thresholds[c]
+        assert len(own) > 20 and hit.mean() >= recall and (own[hit][0] == network.thresholds[c])
+    # a class of which the fold has no secret
+    rest = classes != 0
+    network = secret_scan.trained(recall, (x[rest], y[rest], classes[rest]))
+    fold = slice(int(rest.sum()) * 3 // 4, None)
+    score = network.scores(x[rest][fold])[y[rest][fold] == 1]
+    assert network.thresholds[0] in score and (score >= network.thresholds[0]).mean() >= recall
+
+
 def test_scan_and_mask(spark, odd, nothing):
     network = secret_scan.trained()
     rows = {r.doc_id: r for r in secret_scan.secret_findings(odd, network).collect()}
