@@ -82,8 +82,8 @@ def inert_zones(line: str) -> list[tuple[int, int]]:
     return zones
 
 
-def mention_finder(titles: list[str]):
-    """Of a lower-cased line the leftmost longest titles, as (start, end, title), cut at word boundaries after that choice."""
+def title_hits(titles: list[str]):
+    """Of a lower-cased line all titles, the longest at each start, in order, as (start, end, title)."""
     import ahocorasick
 
     machine = ahocorasick.Automaton()
@@ -92,19 +92,35 @@ def mention_finder(titles: list[str]):
     if titles:
         machine.make_automaton()
 
-    def find(line: str) -> list[tuple[int, int, str]]:
-        if not titles:
-            return []
-        hits = sorted(((end - len(t) + 1, end + 1, t) for end, t in machine.iter(line)), key=lambda h: (h[0], -h[1]))
-        out, at = [], 0
-        for a, b, t in hits:
-            if a >= at:
-                at = b
-                if not (a and (line[a - 1].isalnum() or line[a - 1] == "_")) and not (b < len(line) and (line[b].isalnum() or line[b] == "_")):
-                    out.append((a, b, t))
-        return out
+    def hits(line: str) -> list[tuple[int, int, str]]:
+        longest = {}
+        for end, t in machine.iter(line) if titles else ():
+            a = end - len(t) + 1
+            if a not in longest or longest[a][1] <= end:
+                longest[a] = (a, end + 1, t)
+        return [longest[a] for a in sorted(longest)]
+
+    return hits
+
 
-    return find
+def leftmost_longest(hits: list[tuple]) -> list[tuple]:
+    """The hits that start where the one kept before has ended or later; hits: (start, end, ..) by start, longest first."""
+    out, at = [], 0
+    for h in hits:
+        if h[0] >= at:
+            at = h[1]
+            out.append(h)
+    return out
+
+
+def at_word_boundaries(line: str, a: int, b: int) -> bool:
+    return not (a and (line[a - 1].isalnum() or line[a - 1] == "_")) and not (b < len(line) and (line[b].isalnum() or line[b] == "_"))
+
+
+def mention_finder(titles: list[str]):
+    """Of a lower-cased line the leftmost longest titles, as (start, end, title), cut at word boundaries after that choice."""
+    hits = title_hits(titles)
+    return lambda line: [h for h in leftmost_longest(hits(line)) if at_word_boundaries(line, *h[:2])]
 
 
 #: Titles that mention search hands to every task at most, in characters.
@@ -114,8 +130,9 @@ MOST_TITLES = 32 << 20
 def mentions(notes: DataFrame, inventory: DataFrame, first: bool = False) -> DataFrame:
     """(rel_path, line, col, surface, target): unlinked mentions of other notes' titles in body text.
 
-    The titles' size is checked before they are handed to the tasks; above the bound, slices of them are, pass by pass,
-    and the leftmost longest of all passes are kept.
+    The titles' size is checked before they are handed to the tasks; above the bound, slices of them are, pass by pass.
+    Then passes give a line's hits all, those at no word boundary or in inert zones as well, for they take their place
+    from others in one pass too, and the leftmost longest are chosen among the hits of all passes.
     """
     titles = inventory.select("key", "rel_path")
     size = titles.agg(F.coalesce(F.sum(F.length("key")), F.lit(0))).first()[0]
@@ -127,25 +144,37 @@ def mentions(notes: DataFrame, inventory: DataFrame, first: bool = False) -> Dat
         shared = notes.sparkSession.sparkContext.broadcast(part)
 
         def scan(batches, shared=shared):
-            find = mention_finder(shared.value)
+            find = (mention_finder if passes == 1 else title_hits)(shared.value)
             for batch in batches:
                 out = []
                 for path, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     for x in lines or ():
                         if x["kind"] != "body":
                             continue
-                        hits, zones = find(x["cleaned"].translate(translate)), None
+                        line = x["cleaned"].translate(translate)
+                        hits, zones = find(line), None
                         for a, b, t in hits:
                             zones = inert_zones(x["raw"]) if zones is None else zones
-                            if not any(c < b and a < d for c, d in zones):
-                                out.append({"rel_path": path, "line": x["line"], "col": a + 1, "end": b, "surface": x["raw"][a:b], "key": t})
-                yield pa.RecordBatch.from_pylist(out, pa.schema([("rel_path", pa.string()), ("line", pa.int32()), ("col", pa.int32()), ("end", pa.int32()), ("surface", pa.string()), ("key", pa.string())]))
+                            live = at_word_boundaries(line, a, b) and not any(c < b and a < d for c, d in zones)
+                            if live or passes > 1:
+                                out.append({"rel_path": path, "line": x["line"], "col": a + 1, "end": b, "surface": x["raw"][a:b], "key": t, "live": live})
+                yield pa.RecordBatch.from_pylist(out, pa.schema([("rel_path", pa.string()), ("line", pa.int32()), ("col", pa.int32()), ("end", pa.int32()), ("surface", pa.string()), ("key", pa.string()), ("live", pa.bool_())]))
 
-        hits = notes.select("rel_path", "lines").mapInArrow(scan, "rel_path string, line int, col int, end int, surface string, key string")
+        hits = notes.select("rel_path", "lines").mapInArrow(scan, "rel_path string, line int, col int, end int, surface string, key string, live boolean")
         found = hits if found is None else found.union(hits)
     if passes > 1:
-        w = Window.partitionBy("rel_path", "line").orderBy("col", F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1)
-        found = found.withColumn("_before", F.max("end").over(w)).where(F.col("_before").isNull() | (F.col("_before") < F.col("col"))).drop("_before")
+
+        def choose(batches):
+            for batch in batches:
+                out = []
+                for path, line, hits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    for a, _, surface, key, live in leftmost_longest([(h["col"] - 1, -h["before"], h["surface"], h["key"], h["live"]) for h in hits]):
+                        if live:
+                            out.append({"rel_path": path, "line": line, "col": a + 1, "surface": surface, "key": key})
+                yield pa.RecordBatch.from_pylist(out, pa.schema([("rel_path", pa.string()), ("line", pa.int32()), ("col", pa.int32()), ("surface", pa.string()), ("key", pa.string())]))
+
+        each = F.struct("col", (-F.col("end")).alias("before"), "surface", "key", "live")
+        found = found.groupBy("rel_path", "line").agg(F.sort_array(F.collect_list(each)).alias("hits")).mapInArrow(choose, "rel_path string, line int, col int, surface string, key string")
     out = found.join(titles.withColumnRenamed("rel_path", "target"), "key").where("rel_path <> target").select("rel_path", "line", "col", "surface", "target")
     return first_only(out) if first else out
 

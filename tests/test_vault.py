@@ -1,5 +1,6 @@
 import json
 import os
+import random
 
 import pytest
 from quire.functions import markdown as M
@@ -205,6 +206,24 @@ def test_mentions(notes):
     assert [(r.line, r.col, r.surface, r.target) for r in hits.where("rel_path = 'sub/nested.md'").collect()] == [(5, FILES["sub/nested.md"].split("\n")[4].index(" alpha,") + 2, "alpha", "alpha.md")]
 
 
+def test_mentions_in_several_passes(spark, monkeypatch):
+    r = random.Random(4)
+    words = ["ab", "cd", "ef", "gh", "x", "abc"]
+    texts = ["ab cd ef gh", "ab [cd ef](u) gh", *(r.choice([" ", "", "-"]).join(r.choices(words, k=r.randint(4, 14))) for _ in range(60))]
+    titles = {"ab cd", "cd ef", "ef gh", *(" ".join(r.choices(words, k=r.randint(1, 3))) for _ in range(40))}
+    lines = "array<struct<kind string, line int, raw string, cleaned string>>"
+    rows = spark.createDataFrame([(f"n{i}.md", [("body", 1, t, t), ("body", 2, t + " ab cd", t + " ab cd")]) for i, t in enumerate(texts)], f"rel_path string, lines {lines}")
+
+    def found(keys, most):
+        monkeypatch.setattr(repair, "MOST_TITLES", most)
+        known = spark.createDataFrame([(k, f"t/{k}.md") for k in keys], "key string, rel_path string")
+        return sorted(map(tuple, repair.mentions(rows, known).collect()))
+
+    three = ["ab cd", "cd ef", "ef gh"]
+    assert found(three, 5) == found(three, 1 << 20) and ("n0.md", 1, 7, "ef gh", "t/ef gh.md") in found(three, 5)
+    assert found(titles, sum(map(len, titles)) // 5) == found(titles, 1 << 20)
+
+
 SCHEMA = lint.Schema.of(
     {
         "default": {"required": ["title"]},
