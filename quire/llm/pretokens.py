@@ -154,7 +154,8 @@ class Cutter:
 class WordCache:
     """What a function of a pre-token gives (a ragged row of ids), by its hash; emptied when full, so memory has a bound.
 
-    Pre-tokens with equal 64-bit hashes count as equal: with 1e6 entries held, one wrong answer is expected in some 2e13 different pre-tokens.
+    Entries are found by one 64-bit hash and checked by a second one; a pre-token that an entry of another's hash hides
+    is worked out each time it comes.
     """
 
     MOST = 1_000_000
@@ -165,7 +166,7 @@ class WordCache:
 
     def clear(self) -> None:
         self.table, self.flat, self.used = HashTable(21), np.zeros(1 << 20, np.int32), 0
-        self.starts, self.lengths, self.n = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32), 0
+        self.starts, self.lengths, self.check, self.n = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.uint64), 0
 
     def _room(self, name: str, n: int) -> None:
         x = getattr(self, name)
@@ -174,26 +175,29 @@ class WordCache:
 
     def of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Numbers of the entries of data[starts[i]:ends[i]]."""
-        h = span_hashes(data, starts, ends)
+        h, check = span_hashes(data, starts, ends), span_hashes(data, starts, ends, 1)
         at = self.table.get(h)
+        at[(at >= 0) & (self.check[at] != check)] = -2  # hidden by an entry of the same hash
         new = np.flatnonzero(at < 0)
         if len(new):
-            keys, one = np.unique(h[new], return_index=True)
-            if self.n + len(keys) > self.MOST and self.n:
+            order = new[np.lexsort((check[new], h[new]))]
+            first = np.append(True, (h[order[1:]] != h[order[:-1]]) | (check[order[1:]] != check[order[:-1]]))
+            one = order[first]
+            if self.n + len(one) > self.MOST and self.n:
                 self.clear()
                 return self.of(data, starts, ends)
-            one = new[one]
             raw = data.tobytes()
             ids, lengths = self.rows([raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])
+            entries = self.n + np.arange(len(one))
             self._room("flat", self.used + len(ids))
-            self._room("starts", self.n + len(keys))
-            self._room("lengths", self.n + len(keys))
+            for name in ("starts", "lengths", "check"):
+                self._room(name, self.n + len(one))
             self.flat[self.used : self.used + len(ids)] = ids
-            self.starts[self.n : self.n + len(keys)] = self.used + np.cumsum(lengths) - lengths
-            self.lengths[self.n : self.n + len(keys)] = lengths
-            self.table.put(keys, np.arange(self.n, self.n + len(keys)))
-            self.used, self.n = self.used + len(ids), self.n + len(keys)
-            at[new] = self.table.get(h[new])
+            self.starts[entries], self.lengths[entries], self.check[entries] = self.used + np.cumsum(lengths) - lengths, lengths, check[one]
+            shown = (at[one] == -1) & np.append(True, h[one][1:] != h[one][:-1])
+            self.table.put(h[one[shown]], entries[shown])
+            self.used, self.n = self.used + len(ids), self.n + len(one)
+            at[order] = entries[np.cumsum(first) - 1]
         return at
 
 

@@ -13,24 +13,55 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_local: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
+
+
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder's URI below the one that the cluster names in spark.checkpoint.dir.
 
-    Only where that is unset (tests, a laptop) a local temporary folder takes its place.
+    Only with a local master (tests, a laptop) a local temporary folder takes its place where that is unset; executors
+    elsewhere wouldn't find each other's files there, so on a cluster it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    app = spark.sparkContext.applicationId
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="quire-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/quire-{purpose}-{uuid.uuid4().hex}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        if app not in _local:
+            _local[app] = "file://" + tempfile.mkdtemp(prefix="quire-")
+        base = _local[app]
+    path = f"{base.rstrip('/')}/quire-{purpose}-{uuid.uuid4().hex}"
+    _written.setdefault(app, []).append(path)
+    return path
+
+
+def discard(spark: SparkSession, *frames: DataFrame) -> None:
+    """Remove what was written for these frames (of materialise), or all of this application if none is given.
+
+    Frames that read from there can't be computed any more.
+    """
+    known = _written.get(spark.sparkContext.applicationId, [])
+    files = [f for df in frames for f in df.inputFiles()]
+    for path in list(known):
+        if not frames or any("/" + path.rsplit("/", 1)[1] + "/" in f for f in files):
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+            known.remove(path)
 
 
 #: Bytes of rows that Spark hands to Python at once at most; texts and sets would fill 64 MB else, in every task twice.
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
+def size_of(setting: str) -> int:
+    """Bytes that a size like 4194304, 64m or 1GB stands for."""
+    number, unit = re.fullmatch(r"\s*(\d+)\s*([kmgtp]?)b?\s*", setting.lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
 def small_batches(spark: SparkSession) -> None:
-    if int(re.sub(r"\D", "", spark.conf.get(BATCH[0]))) > BATCH[1]:
+    if size_of(spark.conf.get(BATCH[0])) > BATCH[1]:
         spark.conf.set(*map(str, BATCH))
 
 
@@ -43,6 +74,18 @@ def materialise(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def partitions(spark: SparkSession, size: int) -> int:
+    """Shuffle partitions for so many bytes: those of the session, or more of them if they would pass 64 MB."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (64 << 20)))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -71,16 +114,42 @@ def bitmap(rows: DataFrame, column: str) -> np.ndarray:
         full = np.flatnonzero(packed.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array([packed[i].tobytes() for i in full], pa.binary())], ["segment", "bits"])
 
-    def unite(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(b, np.uint8) for b in table["bits"].to_pylist()]
-        return pa.table({"segment": table["segment"].slice(0, 1), "bits": pa.array([np.bitwise_or.reduce(parts).tobytes()], pa.binary())})
-
     out = np.zeros(((1 << BITS) // 8 // SEGMENT, SEGMENT), np.uint8)
-    for row in rows.select(column).mapInArrow(mark, "segment long, bits binary").groupBy("segment").applyInArrow(unite, "segment long, bits binary").collect():
-        out[row["segment"]] = np.frombuffer(row["bits"], np.uint8)
+    marked = rows.select(column).mapInArrow(mark, "segment long, bits binary")
+    for segment, bits in folded(marked, np.uint8, np.bitwise_or, lambda x: x):
+        out[segment] = bits
     return np.unpackbits(out.reshape(-1)).astype(bool)
 
 
+def folded(rows: DataFrame, kind: type, operation: np.ufunc, finish) -> list[tuple[int, np.ndarray]]:
+    """(segment, array of bytes) of rows (segment, bytes): those of a segment are folded one after the other, in a stream.
+
+    No group is held; what reaches the driver has the size of the segments.
+    """
+    segment, content = rows.columns
+
+    def fold(batches):
+        at = total = None
+
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([finish(total).astype(np.uint8).tobytes()], pa.binary())], ["segment", "content"])
+
+        for batch in batches:
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = np.frombuffer(raw.as_buffer(), np.uint8)
+                if k != at:
+                    if total is not None:
+                        yield row()
+                    at, total = k, x.astype(kind)
+                else:
+                    operation(total, x, out=total, casting="unsafe")
+        if total is not None:
+            yield row()
+
+    dealt = rows.select(F.col(segment).cast("long"), content).repartition(segment).sortWithinPartitions(segment)
+    return [(r["segment"], np.frombuffer(r["content"], np.uint8)) for r in dealt.mapInArrow(fold, "segment long, content binary").collect()]
+
+
 def file_system(uri: str):
     """(pyarrow file system, path) of a URI or plain path; executors open shared files through it."""
     from pyarrow import fs
@@ -121,22 +190,6 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
 
 
-_MULTIPLIER = 0x9E3779B97F4A7C15 | 1
-_powers = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
-
-
-def _grow(n: int) -> None:
-    global _powers, _inverse
-    if len(_powers) < n:
-        size = 1 << max(20, int(n - 1).bit_length())
-        back = pow(_MULTIPLIER, -1, 1 << 64)
-        for name, m in (("_powers", _MULTIPLIER), ("_inverse", back)):
-            x = np.full(size, m, np.uint64)
-            x[0] = 1
-            globals()[name] = np.multiply.accumulate(x)
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser."""
     h = h ^ (h >> np.uint64(30))
@@ -146,13 +199,34 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes, never 0, of data[starts[i]:ends[i]]: equal bytes get equal hashes anywhere."""
-    _grow(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers[: len(data)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * _inverse[starts]
-    h = mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+#: The bytes of a block that a rest of 0 to 8 bytes fills.
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Longer spans are hashed one by one.
+LONG_SPAN = 256
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes, never 0, of data[starts[i]:ends[i]]: equal bytes get equal hashes anywhere.
+
+    Eight bytes at a time go through splitmix64's finaliser, which no two of them leave alike; spans over LONG_SPAN
+    bytes through XXH3. Hashes of different seeds are independent.
+    """
+    n = ends - starts
+    blocks = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    h = mix(n.astype(np.uint64) + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) % (1 << 64)))
+    factor = np.uint64(0xD6E8FEB86659FD93 + 2 * seed)
+    h = mix(h ^ (blocks[starts] & _MASKS[np.minimum(n, 8)]) * factor)
+    live = np.flatnonzero((n > 8) & (n <= LONG_SPAN))
+    at, left = starts[live] + 8, n[live] - 8
+    while len(live):
+        h[live] = mix(h[live] + mix((blocks[at] & _MASKS[np.minimum(left, 8)]) * factor + np.uint64(1)))
+        on = left > 8
+        live, at, left = live[on], at[on] + 8, left[on] - 8
+    if len(long := np.flatnonzero(n > LONG_SPAN)):
+        import xxhash
+
+        raw = memoryview(np.ascontiguousarray(data))
+        h[long] = [xxhash.xxh3_64_intdigest(raw[a:b], seed) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
     h[h == 0] = 1
     return h
 

@@ -122,3 +122,36 @@ def test_histogram_is_placed_whole(counts):
     assert placed == collections.Counter({k: v for k, v in counts.items() if v})
     total, used = sum(n for n, _ in patterns), sum(k * v for k, v in counts.items())
     assert total <= max(2 * -(-used // 32), 1)
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join((a, b)[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_polynomial_hashes_confuse():
+    words = [w for n in (256, 1024, 2048, 4096, 8192) for w in (thue_morse(n), thue_morse(n, "b", "a"))]
+    for texts in (words, words[::-1], [w + " " + v for w, v in zip(words, words[::-1], strict=True)]):
+        assert encoded(texts) == [exact(t) for t in texts]
+        assert token_counts.count_texts(pa.array(texts), PATH).tolist() == [len(exact(t)) for t in texts]
+
+
+def test_span_hashes():
+    from quire.llm.shared import span_hashes
+
+    texts = [b"", *(bytes([c]) * n for c in (0, 97) for n in (1, 7, 8, 9, 16, 17, 255, 256, 257, 300)), *(thue_morse(1 << k, a, b).encode() for k in range(4, 13) for a, b in ("ab", "ba"))]
+    data = np.frombuffer(b"xyz".join([b"", *texts, b""]), np.uint8)
+    starts = np.cumsum([3] + [len(t) + 3 for t in texts])[:-1]
+    for seed in (0, 1):
+        h = span_hashes(data, starts, starts + [len(t) for t in texts], seed)
+        assert len(set(h.tolist())) == len(texts)
+        for t, x in zip(texts, h.tolist(), strict=True):
+            assert span_hashes(np.frombuffer(t, np.uint8), np.array([0]), np.array([len(t)]), seed).tolist() == [x]
+
+
+def test_pretokens_of_one_hash_are_told_apart(monkeypatch):
+    monkeypatch.setattr(pretokens, "span_hashes", lambda d, s, e, seed=0, f=pretokens.span_hashes: f(d, s, e, seed) if seed else f(d, s, e) % np.uint64(5) + np.uint64(1))
+    encoder = pretokens.Encoder(PATH)
+    for texts in (["one two three four five six seven", "seven six five"], ["eight two nine three ten", "one one eleven"]):
+        data, off = pretokens.flat(pa.array(texts))
+        ids, at = encoder.encode(data, off)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [exact(t) for t in texts]
