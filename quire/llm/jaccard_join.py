@@ -2,21 +2,28 @@
 
 A document's set is its distinct word shingles, as 64-bit hashes; documents of equal sets share a node (a hash of the
 set). Two sets with Jaccard similarity of t or more share one of their first n - ceil(t n) + 1 shingles in any common
-order; the order used puts shingles that many documents hold last, by a frequency sketch of fixed size that every
-shingle of every document is counted in. So each link's two nodes meet in the group of a shared prefix shingle:
+order; the order used puts shingles that many documents hold last, by a frequency sketch that every shingle of every
+document is counted in. So each link's two nodes meet in the group of a shared prefix shingle.
 
-1. In each group every node is tested against the group's leader (a new one where sizes rule a link out) and its centre.
-   That links most families of near copies with two tests a member.
-2. Groups whose nodes are not one component by then hold pairs that are still open. There shingles are hashed to
-   LANES counts a node; the counts are points of an R-tree, the sum of coordinate minima with a box's upper corner
-   bounds the overlap with all points in it, and surviving pairs of different components are tested by their sets.
+Each group has a centre, the node whose groups are largest taken together: copies that differ from each other are
+mostly near one original, and its shingles are those that the others kept. Groups of one centre are one family, so a
+node goes to few families, not to each of its groups.
 
-Groups are never collected: leaders are found in a sorted stream, and open groups are split by size class and salt,
-each pair of parts in a task of its own. No pair is capped or dropped.
+1. Families are dealt to tasks, larger ones in parts by size class and salt, every part with the centre. A task tests
+   all nodes against the centre, then builds an R-tree: shingles are hashed to lanes, about two for each shingle of a
+   set; a node's counts by lane are a point; the sum of coordinate minima with a box's upper corner bounds the overlap
+   with all points in it. Pairs that survive are verified by their sets, the best bounds first, and those of one
+   component are passed over. A task hands out the links that joined components, less than it has nodes.
+2. Only families of several parts can have open pairs then. Nodes outside a family's largest component meet the
+   parts they haven't met, in trees again; what is in that component already isn't tested among itself.
+
+Tasks get the texts of their nodes, one document's for each node, and make the sets anew. Groups are never collected:
+parts have at most PART nodes and VOLUME shingles (or one node). No pair is capped or dropped.
 
 Defined cases: null or wordless texts have the empty set, n_shingles 0 and their own id as component; fewer words than
-a shingle make one shingle; documents of equal id or null id keep their rows (a null never is the least id); an empty
-table gives an empty result; other columns are ignored.
+a shingle make one shingle; a text of any length is one set (a longer one than VOLUME is a part by itself); documents
+of equal id or null id keep their rows (a null never is the least id); an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,16 +34,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.components import components
-from quire.llm.shared import BITS, bitmap, flat, materialise, mix, ragged, slices
+from quire.llm.shared import discard, flat, folded, fresh, materialise, mix, partitions, ragged, slices
 from quire.llm.words import UNSPACED, gram_hashes, spans, word_hashes
 
 CHUNK = 1_000_000
-#: The frequency sketch: 2 ** 22 counters, sent in segments of one byte a counter.
-SKETCH, SEGMENT = 22, 1 << 16
-LANES = 128
-#: Nodes of one part of an open group; a task joins two parts.
-PART = 1500
+#: The frequency sketch has 2 ** SKETCH counters up to a million sets and twice as many for each doubling, 2 ** MOST at
+#: most; they are sent in segments of one byte a counter.
+SKETCH, MOST, SEGMENT = 22, 24, 1 << 16
+#: Nodes and shingles of a part.
+PART, VOLUME = 1500, 1_000_000
 FANOUT = 12
+#: Nodes that a task remembers, so that it gives the prefix of equal sets once.
+KNOWN = 1 << 20
 
 
 def shingle_sets(texts: pa.Array, words_each: int):
@@ -64,11 +73,13 @@ def set_nodes(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mix(sums(hashes) + mix(sums(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)))) + mix(np.diff(offsets).astype(np.uint64)))
 
 
-def lanes(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """How many members of each set fall into each of LANES groups."""
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    at = row * LANES + (hashes >> np.uint64(24) & np.uint64(LANES - 1)).astype(np.int64)
-    return np.bincount(at, minlength=(len(offsets) - 1) * LANES).reshape(-1, LANES).astype(np.int32)
+def lanes(ids: np.ndarray, offsets: np.ndarray, bits: int) -> np.ndarray:
+    """How many members (numbers or hashes) of each set fall into each of 2 ** bits lanes."""
+    sets, width = len(offsets) - 1, 1 << bits
+    row = np.repeat(np.arange(sets), np.diff(offsets))
+    at = row * width + (mix(ids.astype(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+    counts = np.bincount(at, minlength=sets * width).reshape(-1, width)
+    return counts.astype(np.uint16 if not sets or counts.max() < 1 << 16 else np.int32)
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -76,66 +87,69 @@ def _long(x: np.ndarray) -> pa.Array:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """(doc_id, text, key): key is a hash of the two, which tells rows apart."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.withColumn("key", F.xxhash64("doc_id", "text"))
 
 
-def _place(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - SKETCH)).astype(np.int64)
+def _place(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def scan(docs: DataFrame, words_each: int) -> DataFrame:
-    """A row for each document (doc_id, n, node, points), and each task's counters as rows (segment, counts)."""
+def scan(docs: DataFrame, words_each: int, bits: int) -> DataFrame:
+    """A row for each document (doc_id, key, n, node), and each task's counters as rows (segment, counts)."""
 
     def make(batches):
-        counts = np.zeros(1 << SKETCH, np.uint32)
+        counts = np.zeros(1 << bits, np.uint8)
         for batch in batches:
             for first, last, hashes, off in shingle_sets(batch.column(1), words_each):
-                np.add.at(counts, _place(hashes), np.uint32(1))
+                at, times = np.unique(_place(hashes, bits), return_counts=True)
+                counts[at] = np.minimum(counts[at] + times, 255)
                 n = np.diff(off)
                 node = pa.array(set_nodes(hashes, off).view(np.int64), mask=n == 0)
-                points = pa.array([p.tobytes() for p in lanes(hashes, off).astype("<u4")], pa.binary())
                 nothing = pa.nulls(last - first)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(n), node, points, nothing.cast(pa.int32()), nothing.cast(pa.binary())], names)
-        low = np.minimum(counts, 255).astype(np.uint8).reshape(-1, SEGMENT)
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, last - first) for i in (0, 2)), pa.array(n), node, nothing.cast(pa.int32()), nothing.cast(pa.binary())], names)
+        low = counts.reshape(-1, min(SEGMENT, 1 << bits))
         full = np.flatnonzero(low.any(axis=1))
         if len(full):
             none = pa.nulls(len(full)).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.nulls(len(full), pa.binary()), pa.array(full.astype(np.int32)), pa.array([low[i].tobytes() for i in full], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(full.astype(np.int32)), pa.array([low[i].tobytes() for i in full], pa.binary())], names)
 
-    names = ["doc_id", "n", "node", "points", "segment", "counts"]
-    return _rows(docs).mapInArrow(make, "doc_id long, n long, node long, points binary, segment int, counts binary")
+    names = ["doc_id", "key", "n", "node", "segment", "counts"]
+    return _rows(docs).mapInArrow(make, "doc_id long, key long, n long, node long, segment int, counts binary")
 
 
-def frequency_classes(scanned: DataFrame) -> np.ndarray:
-    """A byte for each counter: how often its shingles occur, four steps for each doubling. 4 MB at any scale."""
+def frequency_classes(scanned: DataFrame, bits: int) -> np.ndarray:
+    """A byte for each counter: how often its shingles occur, four steps for each doubling. 4 to 16 MB."""
 
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(SEGMENT, np.uint64)
-        for raw in table["counts"].to_pylist():
-            total += np.frombuffer(raw, np.uint8)
-        steps = np.minimum(np.round(4 * np.log2(1 + total.astype(np.float64))), 255).astype(np.uint8)
-        return pa.table({"segment": table["segment"].slice(0, 1), "classes": pa.array([steps.tobytes()], pa.binary())})
+    def steps(total: np.ndarray) -> np.ndarray:
+        return np.minimum(np.round(4 * np.log2(1 + total.astype(np.float64))), 255)
 
-    out = np.zeros(((1 << SKETCH) // SEGMENT, SEGMENT), np.uint8)
-    for row in scanned.where(F.col("segment").isNotNull()).select("segment", "counts").groupBy("segment").applyInArrow(add, "segment int, classes binary").collect():
-        out[row["segment"]] = np.frombuffer(row["classes"], np.uint8)
+    out = np.zeros(((1 << bits) // SEGMENT, SEGMENT), np.uint8)
+    for segment, classes in folded(scanned.where(F.col("segment").isNotNull()).select("segment", "counts"), np.uint64, np.add, steps):
+        out[segment] = classes
     return out.reshape(-1)
 
 
 def prefixes(docs: DataFrame, classes: np.ndarray, words_each: int, percent: int) -> DataFrame:
     """(shingle, node, n): the prefix of each set in the order of frequency class and hash."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)
+    bits = len(classes).bit_length() - 1
 
     def make(batches):
-        known = shared.value
+        known, seen = shared.value, set()
         for batch in batches:
             for _, _, hashes, off in shingle_sets(batch.column(1), words_each):
                 n = np.diff(off)
-                order = known[_place(hashes)]
+                order = known[_place(hashes, bits)]
                 nodes = set_nodes(hashes, off)
-                # equal sets within the chunk give their prefix once; sets below 100 / (100 - percent) - 1 members can't have another neighbour
+                # equal sets give their prefix once; sets below 100 / (100 - percent) - 1 members can't have another neighbour
                 _, one = np.unique(nodes, return_index=True)
                 one = one[n[one] * (100 - percent) >= percent] if percent < 100 else one[:0]
+                one = one[np.fromiter((x not in seen for x in nodes[one].tolist()), bool, len(one))]
+                if len(seen) + len(one) > KNOWN:
+                    seen.clear()
+                seen.update(nodes[one].tolist())
                 keep = n[one] - (percent * n[one] + 99) // 100 + 1
                 taken = []
                 for i, k in zip(one.tolist(), keep.tolist(), strict=True):
@@ -151,134 +165,195 @@ def prefixes(docs: DataFrame, classes: np.ndarray, words_each: int, percent: int
                 if len(at):
                     yield pa.RecordBatch.from_arrays([_long(hashes[at]), _long(np.repeat(nodes[one], keep)), pa.array(np.repeat(n[one], keep))], ["shingle", "node", "n"])
 
-    return _rows(docs).mapInArrow(make, "shingle long, node long, n long")
-
+    return _rows(docs).select("doc_id", "text").mapInArrow(make, "shingle long, node long, n long")
 
-def groups(prefix: DataFrame, percent: int) -> DataFrame:
-    """(shingle, node, n, leader, leader_n) of shingles that two nodes share; a stream over sorted partitions.
 
-    Rows come by shingle, size and node. The leader is the first node of its shingle, and a new one starts where the
-    old one is too small for a link. Only the row before is held, so a group of any size passes.
-    """
+def groups(prefix: DataFrame, parts: int) -> DataFrame:
+    """(shingle, node, n) of shingles that two nodes share, each once; a stream over sorted partitions that holds one row."""
 
     def stream(batches):
-        shingle = leader = leader_n = before = None
-        alone = None  # the first row of a group, until a second node shows that the group counts
+        held = np.zeros((3, 0), np.int64)
+        matched = False  # whether the held row's shingle has had another node
         for batch in batches:
-            s, node, n = (batch.column(i).to_numpy() for i in range(3))
-            if not len(s):
-                continue
-            new = np.ones(len(s), bool)
-            new[1:] = (s[1:] != s[:-1]) | (node[1:] != node[:-1])
-            new[0] = (shingle, before) != (int(s[0]), int(node[0]))
-            s, node, n = s[new], node[new], n[new]
-            if not len(s):
-                continue
-            first = np.ones(len(s), bool)
-            first[1:] = s[1:] != s[:-1]
-            first[0] = shingle != int(s[0])
-            single = first & np.append(first[1:], False)  # a group of one row that ends in this batch
-            out = [[], [], [], [], []]
-            live = np.flatnonzero(~single)
-            if alone and first[0]:
-                alone = None
-            for i in live.tolist():
-                row = (int(s[i]), int(node[i]), int(n[i]))
-                if first[i]:
-                    leader, leader_n, alone = row[1], row[2], row
-                    continue
-                if alone:
-                    for x, v in zip(out, (*alone, leader, leader_n), strict=True):
-                        x.append(v)
-                    alone = None
-                if 100 * leader_n < percent * row[2]:
-                    leader, leader_n = row[1], row[2]
-                for x, v in zip(out, (*row, leader, leader_n), strict=True):
-                    x.append(v)
-            if len(s) and single[-1]:
-                alone = None
-            shingle, before = int(s[-1]), int(node[-1])
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["shingle", "node", "n", "leader", "leader_n"])
-
-    parts = int(prefix.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = prefix.repartition(parts, "shingle").sortWithinPartitions("shingle", "n", "node")
-    return dealt.mapInArrow(stream, "shingle long, node long, n long, leader long, leader_n long")
-
-
-def centred(grouped: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of each group's centre and its other nodes of fitting size.
-
-    Copies that differ from each other may all be near one original. Its shingles are those that the others kept, so
-    it is the node whose groups are largest taken together.
-    """
+            rows = np.concatenate([held, np.stack([batch.column(i).to_numpy() for i in range(3)])], axis=1)
+            s, node = rows[0], rows[1]
+            new = np.append(True, (s[1:] != s[:-1]) | (node[1:] != node[:-1]))
+            rows = rows[:, new]
+            same = rows[0, 1:] == rows[0, :-1]
+            keep = np.append(matched, same) | np.append(same, False)
+            held, matched = rows[:, -1:], bool(keep[-1])
+            out = rows[:, :-1][:, keep[:-1]]
+            if out.shape[1]:
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, out)), names)
+        if matched:
+            yield pa.RecordBatch.from_arrays(list(map(pa.array, held)), names)
+
+    names = ["shingle", "node", "n"]
+    return prefix.repartition(parts, "shingle").sortWithinPartitions("shingle", "node").mapInArrow(stream, "shingle long, node long, n long")
+
+
+def families(grouped: DataFrame) -> DataFrame:
+    """(centre, node, n): the nodes of all groups that have the same centre."""
     sizes = grouped.groupBy("shingle").agg(F.count("*").alias("c"))
     scores = grouped.join(sizes, "shingle").groupBy("node").agg(F.sum("c").alias("score"))
-    best = F.max_by(F.struct(F.col("node").alias("centre"), F.col("n").alias("size")), F.struct("score", "node"))
-    centres = grouped.join(scores, "node").groupBy("shingle").agg(best.alias("m")).select("shingle", "m.*")
-    fits = 100 * F.least("n", "size") >= percent * F.greatest("n", "size")
-    rows = grouped.join(centres, "shingle").where((F.col("node") != F.col("centre")) & fits)
-    return rows.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+    centres = grouped.join(scores, "node").groupBy("shingle").agg(F.max(F.struct("score", "node")).alias("m")).select("shingle", F.col("m.node").alias("centre"))
+    return grouped.join(centres, "shingle").groupBy("centre", "node").agg(F.first("n").alias("n"))
 
 
-def bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose overlap may be large enough: the sum of their counts' minima bounds it."""
+def dealt(family: DataFrame, percent: int) -> DataFrame:
+    """(centre, node, n, k, part): families of one part have class 0, others a class for each step of sizes that rules links out."""
+    parts = F.ceil(F.greatest(F.count("*") / PART, F.sum("n") / VOLUME)).cast("int")
+    # of sizes whose ratio allows a link, the classes are equal or neighbours
+    step = float(np.log(100 / percent) * (1 + 1e-9)) or 1.0
+    k = F.floor(F.log(F.col("n").cast("double")) / step).cast("long")
+    rows = family.join(family.groupBy("centre").agg(parts.alias("all")), "centre")
+    rows = rows.withColumn("k", F.when(F.col("all") > 1, k).otherwise(0)).withColumn("large", F.col("all") > 1)
+    large = rows.where("large")
+    counts = large.groupBy("centre", "k").agg(parts.alias("parts"))
+    return rows.where("not large").select("centre", "node", "n", "k", F.lit(0).alias("part"), "large").union(
+        large.join(counts, ["centre", "k"]).select("centre", "node", "n", "k", _salt("node", "parts"), "large")
+    )
 
-    def test(batches):
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(n).to_pylist()), "<u4").reshape(-1, LANES) for n in ("points_a", "points_b"))
-            n = a.sum(axis=1, dtype=np.int64) + b.sum(axis=1, dtype=np.int64)
-            # an overlap o is enough if 100 o >= percent (n - o)
-            enough = (100 + percent) * np.minimum(a, b).sum(axis=1, dtype=np.int64) >= percent * n
-            yield batch.select(["a", "b"]).filter(pa.array(enough))
 
-    side = lambda s: points.select(F.col("node").alias(s), F.col("points").alias(f"points_{s}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "points_a", "points_b").mapInArrow(test, "a long, b long")
+def _salt(node: str, parts: str):
+    return F.pmod(F.xxhash64(node), F.col(parts)).cast("int").alias("part")
 
 
-def node_sets(docs: DataFrame, documents: DataFrame, pairs: DataFrame, words_each: int) -> DataFrame:
-    """(node, hashes) of the nodes of pairs, each from one document that has it.
+def shipped(docs: DataFrame, tasks: DataFrame, reps: DataFrame, words_each: int, percent: int, volume: int) -> DataFrame:
+    """(a, b): links that join components in tasks, of rows (task, node, root, side, first) of `tasks`.
 
-    A bitmap of the documents' ids, 2 MB at any scale, lets the scan pass by the others; what it lets through in
-    vain finds no pair.
+    side: 0 and 1 are tested against each other, 2 is both; first: the centre, which is tested before all others.
     """
-    members = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    first = documents.join(members, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    key = F.coalesce("doc_id", F.lit(0))
-    wanted = bitmap(first.select(F.xxhash64(key).alias("h")), "h")
-    packed = np.packbits(wanted)
 
-    def make(batches):
-        known = np.unpackbits(packed).astype(bool)
+    def forest(table: pa.Table) -> pa.RecordBatch | None:
+        """Of whole tasks, in their order."""
+        data, w = [], []
+        for _, _, hashes, off in shingle_sets(table["text"], words_each):
+            data.append(hashes)
+            w.append(np.diff(off))
+        hashes, n = np.concatenate(data), np.concatenate(w)
+        off = np.append(0, np.cumsum(n))
+        task, node, root, side, first = (table[c].to_numpy() for c in ("task", "node", "root", "side", "first"))
+        # a text of another node (of an equal key), or of a node that is here already, isn't tested
+        _, group = np.unique(task, return_inverse=True)
+        good = np.flatnonzero(set_nodes(hashes, off).view(np.int64) == node)
+        order = good[np.lexsort((side[good], node[good], group[good]))]
+        one = np.append(True, (group[order[1:]] != group[order[:-1]]) | (node[order[1:]] != node[order[:-1]]))
+        at = order[one]
+        if len(at) < 2:
+            return None
+        hashes, off = hashes[ragged(off[at], n[at])], np.append(0, np.cumsum(n[at]))
+        links = Forest(group[at], root[at], side[at], first[at], hashes, off, percent).links()
+        return pa.RecordBatch.from_arrays([pa.array(node[at][links[:, i]]) for i in (0, 1)], ["a", "b"])
+
+    def join(batches):
+        held = None  # rows from the start of a task on
         for batch in batches:
-            on = known[(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)]
-            for _, _, hashes, off in shingle_sets(batch.column(1).filter(pa.array(on)), words_each):
-                raw = memoryview(hashes.astype("<u8").tobytes())
-                sets = [bytes(raw[8 * a : 8 * b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-                _, one = np.unique(nodes := set_nodes(hashes, off), return_index=True)
-                yield pa.RecordBatch.from_arrays([_long(nodes[one]), pa.array([sets[i] for i in one.tolist()], pa.binary())], ["node", "hashes"])
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            task = held["task"].to_numpy()
+            change = np.flatnonzero(task[1:] != task[:-1])
+            if len(change):
+                last = int(change[-1]) + 1
+                if (out := forest(held.slice(0, last))) is not None:
+                    yield out
+                held = held.slice(last)
+        if held is not None and len(held) and (out := forest(held)) is not None:
+            yield out
 
-    made = _rows(docs).select(F.xxhash64(key).alias("h"), "text").mapInArrow(make, "node long, hashes binary")
-    return made.join(members, "node", "left_semi").dropDuplicates(["node"])
+    spark = docs.sparkSession
+    # written first, so that its size is known and a small table is broadcast instead of shuffling all texts
+    keyed = materialise(tasks.join(reps, "node").select("key", "task", "node", "root", "side", "first"), "tasks")
+    rows = _rows(docs).select("key", "text").join(keyed, "key")
+    rows = rows.select("task", "node", "root", "side", "first", "text").repartition(partitions(spark, volume), "task").sortWithinPartitions("task")
+    return rows.mapInArrow(join, "a long, b long")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose sets are similar enough."""
+class Forest:
+    """Links that join components of sets that meet in groups, verified pair by pair, in numpy.
 
-    def test(batches):
-        for batch in batches:
-            keep = []
-            a, b = batch.column("hashes_a"), batch.column("hashes_b")
-            for i in range(len(batch)):
-                x, y = (np.frombuffer(c[i].as_buffer(), "<u8") for c in (a, b))
-                both = np.concatenate([x, y])
-                both.sort()
-                if (100 + percent) * int((both[1:] == both[:-1]).sum()) >= percent * len(both):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+    group: numbers, ascending; root: the components that are known; side: 0 and 1 meet each other, 2 meets all.
+    """
 
-    side = lambda s: sets.select(F.col("node").alias(s), F.col("hashes").alias(f"hashes_{s}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "hashes_a", "hashes_b").mapInArrow(test, "a long, b long")
+    #: Set members that are compared at once.
+    BLOCK = 2_000_000
+
+    def __init__(self, group, root, side, first, hashes, offsets, percent):
+        self.group, self.side, self.first, self.percent = group, side, first, percent
+        self.n = np.diff(offsets)
+        # components within a group: those of other groups aren't joined by what is found here
+        _, self.label = np.unique(np.stack([group, root], axis=1), axis=0, return_inverse=True)
+        self.label = self.label.reshape(-1)
+        self.parent = list(range(len(group)))
+        _, ids, counts = np.unique(hashes, return_inverse=True, return_counts=True)
+        self.ids, shared = ids, counts[ids] > 1  # what one set holds alone never counts as overlap
+        sums = np.append(0, np.cumsum(shared))
+        self.shared, self.starts = ids[shared], sums[offsets[:-1]]
+        self.lengths = sums[offsets[1:]] - self.starts
+        self.offsets, self.found = offsets, []
+
+    def _find(self, x: int) -> int:
+        while self.parent[x] != x:
+            self.parent[x] = self.parent[self.parent[x]]
+            x = self.parent[x]
+        return x
+
+    def overlap(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Sizes of the sets' intersections, pair by pair."""
+        pair = np.arange(len(a))
+        la, lb = self.lengths[a], self.lengths[b]
+        key = np.concatenate([np.repeat(pair, la) << 32 | self.shared[ragged(self.starts[a], la)], np.repeat(pair, lb) << 32 | self.shared[ragged(self.starts[b], lb)]])
+        key.sort()
+        return np.bincount(key[1:][key[1:] == key[:-1]] >> 32, minlength=len(a))
+
+    def test(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Verify pairs in their order, block by block, and join the components of those that link."""
+        while len(a):
+            open_ = self.label[a] != self.label[b]
+            a, b = a[open_], b[open_]
+            k = max(1, int(np.searchsorted(np.cumsum(self.lengths[a] + self.lengths[b]), self.BLOCK)))
+            x, y, a, b = a[:k], b[:k], a[k:], b[k:]
+            linked = (100 + self.percent) * self.overlap(x, y) >= self.percent * (self.n[x] + self.n[y])
+            changed = False
+            for i, j in zip(x[linked].tolist(), y[linked].tolist(), strict=True):
+                u, v = self._find(int(self.label[i])), self._find(int(self.label[j]))
+                if u != v:
+                    self.parent[max(u, v)] = min(u, v)
+                    self.found.append((i, j))
+                    changed = True
+            if changed:
+                roots = np.fromiter((self._find(u) for u in range(len(self.parent))), np.int64, len(self.parent))
+                self.label = roots[self.label]
+
+    def links(self) -> np.ndarray:
+        centres = np.flatnonzero(self.first)
+        at = np.searchsorted(self.group[centres], self.group)
+        has = (at < len(centres)) & (self.group[centres[np.minimum(at, max(len(centres) - 1, 0))]] == self.group) if len(centres) else np.zeros(len(self.group), bool)
+        a, b = np.flatnonzero(has), centres[at[has]]
+        fits = 100 * np.minimum(self.n[a], self.n[b]) >= self.percent * np.maximum(self.n[a], self.n[b])
+        self.test(a[fits & (a != b)], b[fits & (a != b)])
+        # groups of more than one component, by sets of like sizes so that the lanes suit them
+        least, most = np.full(self.group[-1] + 1, len(self.parent)), np.zeros(self.group[-1] + 1, np.int64)
+        np.minimum.at(least, self.group, self.label)
+        np.maximum.at(most, self.group, self.label)
+        volume, count = np.bincount(self.group, self.n), np.maximum(np.bincount(self.group), 1)
+        bits = np.clip(np.ceil(np.log2(np.maximum(2 * volume / count, 1))), 6, 12).astype(np.int64)
+        bits[least >= most] = 0
+        for width in np.unique(bits[bits > 0]).tolist():
+            rows = np.flatnonzero(bits[self.group] == width)
+            points = lanes(self.ids[ragged(self.offsets[rows], self.n[rows])], np.append(0, np.cumsum(self.n[rows])), width)
+            left, right = np.flatnonzero(self.side[rows] != 1), np.flatnonzero(self.side[rows] != 0)
+            if not len(left) or not len(right):
+                continue
+            label = self.label[rows]
+            tree = CountTrees(self.group[rows][left], label[left], points[left])
+            q, p, bound = tree.near(self.group[rows][right], label[right], points[right], self.percent)
+            a, b = rows[left[p]], rows[right[q]]
+            twice = (self.side[a] == 2) & (self.side[b] == 2) & (a > b)
+            a, b, bound = a[~twice], b[~twice], bound[~twice]
+            best = np.argsort(-(bound / (self.n[a] + self.n[b])), kind="stable")
+            self.test(a[best], b[best])
+        return np.array(self.found, np.int64).reshape(-1, 2)
 
 
 class CountTrees:
@@ -290,7 +365,7 @@ class CountTrees:
 
     def __init__(self, group: np.ndarray, root: np.ndarray, points: np.ndarray):
         """group: ascending numbers; the rows of a group lie together."""
-        sizes = points.sum(axis=1)
+        sizes = points.sum(axis=1, dtype=np.int64)
         self.order = np.lexsort((sizes, root, group))
         group, root = group[self.order], root[self.order]
         self.levels = [(points[self.order], sizes[self.order], root, np.ones(len(root), bool), None)]
@@ -308,12 +383,13 @@ class CountTrees:
             group = group[cut]
         self.tops = group[start], start, count
 
-    def near(self, group: np.ndarray, root: np.ndarray, points: np.ndarray, percent: int, block: int = 60_000) -> tuple[np.ndarray, np.ndarray]:
-        """(query, point) numbers of the pairs in one group, of different components, that the bound allows, from the roots down."""
-        sizes = points.sum(axis=1)
+    def near(self, group: np.ndarray, root: np.ndarray, points: np.ndarray, percent: int, block: int = 1 << 24) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, point) numbers of the pairs in one group, of different components, that the bound allows, and the bound, from the roots down."""
+        block = max(1000, block // points.shape[1])
+        sizes = points.sum(axis=1, dtype=np.int64)
         tree = np.searchsorted(self.tops[0], group)
         found = (tree < len(self.tops[0])) & (self.tops[0][np.minimum(tree, len(self.tops[0]) - 1)] == group)
-        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        out = [(np.zeros(0, np.int64),) * 3]
         for part in np.array_split(np.flatnonzero(found), max(1, int(found.sum()) * FANOUT // block)):
             n = self.tops[2][tree[part]]
             q, box = np.repeat(part, n), ragged(self.tops[1][tree[part]], n)
@@ -321,110 +397,98 @@ class CountTrees:
                 corners, least, roots, one, below = self.levels[depth]
                 other = ~one[box] | (roots[box] != root[q])
                 q, box = q[other], box[other]
-                bounds = [np.minimum(points[q[i : i + block]], corners[box[i : i + block]]).sum(axis=1) for i in range(0, len(q), block)]
+                bounds = [np.minimum(points[q[i : i + block]], corners[box[i : i + block]]).sum(axis=1, dtype=np.int64) for i in range(0, len(q), block)]
                 bound = np.concatenate([np.zeros(0, np.int64), *bounds])
                 on = (100 + percent) * bound >= percent * (sizes[q] + least[box])
-                q, box = q[on], box[on]
+                q, box, bound = q[on], box[on], bound[on]
                 if below:
                     first, n = below[0][box], below[1][box]
                     q, box = np.repeat(q, n), ragged(first, n)
-            out.append((q, self.order[box]))
+            out.append((q, self.order[box], bound))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def open_pairs(grouped: DataFrame, roots: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Pairs of nodes of different components that share a prefix shingle and that the R-tree's bound allows."""
+def across(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """(task, node, root, side, first, n): what nodes outside the largest component of a family of several parts still have to meet.
 
-    def pairs_of(table: pa.Table) -> pa.RecordBatch | None:
-        """Of whole groups, in the order of their keys."""
-        keys = np.stack([table[c].to_numpy() for c in KEY], axis=1)
-        group = np.cumsum(np.append(False, (keys[1:] != keys[:-1]).any(axis=1)))
-        node, root, side = (table[n].to_numpy() for n in ("node", "root", "side"))
-        points = np.frombuffer(b"".join(table["points"].to_pylist()), "<u4").reshape(-1, LANES).astype(np.int32)
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        if not len(left) or not len(right):
-            return None
-        q, p = CountTrees(group[left], root[left], points[left]).near(group[right], root[right], points[right], percent)
-        a, b = node[left[p]], node[right[q]]
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    def join(batches):
-        held = None  # rows from the start of a group on; a group has 2 parts at most
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            keys = np.stack([held[c].to_numpy() for c in KEY], axis=1)
-            change = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1))
-            if len(change):
-                last = int(change[-1]) + 1
-                if (out := pairs_of(held.slice(0, last))) is not None:
-                    yield out
-                held = held.slice(last)
-        if held is not None and len(held) and (out := pairs_of(held)) is not None:
-            yield out
-
-    KEY = ("shingle", "k", "i", "j")
-    members = grouped.select("shingle", "node", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    # many shingles of a shared passage have the same nodes: one of them is enough
-    of = members.groupBy("shingle").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("h1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("h2"))
-    split = of.where("r1 <> r2").groupBy("c", "h1", "h2").agg(F.min("shingle").alias("shingle")).select("shingle")
-    # of sizes whose ratio allows a link, the classes are equal or neighbours
-    size_class = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(100 / percent) * (1 + 1e-9)))).cast("long")
-    members = members.join(split, "shingle", "left_semi").withColumn("k", size_class)
-    counts = members.groupBy("shingle", "k").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    above = counts.select("shingle", (F.col("k") - 1).alias("k"), F.col("parts").alias("parts_above"))
-    below = counts.select("shingle", (F.col("k") + 1).alias("k"), F.col("parts").alias("parts_below"))
-    dealt = members.join(counts, ["shingle", "k"]).join(above, ["shingle", "k"], "left").join(below, ["shingle", "k"], "left")
-    salt = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
-    numbers = lambda c: F.when(c > 0, F.sequence(F.lit(0), c - 1)).otherwise(F.array().cast("array<int>"))
-    task = lambda k, i, j, side: F.struct(k.alias("k"), i.alias("i"), j.alias("j"), side.alias("side"))
-    # side: 0 and 1 are the two parts, 2 is both; i < 0 marks pairs of neighbouring classes
-    own = F.transform(numbers(F.col("parts")), lambda j: task(F.col("k"), F.least(F.col("salt"), j), F.greatest(F.col("salt"), j), F.when(F.col("salt") == j, 2).when(F.col("salt") < j, 0).otherwise(1)))
-    up = F.transform(numbers(F.coalesce("parts_above", F.lit(0))), lambda j: task(F.col("k"), -1 - F.col("salt"), j, F.lit(0)))
-    down = F.transform(numbers(F.coalesce("parts_below", F.lit(0))), lambda j: task(F.col("k") - 1, -1 - j, F.col("salt"), F.lit(1)))
-    tasks = dealt.withColumn("salt", salt).select("shingle", "node", "root", F.inline(F.concat(own, up, down)))
-    tasks = tasks.join(points, "node")
-    parts = int(grouped.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = tasks.select(*KEY, "side", "node", "root", "points").repartition(parts, *KEY).sortWithinPartitions(*KEY)
-    return dealt.mapInArrow(join, "a long, b long").distinct()
-
-
-def jaccard_join(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document."""
-    scanned = materialise(scan(docs, words_each), "sets")
-    documents = scanned.where(F.col("segment").isNull()).select("doc_id", "n", "node")
-    grouped = materialise(groups(prefixes(docs, frequency_classes(scanned), words_each, percent), percent), "groups")
-    points = scanned.where("node IS NOT NULL").select("node", "points").join(grouped.select("node").distinct(), "node", "left_semi")
-    points = materialise(points.dropDuplicates(["node"]), "points")
-
-    def tested(pairs: DataFrame) -> DataFrame:
-        pairs = materialise(pairs, "pairs")
-        if pairs.isEmpty():
-            return pairs
-        return materialise(linked(pairs, node_sets(docs, documents, pairs, words_each), percent), "links")
-
-    led = grouped.where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
-    led = materialise(led.union(centred(grouped, percent)).distinct(), "led")
-    first = tested(bounded(led, points, percent))
-    roots = materialise(components(first), "roots")
-    more = tested(open_pairs(grouped, roots, points, percent).join(led, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        roots = materialise(components(first.union(more)), "roots")
+    Side r: nodes outside it, m: nodes in it. Parts of r meet those of r and m of the same size class and its neighbours.
+    """
+    rows = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    by_root = rows.groupBy("centre", "root").agg(F.count("*").alias("c"))
+    main = by_root.groupBy("centre").agg(F.max(F.struct("c", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1")
+    rows = rows.join(main.select("centre", F.col("m.root").alias("main")), "centre").withColumn("rest", F.col("root") != F.col("main"))
+    parts = F.ceil(F.greatest(F.count("*") / PART, F.sum("n") / VOLUME)).cast("int")
+    counts = rows.groupBy("centre", "k", "rest").agg(parts.alias("parts"))
+    rows = rows.join(counts, ["centre", "k", "rest"]).select("centre", "k", "rest", "node", "root", "n", _salt("node", "parts"))
+    each = counts.select("centre", "k", "rest", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    left = each.where("rest").select("centre", F.col("k").alias("lk"), F.col("part").alias("lp"), F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1)).alias("k"))
+    pairs = left.join(each, ["centre", "k"]).where("not rest OR k > lk OR (k = lk AND part >= lp)")
+    pairs = pairs.withColumn("task", F.xxhash64("centre", "lk", "lp", "k", "rest", "part"))
+    same = F.col("rest") & (F.col("k") == F.col("lk")) & (F.col("part") == F.col("lp"))
+    ends = pairs.select("task", "centre", F.inline(F.array(
+        F.struct(F.col("lk").alias("k"), F.lit(True).alias("rest"), F.col("lp").alias("part"), F.when(same, 2).otherwise(0).alias("side")),
+        F.struct(F.col("k").alias("k"), F.col("rest").alias("rest"), F.col("part").alias("part"), F.when(same, 2).otherwise(1).alias("side")),
+    ))).distinct()
+    return rows.join(ends, ["centre", "k", "rest", "part"]).select("task", "node", "root", "side", F.lit(False).alias("first"), "n")
+
+
+def _joined(docs: DataFrame, words_each: int, percent: int) -> DataFrame:
+    """(doc_id, key, n, root, component_id) of every document; root is its component's least node, or its key without one."""
+    spark = docs.sparkSession
+    rows = docs.count()
+    bits = min(MOST, SKETCH + max(0, (rows - 1) // 1_000_000).bit_length())
+    scanned = materialise(scan(docs, words_each, bits), "sets")
+    documents = scanned.where(F.col("segment").isNull()).select("doc_id", "key", "n", "node")
+    per_node = documents.where("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("key"))
+    prefix_rows = documents.agg(F.sum(F.col("n") - F.ceil(percent * F.col("n") / 100) + 1)).first()[0] or 0
+    grouped = materialise(groups(prefixes(docs, frequency_classes(scanned, bits), words_each, percent), partitions(spark, 24 * int(prefix_rows))), "groups")
+    members = materialise(dealt(families(grouped), percent), "families")
+    discard(spark, grouped)
+    reps = materialise(per_node.join(members.select("node").distinct(), "node", "left_semi"), "nodes")
+    task = F.xxhash64("centre", "k", "part").alias("task")
+    meeting = members.select(task, "node", F.col("node").alias("root"), F.lit(2).alias("side"), (F.col("node") == F.col("centre")).alias("first"), "n")
+    # the centre is in each part of a larger family
+    guests = members.where("large").select(task, F.col("centre").alias("node"), F.col("centre").alias("root"), F.lit(2).alias("side"), F.lit(True).alias("first"), F.lit(0).cast("long").alias("n")).distinct()
+    volume, large = members.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.bool_or("large"), F.lit(False))).first()
+    first = materialise(shipped(docs, meeting.union(guests), reps, words_each, percent, 8 * volume), "links")
+    roots = components(first)
+    if large:
+        tasks = materialise(across(members.where("large"), roots), "open")
+        volume = tasks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        if volume:
+            more = materialise(shipped(docs, tasks, reps, words_each, percent, 8 * volume), "links")
+            named = lambda c: F.coalesce(F.col(f"root_{c}"), F.col(c)).alias(c)
+            side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+            joined = more.join(side("a"), "a", "left").join(side("b"), "b", "left").select(named("a"), named("b"))
+            roots = components(joined.union(roots.select("node", "root")))
     least = documents.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     joined = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     heads = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = joined.select("node", "root").join(heads, "root").select("node", "component_id")
+    named = joined.select("node", "root").join(heads, "root")
     out = documents.join(named, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", "key", "n", F.coalesce("root", "key").alias("root"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def jaccard_join(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document."""
+    return _joined(docs, words_each, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, words_each: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with all their columns, whose id is the least of their component.
+    """One row of docs, with all its columns, of each component: that of the least id.
 
-    Rows of one id count as one document, of which one row stays; rows without an id stay as they are.
+    Of rows with equal id and text the one of the least hash of all columns stays. Rows of one id with different texts
+    are documents of their own; rows without an id stay as they are and never stand for others.
     """
-    joined = jaccard_join(docs, words_each, percent)
-    heads = joined.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__head")).distinct()
-    named = docs.join(heads, docs["doc_id"] == F.col("__head"), "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where(F.col("doc_id").isNull()))
+    joined = _joined(docs, words_each, percent).where(F.col("doc_id").isNotNull())
+    heads = joined.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("m")).select("m.doc_id", "m.key").distinct()
+    key, row = fresh(docs, "key"), fresh(docs, "row")
+    known = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).withColumn(row, F.xxhash64(*(F.to_json(F.struct(c)) if _unhashable(docs.schema[c].dataType) else F.col(c) for c in docs.columns)))
+    kept = known.where(F.col("doc_id").isNotNull()).join(heads.select(F.col("key").alias(key)), key, "left_semi")
+    least = kept.groupBy(key).agg(F.min(row).alias(row))
+    kept = kept.join(least, [key, row], "left_semi").dropDuplicates([key, row]).select(*docs.columns)
+    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def _unhashable(kind) -> bool:
+    return "map<" in kind.simpleString() or "variant" in kind.simpleString()

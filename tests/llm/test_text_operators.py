@@ -128,6 +128,47 @@ def test_join(spark, odd, nothing, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted(heads)
 
 
+def test_join_of_a_large_family(spark, monkeypatch):
+    """300 variants of two texts, of which many link with neither original, in one part and in many."""
+    texts = family(91, 150, 40, 9) + family(92, 150, 70, 22)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_components(rows)
+    assert 20 < len({c for _, _, c in want}) < 280
+    for part in (1500, 40, 9):
+        monkeypatch.setattr(jaccard_join, "PART", part)
+        assert collections.Counter(map(tuple, jaccard_join.jaccard_join(docs).collect())) == want
+
+
+def test_forest_hands_out_fewer_links_than_nodes():
+    r = np.random.default_rng(8)
+    sets = [np.unique(r.integers(0, 60, 50)).astype(np.uint64) for _ in range(120)]
+    off = np.append(0, np.cumsum([len(x) for x in sets]))
+    group, none = np.repeat([0, 1, 2], 40), np.zeros(120, bool)
+    links = jaccard_join.Forest(group, np.arange(120), np.full(120, 2), none, np.concatenate(sets), off, 50).links()
+    root = {i: i for i in range(120)}
+    for i in range(120):
+        for j in range(i):
+            if group[i] == group[j] and 100 * len(np.intersect1d(sets[i], sets[j])) >= 50 * len(np.union1d(sets[i], sets[j])) and root[i] != root[j]:
+                old = root[i]
+                root = {k: root[j] if v == old else v for k, v in root.items()}
+    want = {frozenset(k for k in root if root[k] == v) for v in root.values()}
+    got = {i: i for i in range(120)}
+    for i, j in links.tolist():
+        assert got[i] != got[j]
+        old = got[i]
+        got = {k: got[j] if v == old else v for k, v in got.items()}
+    assert {frozenset(k for k in got if got[k] == v) for v in got.values()} == want and len(want) < 100
+
+
+def test_one_of_each_keeps_rows_of_one_id_with_different_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    docs = spark.createDataFrame([(1, a, "x"), (1, b, "y"), (2, c, "z"), (2, c, "z"), (3, c, "z"), (4, "", "w"), (4, None, "v"), (None, a, "u")], "doc_id long, text string, __head string")
+    kept = jaccard_join.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, a, "x"), (1, b, "y"), (2, c, "z"), (4, "", "w"), (4, None, "v"), (None, a, "u")], key=str)
+
+
 def test_join_of_odd_rows(spark, odd, nothing):
     assert jaccard_join.jaccard_join(nothing).count() == 0
     kept = jaccard_join.one_of_each(odd)
@@ -137,13 +178,14 @@ def test_join_of_odd_rows(spark, odd, nothing):
 
 def test_tree_finds_all_that_the_bound_allows():
     r = np.random.default_rng(0)
-    points = r.integers(0, 5, (300, jaccard_join.LANES)).astype(np.int32)
+    points = r.integers(0, 5, (300, 128)).astype(np.uint16)
     points[150:] = points[:150]
     points[150:, :4] += 1
     group, root = np.sort(r.integers(0, 4, 300)), r.integers(0, 3, 300)
-    q, p = jaccard_join.CountTrees(group, root, points).near(group, root, points, 80)
+    q, p, given = jaccard_join.CountTrees(group, root, points).near(group, root, points, 80, block=1 << 18)
     got = set(zip(q.tolist(), p.tolist(), strict=True))
     bound = np.minimum(points[:, None], points[None]).sum(axis=2)
+    assert given.tolist() == bound[q, p].tolist()
     size = points.sum(axis=1)
     want = (180 * bound >= 80 * (size[:, None] + size[None])) & (group[:, None] == group[None]) & (root[:, None] != root[None])
     assert got == set(zip(*np.nonzero(want), strict=True))
