@@ -9,16 +9,18 @@ Each group has a centre, the node whose groups are largest taken together: copie
 mostly near one original, and its shingles are those that the others kept. Groups of one centre are one family, so a
 node goes to few families, not to each of its groups.
 
-1. Families are dealt to tasks, larger ones in parts by size class and salt, every part with the centre. A task tests
-   all nodes against the centre, then builds an R-tree: shingles are hashed to lanes, about two for each shingle of a
-   set; a node's counts by lane are a point; the sum of coordinate minima with a box's upper corner bounds the overlap
-   with all points in it. Pairs that survive are verified by their sets, the best bounds first, and those of one
-   component are passed over. A task hands out the links that joined components, less than it has nodes.
-2. Only families of several parts can have open pairs then. Nodes outside a family's largest component meet the
-   parts they haven't met, in trees again; what is in that component already isn't tested among itself.
-
-Tasks get the texts of their nodes, one document's for each node, and make the sets anew. Groups are never collected:
-parts have at most PART nodes and VOLUME shingles (or one node). No pair is capped or dropped.
+1. Families are dealt to tasks, larger ones in parts by size class and salt, every part with the centre. Shingles are
+   hashed to lanes, and a node's counts by lane are a point: the sum of coordinate minima of two points bounds the
+   overlap of their sets, and that with the upper corner of an R-tree's box the overlap with all points in it. Tasks
+   of points alone find the nodes that have a partner within the bound, and only these go on with a text each.
+2. A task then tests all nodes against the centre, and builds a tree of finer points, about two lanes for each shingle.
+   Pairs that survive are verified by their sets, the best bounds first, and those of one component are passed over.
+   A task hands out the links that joined components, less than it has nodes.
+3. Only families of several parts can have open pairs then. Nodes outside a family's largest component meet the
+   parts they haven't met, as before; what is in that component already isn't tested among itself.
+
+Groups are never collected: parts have at most PART nodes and VOLUME shingles (or one node). No pair is capped or
+dropped.
 
 Defined cases: null or wordless texts have the empty set, n_shingles 0 and their own id as component; fewer words than
 a shingle make one shingle; a text of any length is one set (a longer one than VOLUME is a part by itself); documents
@@ -28,6 +30,8 @@ columns are ignored.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -44,6 +48,12 @@ SKETCH, MOST, SEGMENT = 22, 24, 1 << 16
 #: Nodes and shingles of a part.
 PART, VOLUME = 1500, 1_000_000
 FANOUT = 12
+#: Points of the first bound: (members up to which, binary logarithm of the lanes).
+COARSE = ((2048, 8), (16384, 10), (1 << 62, 12))
+#: Binary logarithm of the buckets of keys.
+BUCKETS = 20
+#: Pairs that trees of one call may find at most, but for one part by itself.
+PAIRS = 4_000_000
 #: Nodes that a task remembers, so that it gives the prefix of equal sets once.
 KNOWN = 1 << 20
 
@@ -82,6 +92,69 @@ def lanes(ids: np.ndarray, offsets: np.ndarray, bits: int) -> np.ndarray:
     return counts.astype(np.uint16 if not sets or counts.max() < 1 << 16 else np.int32)
 
 
+def coarse_points(hashes: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """The counts by lane of each set; how many lanes there are follows from its size."""
+    n, out = np.diff(offsets), [b""] * (len(offsets) - 1)
+    level = np.searchsorted([most for most, _ in COARSE], n)
+    for c in np.unique(level).tolist():
+        rows = np.flatnonzero(level == c)
+        points = lanes(hashes[ragged(offsets[rows], n[rows])], np.append(0, np.cumsum(n[rows])), COARSE[c][1])
+        high = points.max(axis=1)
+        for i, p, top in zip(rows.tolist(), points, high.tolist(), strict=True):
+            out[i] = p.astype("u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4").tobytes()
+    return out
+
+
+def _unpacked(points: list[bytes], level: np.ndarray, c: int) -> np.ndarray:
+    """Points of level c or above, folded to the lanes of c."""
+    out = np.zeros((len(points), 1 << COARSE[c][1]), np.int32)
+    for i, (raw, k) in enumerate(zip(points, level.tolist(), strict=True)):
+        width = 1 << COARSE[k][1]
+        x = np.frombuffer(raw, {1: "u1", 2: "<u2", 4: "<u4"}[len(raw) // width])
+        out[i] = x if k == c else x.reshape(out.shape[1], -1).sum(axis=1, dtype=np.int32)
+    return out if out.size and out.max() >= 1 << 16 else out.astype(np.uint16)
+
+
+def _with_centre(group: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, the centre of each) in groups, whose numbers ascend, that have one."""
+    centres = np.flatnonzero(first)
+    if not len(centres):
+        return centres, centres
+    at = np.minimum(np.searchsorted(group[centres], group), len(centres) - 1)
+    a = np.flatnonzero(group[centres[at]] == group)
+    b = centres[at[a]]
+    return a[a != b], b[a != b]
+
+
+def hopeful(group: np.ndarray, root: np.ndarray, side: np.ndarray, first: np.ndarray, n: np.ndarray, points: list[bytes], percent: int) -> np.ndarray:
+    """Which nodes have another one in their group (ascending numbers), of another component, whose bound allows a link."""
+    level = np.searchsorted([most for most, _ in COARSE], n)
+    out = np.zeros(len(group), bool)
+    a, b = _with_centre(group, first)
+    for c in np.unique(level).tolist():
+        rows = np.flatnonzero(level >= c)
+        p = _unpacked([points[i] for i in rows.tolist()], level[rows], c)
+        place = np.cumsum(level >= c) - 1
+        mine = (np.minimum(level[a], level[b]) == c) & (root[a] != root[b])
+        x, y = a[mine], b[mine]
+        for i in range(0, len(x), 20_000):
+            u, v = x[i : i + 20_000], y[i : i + 20_000]
+            near = (100 + percent) * np.minimum(p[place[u]], p[place[v]]).sum(axis=1, dtype=np.int64) >= percent * (n[u] + n[v])
+            out[u[near]] = out[v[near]] = True
+        for here, there in ((0, 1), (1, 0)):
+            tree_rows, asks = rows[side[rows] != 1 - here], rows[(side[rows] != 1 - there) & ~out[rows]]
+            if not len(tree_rows) or not len(asks):
+                continue
+            tree = CountTrees(group[tree_rows], root[tree_rows], p[place[tree_rows]])
+            q, found, _ = tree.near(group[asks], root[asks], p[place[asks]], percent)
+            u, v = asks[q], tree_rows[found]
+            mine = np.minimum(level[u], level[v]) == c
+            out[u[mine]] = out[v[mine]] = True
+            if (side[rows] == 2).all():
+                break
+    return out
+
+
 def _long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
@@ -97,7 +170,7 @@ def _place(hashes: np.ndarray, bits: int) -> np.ndarray:
 
 
 def scan(docs: DataFrame, words_each: int, bits: int) -> DataFrame:
-    """A row for each document (doc_id, key, n, node), and each task's counters as rows (segment, counts)."""
+    """A row for each document (doc_id, key, n, node, points), and each task's counters as rows (segment, counts)."""
 
     def make(batches):
         counts = np.zeros(1 << bits, np.uint8)
@@ -108,15 +181,16 @@ def scan(docs: DataFrame, words_each: int, bits: int) -> DataFrame:
                 n = np.diff(off)
                 node = pa.array(set_nodes(hashes, off).view(np.int64), mask=n == 0)
                 nothing = pa.nulls(last - first)
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, last - first) for i in (0, 2)), pa.array(n), node, nothing.cast(pa.int32()), nothing.cast(pa.binary())], names)
+                points = pa.array(coarse_points(hashes, off), pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(first, last - first) for i in (0, 2)), pa.array(n), node, points, nothing.cast(pa.int32()), nothing.cast(pa.binary())], names)
         low = counts.reshape(-1, min(SEGMENT, 1 << bits))
         full = np.flatnonzero(low.any(axis=1))
         if len(full):
             none = pa.nulls(len(full)).cast(pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(full.astype(np.int32)), pa.array([low[i].tobytes() for i in full], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(full), pa.binary()), pa.array(full.astype(np.int32)), pa.array([low[i].tobytes() for i in full], pa.binary())], names)
 
-    names = ["doc_id", "key", "n", "node", "segment", "counts"]
-    return _rows(docs).mapInArrow(make, "doc_id long, key long, n long, node long, segment int, counts binary")
+    names = ["doc_id", "key", "n", "node", "points", "segment", "counts"]
+    return _rows(docs).mapInArrow(make, "doc_id long, key long, n long, node long, points binary, segment int, counts binary")
 
 
 def frequency_classes(scanned: DataFrame, bits: int) -> np.ndarray:
@@ -219,13 +293,55 @@ def _salt(node: str, parts: str):
     return F.pmod(F.xxhash64(node), F.col(parts)).cast("int").alias("part")
 
 
-def shipped(docs: DataFrame, tasks: DataFrame, reps: DataFrame, words_each: int, percent: int, volume: int) -> DataFrame:
+def _by_task(work):
+    """A map over rows sorted by task that gives whole tasks to work(table), some at once while few pairs can come of them."""
+
+    def run(batches):
+        held = None  # rows from the start of a task on
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                table = pa.Table.from_batches([batch])
+                held = table if held is None else pa.concat_tables([held, table])
+            if held is None or not len(held):
+                continue
+            task = held["task"].to_numpy()
+            cuts = np.flatnonzero(task[1:] != task[:-1]) + 1
+            cuts = np.append(cuts, len(task)) if batch is None else cuts
+            at = load = 0
+            for last, size in zip(cuts.tolist(), np.diff(np.append(0, cuts)).tolist(), strict=True):
+                if load and load + size * size > PAIRS:
+                    yield from work(held.slice(at, last - size - at))
+                    at, load = last - size, 0
+                load += size * size
+            if len(cuts):
+                yield from work(held.slice(at, int(cuts[-1]) - at))
+                held = held.slice(int(cuts[-1]))
+
+    return run
+
+
+def bounded(tasks: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """The rows (task, node, root, side, first) whose node has a partner in its task within the bound, with its key."""
+
+    def work(table: pa.Table):
+        task, node, root, side, first, n = (table[c].to_numpy() for c in ("task", "node", "root", "side", "first", "n"))
+        _, group = np.unique(task, return_inverse=True)  # tasks come sorted
+        good = hopeful(group, root, side, first, n, table["points"].to_pylist(), percent)
+        if good.any():
+            yield from table.select(["key", "task", "node", "root", "side", "first"]).filter(pa.array(good)).to_batches()
+
+    rows = tasks.join(nodes, "node").select("key", "task", "node", "root", "side", "first", "n", "points")
+    dealt = rows.repartition("task").sortWithinPartitions("task")
+    return dealt.mapInArrow(_by_task(work), "key long, task long, node long, root long, side int, first boolean")
+
+
+def shipped(docs: DataFrame, tasks: DataFrame, nodes: DataFrame, words_each: int, percent: int) -> DataFrame:
     """(a, b): links that join components in tasks, of rows (task, node, root, side, first) of `tasks`.
 
     side: 0 and 1 are tested against each other, 2 is both; first: the centre, which is tested before all others.
     """
 
-    def forest(table: pa.Table) -> pa.RecordBatch | None:
+    def work(table: pa.Table):
         """Of whole tasks, in their order."""
         data, w = [], []
         for _, _, hashes, off in shingle_sets(table["text"], words_each):
@@ -239,34 +355,20 @@ def shipped(docs: DataFrame, tasks: DataFrame, reps: DataFrame, words_each: int,
         good = np.flatnonzero(set_nodes(hashes, off).view(np.int64) == node)
         order = good[np.lexsort((side[good], node[good], group[good]))]
         one = np.append(True, (group[order[1:]] != group[order[:-1]]) | (node[order[1:]] != node[order[:-1]]))
-        at = order[one]
-        if len(at) < 2:
-            return None
-        hashes, off = hashes[ragged(off[at], n[at])], np.append(0, np.cumsum(n[at]))
-        links = Forest(group[at], root[at], side[at], first[at], hashes, off, percent).links()
-        return pa.RecordBatch.from_arrays([pa.array(node[at][links[:, i]]) for i in (0, 1)], ["a", "b"])
-
-    def join(batches):
-        held = None  # rows from the start of a task on
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            task = held["task"].to_numpy()
-            change = np.flatnonzero(task[1:] != task[:-1])
-            if len(change):
-                last = int(change[-1]) + 1
-                if (out := forest(held.slice(0, last))) is not None:
-                    yield out
-                held = held.slice(last)
-        if held is not None and len(held) and (out := forest(held)) is not None:
-            yield out
-
-    spark = docs.sparkSession
-    # written first, so that its size is known and a small table is broadcast instead of shuffling all texts
-    keyed = materialise(tasks.join(reps, "node").select("key", "task", "node", "root", "side", "first"), "tasks")
-    rows = _rows(docs).select("key", "text").join(keyed, "key")
-    rows = rows.select("task", "node", "root", "side", "first", "text").repartition(partitions(spark, volume), "task").sortWithinPartitions("task")
-    return rows.mapInArrow(join, "a long, b long")
+        at = order[one[: len(order)]]
+        if len(at) > 1:
+            hashes, off = hashes[ragged(off[at], n[at])], np.append(0, np.cumsum(n[at]))
+            links = Forest(group[at], root[at], side[at], first[at], hashes, off, percent).links()
+            yield pa.RecordBatch.from_arrays([pa.array(node[at][links[:, i]]) for i in (0, 1)], ["a", "b"])
+
+    keyed = materialise(bounded(tasks, nodes, percent), "tasks")
+    volume = keyed.join(nodes.select("node", "n"), "node").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # texts whose key's bucket is none of the tasks' stay where they are; 2 ** BUCKETS numbers are broadcast at most
+    bucket = F.expr(f"shiftrightunsigned(key, {64 - BUCKETS})").alias("bucket")
+    wanted = _rows(docs).select("key", "text", bucket).join(F.broadcast(keyed.select(bucket).distinct()), "bucket", "left_semi")
+    rows = wanted.select("key", "text").join(keyed.hint("merge"), "key")
+    rows = rows.select("task", "node", "root", "side", "first", "text").repartition(partitions(docs.sparkSession, 8 * volume), "task").sortWithinPartitions("task")
+    return rows.mapInArrow(_by_task(work), "a long, b long")
 
 
 class Forest:
@@ -326,12 +428,9 @@ class Forest:
                 self.label = roots[self.label]
 
     def links(self) -> np.ndarray:
-        centres = np.flatnonzero(self.first)
-        at = np.searchsorted(self.group[centres], self.group)
-        has = (at < len(centres)) & (self.group[centres[np.minimum(at, max(len(centres) - 1, 0))]] == self.group) if len(centres) else np.zeros(len(self.group), bool)
-        a, b = np.flatnonzero(has), centres[at[has]]
+        a, b = _with_centre(self.group, self.first)
         fits = 100 * np.minimum(self.n[a], self.n[b]) >= self.percent * np.maximum(self.n[a], self.n[b])
-        self.test(a[fits & (a != b)], b[fits & (a != b)])
+        self.test(a[fits], b[fits])
         # groups of more than one component, by sets of like sizes so that the lanes suit them
         least, most = np.full(self.group[-1] + 1, len(self.parent)), np.zeros(self.group[-1] + 1, np.int64)
         np.minimum.at(least, self.group, self.label)
@@ -409,7 +508,7 @@ class CountTrees:
 
 
 def across(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(task, node, root, side, first, n): what nodes outside the largest component of a family of several parts still have to meet.
+    """(task, node, root, side, first): what nodes outside the largest component of a family of several parts still have to meet.
 
     Side r: nodes outside it, m: nodes in it. Parts of r meet those of r and m of the same size class and its neighbours.
     """
@@ -419,7 +518,7 @@ def across(members: DataFrame, roots: DataFrame) -> DataFrame:
     rows = rows.join(main.select("centre", F.col("m.root").alias("main")), "centre").withColumn("rest", F.col("root") != F.col("main"))
     parts = F.ceil(F.greatest(F.count("*") / PART, F.sum("n") / VOLUME)).cast("int")
     counts = rows.groupBy("centre", "k", "rest").agg(parts.alias("parts"))
-    rows = rows.join(counts, ["centre", "k", "rest"]).select("centre", "k", "rest", "node", "root", "n", _salt("node", "parts"))
+    rows = rows.join(counts, ["centre", "k", "rest"]).select("centre", "k", "rest", "node", "root", _salt("node", "parts"))
     each = counts.select("centre", "k", "rest", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     left = each.where("rest").select("centre", F.col("k").alias("lk"), F.col("part").alias("lp"), F.explode(F.array(F.col("k") - 1, F.col("k"), F.col("k") + 1)).alias("k"))
     pairs = left.join(each, ["centre", "k"]).where("not rest OR k > lk OR (k = lk AND part >= lp)")
@@ -429,7 +528,7 @@ def across(members: DataFrame, roots: DataFrame) -> DataFrame:
         F.struct(F.col("lk").alias("k"), F.lit(True).alias("rest"), F.col("lp").alias("part"), F.when(same, 2).otherwise(0).alias("side")),
         F.struct(F.col("k").alias("k"), F.col("rest").alias("rest"), F.col("part").alias("part"), F.when(same, 2).otherwise(1).alias("side")),
     ))).distinct()
-    return rows.join(ends, ["centre", "k", "rest", "part"]).select("task", "node", "root", "side", F.lit(False).alias("first"), "n")
+    return rows.join(ends, ["centre", "k", "rest", "part"]).select("task", "node", "root", "side", F.lit(False).alias("first"))
 
 
 def _joined(docs: DataFrame, words_each: int, percent: int) -> DataFrame:
@@ -439,24 +538,22 @@ def _joined(docs: DataFrame, words_each: int, percent: int) -> DataFrame:
     bits = min(MOST, SKETCH + max(0, (rows - 1) // 1_000_000).bit_length())
     scanned = materialise(scan(docs, words_each, bits), "sets")
     documents = scanned.where(F.col("segment").isNull()).select("doc_id", "key", "n", "node")
-    per_node = documents.where("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("key"))
     prefix_rows = documents.agg(F.sum(F.col("n") - F.ceil(percent * F.col("n") / 100) + 1)).first()[0] or 0
     grouped = materialise(groups(prefixes(docs, frequency_classes(scanned, bits), words_each, percent), partitions(spark, 24 * int(prefix_rows))), "groups")
     members = materialise(dealt(families(grouped), percent), "families")
     discard(spark, grouped)
-    reps = materialise(per_node.join(members.select("node").distinct(), "node", "left_semi"), "nodes")
+    of_members = scanned.where("node IS NOT NULL").join(members.select("node").distinct(), "node", "left_semi")
+    nodes = materialise(of_members.groupBy("node").agg(F.min(F.struct("key", "n", "points")).alias("m")).select("node", "m.*"), "nodes")
     task = F.xxhash64("centre", "k", "part").alias("task")
-    meeting = members.select(task, "node", F.col("node").alias("root"), F.lit(2).alias("side"), (F.col("node") == F.col("centre")).alias("first"), "n")
+    meeting = members.select(task, "node", F.col("node").alias("root"), F.lit(2).alias("side"), (F.col("node") == F.col("centre")).alias("first"))
     # the centre is in each part of a larger family
-    guests = members.where("large").select(task, F.col("centre").alias("node"), F.col("centre").alias("root"), F.lit(2).alias("side"), F.lit(True).alias("first"), F.lit(0).cast("long").alias("n")).distinct()
-    volume, large = members.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.bool_or("large"), F.lit(False))).first()
-    first = materialise(shipped(docs, meeting.union(guests), reps, words_each, percent, 8 * volume), "links")
+    guests = members.where("large AND node <> centre").select(task, F.col("centre").alias("node"), F.col("centre").alias("root"), F.lit(2).alias("side"), F.lit(True).alias("first"))
+    first = materialise(shipped(docs, meeting.union(guests).distinct(), nodes, words_each, percent), "links")
     roots = components(first)
-    if large:
+    if not members.where("large").isEmpty():
         tasks = materialise(across(members.where("large"), roots), "open")
-        volume = tasks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        if volume:
-            more = materialise(shipped(docs, tasks, reps, words_each, percent, 8 * volume), "links")
+        if not tasks.isEmpty():
+            more = materialise(shipped(docs, tasks, nodes, words_each, percent), "links")
             named = lambda c: F.coalesce(F.col(f"root_{c}"), F.col(c)).alias(c)
             side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
             joined = more.join(side("a"), "a", "left").join(side("b"), "b", "left").select(named("a"), named("b"))

@@ -140,6 +140,24 @@ def test_join_of_a_large_family(spark, monkeypatch):
         assert collections.Counter(map(tuple, jaccard_join.jaccard_join(docs).collect())) == want
 
 
+def test_no_partner_within_reach_is_lost_by_the_first_bound():
+    r = np.random.default_rng(4)
+    base = r.integers(0, 1 << 62, 30_000, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([r.permutation(base[:k])[: int(k * r.uniform(0.85, 1))], r.integers(0, 1 << 62, int(k * r.uniform(0, 0.2)), dtype=np.uint64)])) for k in (12, 300, 2000, 2300, 16_000, 17_000, 30_000) for _ in range(12)]
+    order = r.permutation(len(sets))
+    sets = [sets[i] for i in order]
+    off = np.append(0, np.cumsum([len(x) for x in sets]))
+    points = jaccard_join.coarse_points(np.concatenate(sets), off)
+    n, group = np.diff(off), np.sort(r.integers(0, 2, len(sets)))
+    links = {(i, j) for i in range(len(sets)) for j in range(i) if group[i] == group[j] and 180 * len(np.intersect1d(sets[i], sets[j])) >= 80 * (n[i] + n[j])}
+    for side in (np.full(len(sets), 2), r.integers(0, 3, len(sets))):
+        for first in (np.zeros(len(sets), bool), np.append(True, group[1:] != group[:-1])):
+            got = jaccard_join.hopeful(group, np.arange(len(sets)), side, first, n, points, 80)
+            want = {x for i, j in links if side[i] == 2 or side[j] == 2 or side[i] != side[j] for x in (i, j)}
+            assert want <= set(np.flatnonzero(got).tolist()) and 10 < len(want)
+    assert not jaccard_join.hopeful(group, np.zeros(len(sets)), np.full(len(sets), 2), np.zeros(len(sets), bool), n, points, 80).any()
+
+
 def test_forest_hands_out_fewer_links_than_nodes():
     r = np.random.default_rng(8)
     sets = [np.unique(r.integers(0, 60, 50)).astype(np.uint64) for _ in range(120)]
