@@ -1,10 +1,13 @@
 """Token ids of a corpus as binary shards: Simple-8b words, read back block by block.
 
+Texts are dealt and sorted by document id, and each document's ids are cut into blocks of BLOCK and the last block's
+rest, which are packed as soon as they are there: a task holds no more ids than those of a chunk of text.
+
 Shard layout, all little-endian:
-  8 bytes  b"QUIRES8B"
-  5 x u64  documents, ids, blocks, words, ids per block
+  8 bytes  b"QUIRES8C"
+  4 x u64  documents, blocks, words, ids per block
   documents x i64   document ids, and documents x u8  1 where the id is null
-  (documents + 1) x u64   where each document starts among the shard's ids
+  documents x u64   ids of each document, which gives its blocks and the ids of each
   (blocks + 1) x u64      where each block starts among the words
   words x u64
   u32      crc32 of all before it
@@ -12,8 +15,9 @@ A word holds a selector in its upper 4 bits and in the others as many ids as the
 Selector 15 is the escape: the word after it is one value of up to 64 bits. Words never cross a block, so blocks
 decode apart from each other, and all words of one selector decode in one numpy step.
 
-Defined cases: a null or empty text is the end id alone; documents of equal or null id are kept, in the order of
-their text (null ids come first); an empty table gives an empty result; other columns are ignored.
+Defined cases: a null or empty text is the end id alone; a very long text is packed like any other, in a shard that may
+pass SHARD_WORDS by it; documents of equal or null id are kept (null ids come first), ordered by a hash of their text
+and the text; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,46 +29,63 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.pretokens import encoded
-from quire.llm.shared import file_system, materialise, ragged, work_dir
+from quire.llm.pretokens import encoded, encoder
+from quire.llm.shared import file_system, materialise, partitions, work_dir
 
-MAGIC = b"QUIRES8B"
+MAGIC = b"QUIRES8C"
 #: Fixed values of the format: ids in a word and bits of each, by selector; 60 bits at most are used.
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1, 1])
 BITS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60, 64])
 ESCAPE = 15
 BLOCK = 256
-#: A task closes its shard once it holds so many ids; memory stays within some 100 MB.
-SHARD_IDS = 2_000_000
+#: A shard is closed at the first chunk of text with which it holds so many words, some 4 MB; the most words that are decoded at once.
+SHARD_WORDS, SLAB = 500_000, 100_000
+#: Blocks that are packed at once.
+BLOCKS = 2048
+
+
+def blocks_of(lengths: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """How many ids each block has of rows of so many ids; no block crosses rows."""
+    n = -(-lengths // block)
+    out = np.full(int(n.sum()), block, np.int64)
+    last = np.cumsum(n)[n > 0] - 1
+    out[last] = (lengths - (n - 1) * block)[n > 0]
+    return out
+
 
+def pack(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, words of each block) of blocks of so many values; some BLOCKS of them advance together, one word each a round."""
+    values, ends = np.ascontiguousarray(values, np.uint64), np.cumsum(sizes)
+    parts = []
+    for i in range(0, len(sizes), BLOCKS):
+        own = sizes[i : i + BLOCKS]
+        first = int(ends[i] - own[0])
+        parts.append(_packed(values[first : first + int(own.sum())], own))
+    words, counts = zip(*parts, strict=True) if parts else ([np.zeros(0, np.uint64)], [np.zeros(0, np.int64)])
+    return np.concatenate(words), np.concatenate(counts)
 
-def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """(words, blocks + 1 offsets into them). All blocks advance together, one word each a round."""
-    values = np.ascontiguousarray(values, np.uint64)
-    n = len(values)
-    n_blocks = -(-n // block)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(1, np.uint64)
+
+def _packed(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    width = int(sizes.max())
+    stop = np.cumsum(sizes)
     # by block and place, with places after the end, which any selector may cover
-    padded = np.zeros(n_blocks * block, np.uint64)
-    padded[:n] = values
-    need = padded.reshape(n_blocks, block)
-    choice = np.full((n_blocks, block), ESCAPE, np.int8)
+    need = np.zeros((len(sizes), width), np.uint64)
+    need[np.arange(width) < sizes[:, None]] = values
+    choice = np.full((len(sizes), width), ESCAPE, np.int8)
     for s in range(13, -1, -1):
-        fits = np.ones((n_blocks, block + int(COUNTS[s]) - 1), bool)
-        fits[:, :block] = need < np.uint64(1 << int(BITS[s]))
-        width = 1
-        while width < COUNTS[s]:  # fits: of `width` places from here on, all
-            step = min(width, int(COUNTS[s]) - width)
+        fits = np.ones((len(sizes), width + int(COUNTS[s]) - 1), bool)
+        fits[:, :width] = need < np.uint64(1 << int(BITS[s]))
+        reach = 1
+        while reach < COUNTS[s]:  # fits: of `reach` places from here on, all
+            step = min(reach, int(COUNTS[s]) - reach)
             fits = fits[:, :-step] & fits[:, step:]
-            width += step
+            reach += step
         choice[fits] = s
-    choice = choice.reshape(-1)
-    at, out, of = np.arange(n_blocks) * block, [], []
-    stop, live = np.minimum(at + block, n), np.arange(n_blocks)
+    choice = choice[np.arange(width) < sizes[:, None]]
+    at, out, of, live = stop - sizes, [], [], np.arange(len(sizes))
     while len(live):
-        s = choice[at[live]].astype(np.int64)
         here = at[live]
+        s = choice[here].astype(np.int64)
         take = np.minimum(COUNTS[s], stop[live] - here)
         word = s.astype(np.uint64) << np.uint64(60)
         for k in range(int(take.max())):
@@ -79,27 +100,27 @@ def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray
         live = live[at[live] < stop[live]]
     of = np.concatenate(of)
     order = np.argsort(of, kind="stable")
-    return np.concatenate(out)[order], np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n_blocks))]).astype(np.uint64)
+    return np.concatenate(out)[order], np.bincount(of, minlength=len(sizes))
 
 
-def unpack(words: np.ndarray, offsets: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:
-    """The n values of all blocks."""
+def unpack(words: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The values of blocks of so many words and values each."""
     selector = (words >> np.uint64(60)).astype(np.int64)
+    head = np.zeros(len(words) + 1, bool)
+    head[np.cumsum(counts) - counts] = True
     raw = np.zeros(len(words), bool)
     # a word is raw if the one before it in its block is an escape that isn't raw itself
-    escapes = np.flatnonzero(selector == ESCAPE)
-    inner = np.ones(len(words) + 1, bool)
-    inner[offsets[:-1].astype(np.int64)] = False
-    for i in escapes.tolist():
-        if not raw[i] and inner[i + 1]:
+    for i in np.flatnonzero(selector == ESCAPE).tolist():
+        if not raw[i] and i + 1 < len(words) and not head[i + 1]:
             raw[i + 1] = True
-    counts = np.where(raw, 0, COUNTS[selector])
-    of = np.searchsorted(offsets.astype(np.int64), np.arange(len(words)), "right") - 1
-    before = np.cumsum(counts) - counts
-    firsts = offsets[:-1].astype(np.int64)
-    place = before - before[firsts[of]] + of * block
-    stop = np.minimum((of + 1) * block, n)
-    out = np.zeros(n, np.uint64)
+    held = np.where(raw, 0, COUNTS[selector])
+    of = np.repeat(np.arange(len(counts)), counts)
+    before = np.cumsum(held) - held
+    ends = np.cumsum(sizes)
+    begin = ends - sizes
+    place = before - before[(np.cumsum(counts) - counts)[of]] + begin[of]
+    stop = ends[of]
+    out = np.zeros(int(sizes.sum()), np.uint64)
     for s in range(ESCAPE):
         w = np.flatnonzero((selector == s) & ~raw)
         for k in range(int(COUNTS[s])):
@@ -110,23 +131,48 @@ def unpack(words: np.ndarray, offsets: np.ndarray, n: int, block: int = BLOCK) -
     return out
 
 
-def to_bytes(doc_ids: np.ndarray, nulls: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> bytes:
-    words, blocks = pack(ids)
-    head = np.array([len(doc_ids), len(ids), len(blocks) - 1, len(words), BLOCK], "<u8")
-    body = b"".join([MAGIC, head.tobytes(), doc_ids.astype("<i8").tobytes(), nulls.astype("u1").tobytes(), offsets.astype("<u8").tobytes(), blocks.astype("<u8").tobytes(), words.astype("<u8").tobytes()])
+def to_bytes(doc_ids: np.ndarray, nulls: np.ndarray, lengths: np.ndarray, counts: np.ndarray, words: bytes) -> bytes:
+    """A shard of documents with so many ids, blocks of so many words, and the words."""
+    head = np.array([len(doc_ids), len(counts), len(words) // 8, BLOCK], "<u8")
+    starts = np.append(0, np.cumsum(counts)).astype("<u8")
+    body = b"".join([MAGIC, head.tobytes(), doc_ids.astype("<i8").tobytes(), nulls.astype("u1").tobytes(), lengths.astype("<u8").tobytes(), starts.tobytes(), words])
     return body + zlib.crc32(body).to_bytes(4, "little")
 
 
-def from_bytes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document ids, null flags, offsets, ids); raises ValueError on a damaged shard."""
-    if raw[:8] != MAGIC or len(raw) < 52 or zlib.crc32(raw[:-4]) != int.from_bytes(raw[-4:], "little"):
+def from_bytes(raw: bytes):
+    """(document ids, null flags, ids of each, a generator of (document, its ids)); raises ValueError on a damaged shard."""
+    if raw[:8] != MAGIC or len(raw) < 44 or zlib.crc32(memoryview(raw)[:-4]) != int.from_bytes(raw[-4:], "little"):
         raise ValueError("not a whole shard")
-    docs, n, blocks, n_words, block = np.frombuffer(raw, "<u8", 5, 8).astype(int).tolist()
-    at, parts = 48, []
-    for kind, count in (("<i8", docs), ("u1", docs), ("<u8", docs + 1), ("<u8", blocks + 1), ("<u8", n_words)):
+    docs, blocks, n_words, block = np.frombuffer(raw, "<u8", 4, 8).astype(int).tolist()
+    at, parts = 40, []
+    for kind, count in (("<i8", docs), ("u1", docs), ("<u8", docs), ("<u8", blocks + 1), ("<u8", n_words)):
         parts.append(np.frombuffer(raw, kind, count, at))
         at += parts[-1].nbytes
-    return parts[0], parts[1].astype(bool), parts[2].astype(np.int64), unpack(parts[4], parts[3], n, block)
+    doc_ids, nulls, lengths, starts, words = parts
+    lengths, starts = lengths.astype(np.int64), starts.astype(np.int64)
+    return doc_ids, nulls.astype(bool), lengths, _decoded(lengths, starts, words, block)
+
+
+def _decoded(lengths: np.ndarray, starts: np.ndarray, words: np.ndarray, block: int):
+    """(first document, ids, offsets) by slabs of whole documents."""
+    per = -(-lengths // block)
+    upto = np.append(0, np.cumsum(per))  # blocks before each document
+    first = 0
+    while first < len(lengths):
+        last = max(first + 1, int(np.searchsorted(starts[upto], starts[upto[first]] + SLAB, "right")) - 1)
+        a, b = upto[first], upto[last]
+        own = lengths[first:last]
+        yield first, unpack(words[starts[a] : starts[b]], np.diff(starts[a : b + 1]), blocks_of(own, block)), np.append(0, np.cumsum(own))
+        first = last
+
+
+def packed(batches, path: str, end_id: int):
+    """Of batches (doc_id, text): (doc_ids, ids of each, words of each block, words) by chunks of text, with the end ids."""
+    for batch in batches:
+        for first, ids, off in encoded(batch.column(1), path):
+            lengths = np.diff(off) + 1
+            words, counts = pack(np.insert(ids, off[1:], end_id), blocks_of(lengths))
+            yield batch.column(0).slice(first, len(lengths)), lengths, counts, words
 
 
 def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,33 +187,30 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = 0, id_co
 
         task = TaskContext.get()
         fs, base = file_system(folder)
-        held, seq = [], 0
+        held, size, seq = [], 0, 0
 
         def close():
-            doc_ids, nulls, lengths, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+            doc_ids, nulls, lengths, counts, words = (np.concatenate(x) for x in zip(*held, strict=True))
             file = f"{base}/shard-{task.partitionId():06d}-{seq:05d}-{task.taskAttemptId()}.s8b"
             with fs.open_output_stream(file) as f:
-                f.write(to_bytes(doc_ids, nulls, np.concatenate([[0], np.cumsum(lengths)]), ids))
+                f.write(to_bytes(doc_ids, nulls, lengths, counts, words.astype("<u8").tobytes()))
             held.clear()
-            return pa.RecordBatch.from_pydict({"part": pa.array([task.partitionId()], pa.int32()), "seq": pa.array([seq], pa.int32()), "path": [file], "n_docs": [len(doc_ids)], "n_ids": [len(ids)]})
+            return pa.RecordBatch.from_pydict({"part": pa.array([task.partitionId()], pa.int32()), "seq": pa.array([seq], pa.int32()), "path": [file], "n_docs": [len(lengths)], "n_ids": [int(lengths.sum())]})
 
         fs.create_dir(base, recursive=True)
-        for batch in batches:
-            doc = batch.column(0)
-            keys, nulls = doc.fill_null(0).to_numpy(zero_copy_only=False), doc.is_null().to_numpy(zero_copy_only=False)
-            for first, ids, off in encoded(batch.column(1), path):
-                last = first + len(off) - 1
-                held.append((keys[first:last], nulls[first:last], np.diff(off) + 1, np.insert(ids, off[1:], end_id)))
-                if sum(len(h[3]) for h in held) >= SHARD_IDS:
-                    yield close()
-                    seq += 1
+        for doc, lengths, counts, words in packed(batches, path, end_id):
+            held.append((doc.fill_null(0).to_numpy(zero_copy_only=False), doc.is_null().to_numpy(zero_copy_only=False), lengths, counts, words))
+            size += len(words)
+            if size >= SHARD_WORDS:
+                yield close()
+                seq, size = seq + 1, 0
         if held:
             yield close()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return materialise(ordered.mapInArrow(write, "part int, seq int, path string, n_docs long, n_ids long"), "shards")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("tie", F.xxhash64("text"))
+    volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ordered = rows.repartitionByRange(partitions(docs.sparkSession, volume), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    return materialise(ordered.drop("tie").mapInArrow(write, "part int, seq int, path string, n_docs long, n_ids long"), "shards")
 
 
 def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
@@ -185,14 +228,18 @@ def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     n_files = max(1, int(sum(r[2] for r in sums)))
 
     def read(batches):
+        encoder.cache_clear()  # what this worker met when it wrote isn't needed any more
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 fs, name = file_system(path)
                 with fs.open_input_stream(name) as f:
-                    doc_ids, nulls, off, ids = from_bytes(f.read())
-                raw = memoryview(ids.astype("<u4").tobytes())
-                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64(), mask=nulls), pa.array(off[:-1] + base), pa.array(np.diff(off)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    doc_ids, nulls, lengths, slabs = from_bytes(f.read())
+                for first, ids, off in slabs:
+                    own = slice(first, first + len(off) - 1)
+                    raw = memoryview(ids.astype("<u4").tobytes())
+                    crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(doc_ids[own], pa.int64(), mask=nulls[own]), pa.array(off[:-1] + base), pa.array(lengths[own]), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                    base += int(off[-1])
 
     return files.repartition(min(n_files, 10_000), "path").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

@@ -51,13 +51,23 @@ def test_a_full_cache_starts_anew(monkeypatch):
 @given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 60_000), st.integers(0, 2**64 - 1)), max_size=900), st.sampled_from([4, 64, 256]))
 def test_words_round_trip(values, block):
     v = np.array(values, np.uint64)
-    words, offsets = token_ids.pack(v, block)
-    assert token_ids.unpack(words, offsets, len(v), block).tolist() == values
-
-
-def test_damaged_shards_are_refused():
-    raw = token_ids.to_bytes(np.array([1, 2]), np.array([0, 0]), np.array([0, 2, 3]), np.array([5, 6, 7]))
-    assert token_ids.from_bytes(raw)[3].tolist() == [5, 6, 7]
+    for lengths in ([len(v)], [0, len(v) // 3, 0, len(v) - len(v) // 3]):
+        sizes = token_ids.blocks_of(np.array(lengths), block)
+        assert sizes.sum() == len(v) and (sizes <= block).all() and (sizes > 0).all()
+        words, counts = token_ids.pack(v, sizes)
+        assert counts.sum() == len(words) and token_ids.unpack(words, counts, sizes).tolist() == values
+
+
+def test_damaged_shards_are_refused(monkeypatch):
+    lengths = np.array([2, 300, 1])
+    ids = np.arange(303)
+    words, counts = token_ids.pack(ids, token_ids.blocks_of(lengths))
+    raw = token_ids.to_bytes(np.array([1, 2, 3]), np.array([0, 0, 1]), lengths, counts, words.tobytes())
+    for slab in (100_000, 1):
+        monkeypatch.setattr(token_ids, "SLAB", slab)
+        _, nulls, own, slabs = token_ids.from_bytes(raw)
+        assert nulls.tolist() == [False, False, True] and own.tolist() == lengths.tolist()
+        assert np.concatenate([x for _, x, _ in slabs]).tolist() == ids.tolist()
     for bad in (raw[:-1], raw[:60] + b"\x01" + raw[61:], b""):
         with pytest.raises(ValueError):
             token_ids.from_bytes(bad)
@@ -70,7 +80,9 @@ def test_counts(spark, odd, nothing):
     assert token_counts.token_counts(nothing, PATH).count() == 0
 
 
-def test_shards(spark, odd, nothing, monkeypatch):
+@pytest.mark.parametrize("shard", [250_000, 8])
+def test_shards(spark, odd, nothing, monkeypatch, shard):
+    monkeypatch.setattr(token_ids, "SHARD_WORDS", shard)
     rows = sorted(odd.collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, r.text or ""))
     want, start = [], 0
     for r in rows:
