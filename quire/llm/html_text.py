@@ -11,12 +11,15 @@ sidebars, notices, adverts, forms, comments, scripts, styles, hidden ones) give
 word, but not headings and inline elements in an article; ids of blocks and names of sections there, which often are
 those of the text's own parts ("related-work"), must be made up of such words. Nested articles are part of the outermost.
 
-Defined cases: a null or empty html gives an empty text; unclosed and stray tags are tolerated; repeated rows are
-extracted each; an empty table gives an empty result; other columns are ignored.
+Defined cases: a null or empty html gives an empty text; unclosed and stray tags are tolerated; any declaration that
+isn't a comment ends at the next ">", and markup that never ends is dropped, as browsers do; a very long page takes
+time in proportion to its length; repeated rows are extracted each; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
+import collections
 import re
 from html.parser import HTMLParser
 
@@ -58,10 +61,30 @@ class Events(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, int, int]] = []  # tag, skipped, region, article
+        self.count: collections.Counter[str] = collections.Counter()  # open elements by tag
+        self.blocks: list[int] = []  # places of open block elements
+        self.in_tag = False
         self.lines: list[list] = []
         self.buffer: list[str] = []
         self.linked = self.tags = self.links = self.regions = self.articles = self.coloured = 0
 
+    def parse_starttag(self, i):
+        self.in_tag = True  # what the parser makes of a broken tag is no text
+        try:
+            return super().parse_starttag(i)
+        finally:
+            self.in_tag = False
+
+    def parse_marked_section(self, i, report=1):
+        return self.parse_bogus_comment(i, report)
+
+    def finish(self) -> list[list]:
+        if re.match("<[a-zA-Z/!?]", self.rawdata):
+            self.rawdata = ""
+        self.close()
+        self.flush()
+        return self.lines
+
     def flush(self) -> None:
         text = " ".join("".join(self.buffer).split())
         if text:
@@ -73,7 +96,7 @@ class Events(HTMLParser):
         while self.open and tag in ENDED_BY.get(self.open[-1][0], ()):
             self._close()
         # inline elements left open in a paragraph don't keep it open
-        if tag in BLOCKS and (k := next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] in BLOCKS), -1)) >= 0 and tag in ENDED_BY.get(self.open[k][0], ()):
+        if tag in BLOCKS and self.blocks and tag in ENDED_BY.get(self.open[k := self.blocks[-1]][0], ()):
             while len(self.open) > k:
                 self._close()
         if tag in BLOCKS:
@@ -94,6 +117,9 @@ class Events(HTMLParser):
             article = self.articles
         self.links += tag == "a"
         self.coloured += tag == "pre"
+        if tag in BLOCKS:
+            self.blocks.append(len(self.open))
+        self.count[tag] += 1
         self.open.append((tag, skipped, region, article))
 
     def _never(self, tag: str, attrs, article: int) -> bool:
@@ -119,11 +145,14 @@ class Events(HTMLParser):
             self.flush()
         self.links -= tag == "a"
         self.coloured -= tag == "pre"
+        self.count[tag] -= 1
         self.open.pop()
+        if tag in BLOCKS:
+            self.blocks.pop()
 
     def handle_endtag(self, tag):
         self.tags += not self.coloured or tag == "pre"
-        if not any(x[0] == tag for x in self.open):
+        if not self.count[tag]:
             if tag == "p":
                 self.flush()
             return
@@ -132,7 +161,7 @@ class Events(HTMLParser):
         self._close()
 
     def handle_data(self, data):
-        if self.open and self.open[-1][1]:
+        if self.in_tag or self.open and self.open[-1][1]:
             return
         self.buffer.append(data)
         if self.links > 0:
@@ -163,9 +192,7 @@ def main_text(html: str) -> str:
     """The blocks of the main text, joined by blank lines."""
     events = Events()
     events.feed(html)
-    events.close()
-    events.flush()
-    lines = events.lines
+    lines = events.finish()
     if not lines:
         return ""
     own = np.array([max(len(t) - link, 0) for t, link, _, _, _ in lines], float)

@@ -4,6 +4,8 @@ import re
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from quire.llm import decontamination, html_text, jaccard_join, quality_classifier, quality_rules, queries, secret_scan, warc
 from quire.llm.components import components
 from quire.llm.shared import read_table
@@ -437,6 +439,36 @@ def test_pages_of_any_kind(spark):
         assert isinstance(html_text.main_text(text), str)
 
 
+MARKUP = st.sampled_from(["<", "<!", "<![", "<![foo[x]]>", "<![ x", "<![%y[z]]>", "<!DOCTYPE", "<!--", "-->", "<?x", "</", "</>", "</ p>", "<a", "<b>", "</b>", "<p>", "</x>", "<script>", "</script>", "<td>", "<li", " href='", '"', ">", "&", "&#", "&amp", "&lt;", "]]>", "text ", "é", "\x00", "=", "/", "<article>", "</article>", "<a$>", "<a/$x>"])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(MARKUP, max_size=25).map("".join))
+def test_any_markup_is_read(markup):
+    html_text.main_text(markup)
+    text = html_text.main_text(f"<p>words that come first</p>{markup}")
+    assert "words that come first" in text
+
+
+@pytest.mark.parametrize("markup", ["<![foo[x]]>", "<! x", "<a<a<a", "<!", "<![ x", "<a href='", "<a$ >"])
+def test_broken_markup_is_no_text(markup):
+    assert html_text.main_text(f"<p>some words</p>{markup}") == "some words"
+
+
+@pytest.mark.parametrize("part", ["<b>", "<p>", "<div>", "</x>", "<a<", "<li>x", "<!--", "<![", "&#", "<", "<td><b>x</i>"])
+def test_time_is_linear(part):
+    import time
+
+    def spent(n):
+        page = part * n + "</x>" * n
+        t = time.perf_counter()
+        html_text.main_text(page)
+        return time.perf_counter() - t
+
+    small, large = min(spent(4_000) for _ in range(3)), spent(64_000)
+    assert large < 16 * 4 * small + 0.5
+
+
 def test_articles_of_the_table_come_out_whole(spark):
     import html
 
