@@ -1,15 +1,18 @@
 """Secret scans: base rules, and a character convolutional network over every wider candidate with its context.
 
-The base rules give their findings as they are. Other candidates are long runs of key characters with a letter and a
-digit; a convolutional network in numpy reads LEFT characters before, the candidate's head and tail, and RIGHT after,
-each with its own max pooling. Of a candidate longer than head and tail it reads pieces all along as well, each with what
-is around it, and the highest score counts: any 32 characters in a row are in one piece. It is trained on labelled findings (by default made from a seeded generator), its
-scores are calibrated on a fold it hasn't seen, and each candidate class gets the highest threshold that keeps the
-wanted recall there, that of all classes together if the fold has no secret of the class.
+The base rules give their findings as they are. Candidates of the network are their values, which it scores alone, and
+other long runs of key characters, letters alone and digits alone included, unless they hold few different characters.
+A convolutional network in numpy reads LEFT characters before, the candidate's head and tail, and RIGHT after,
+each with its own max pooling. Of a candidate longer than head and tail it reads pieces all along as well, each with
+what is around it, and the highest score counts: any 32 characters in a row are in one piece. It is trained on labelled
+findings (by default made from a seeded generator), its scores are calibrated on a fold it hasn't seen, and each
+candidate class gets the highest threshold that keeps the wanted recall there, that of all classes together if the fold
+has no secret of the class.
 
 Defined cases: a null text is empty and has no finding; findings of one kind never overlap, those of different kinds
-may; of a run that base findings overlap, what they leave over is a candidate if it is one by itself; repeated rows are scanned each; an empty table
-gives an empty result; other columns are ignored. Offsets are code points, ends are exclusive.
+may; of a run that base findings overlap, what they leave over is a candidate if it is one by itself; a text of any
+length is read whole; repeated rows are scanned each; an empty table gives an empty result; other columns are ignored.
+Offsets are code points, ends are exclusive.
 """
 
 from __future__ import annotations
@@ -34,6 +37,8 @@ RULES = {
 LONG_HEX = re.compile(r"[0-9a-f]{32,}")
 NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey")
 LEAST = 16
+#: Different characters that make a run a candidate, whatever they are; with fewer it needs a letter and a digit.
+VARIED = 8
 WIDE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 LEFT, HEAD, TAIL, RIGHT, WIDTH, FILTERS, DENSE = 20, 32, 12, 12, 5, 20, 16
 #: Longer candidates are read in pieces of SPAN characters too, one every STEP.
@@ -54,7 +59,7 @@ def base_findings(text: str) -> list[tuple[int, str, int]]:
 
 
 def candidates(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
-    """Runs of key characters with a letter and a digit, without what of them is in base findings."""
+    """Runs of key characters that are varied or have a letter and a digit, without what of them is in base findings."""
     out, taken, i = [], [], 0
     for a, _, b in sorted(base):
         if taken and a <= taken[-1][1]:
@@ -69,7 +74,7 @@ def candidates(text: str, base: list[tuple[int, str, int]]) -> list[tuple[int, i
         while at < end:
             a, b = taken[k] if k < len(taken) and taken[k][0] < end else (end, end)
             run = text[at:a]
-            if len(run) >= LEAST and not run.isalpha() and any(c.isdigit() for c in run) and any(c.isalpha() for c in run):
+            if len(run) >= LEAST and (len(set(run)) >= VARIED or any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
                 out.append((at, a))
             at, k = b, k + 1
     return out
@@ -107,7 +112,7 @@ def windows(text: str, a: int, b: int) -> np.ndarray:
     return np.concatenate([ends, np.lib.stride_tricks.sliding_window_view(around, LEFT + SPAN + RIGHT)[at]])
 
 
-def findings(n: int = 1600, seed: int = 5, within: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def findings(n: int = 2600, seed: int = 5, within: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Labelled findings from a seeded generator: (windows, labels, candidate classes); within: pieces of longer candidates."""
     r = np.random.default_rng(seed)
     hexa, upper, alnum, base64 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
@@ -123,7 +128,13 @@ def findings(n: int = 1600, seed: int = 5, within: bool = False) -> tuple[np.nda
         lambda: of(hexa, k(20, 32)),
         lambda: of(upper, k(18, 32)),
         lambda: "eyJ" + of(base64, k(20, 40)),
+        lambda: of(pick(alnum[:26], alnum[26:52], alnum[:52]), k(18, 40)),
+        lambda: pick("npm_", "pypi-", "dop_v1_", "EAAC", "SG.", "ya29", "key-", "hf_", "whsec_") + of(pick(alnum, base64, hexa), k(22, 50)),
+        lambda: of(alnum[:26], k(2, 7)) + pick("-", "_") + pick("", "", "live_", "test_", "v1-", "prod-") + of(pick(alnum, alnum + "-_"), k(18, 42)),
+        lambda: of(alnum[:26], k(3, 5)) + "-" + "".join(of("0123456789", k(9, 14)) + "-" for _ in range(k(1, 3))) + of(alnum, k(18, 34)),
+        lambda: of(hexa, k(18, 32)),
     )
+    stem = lambda: "".join(spoken() for _ in range(k(4, 9)))
     other = (
         lambda: "-".join(word() for _ in range(k(3, 6))) + f"-{k(1, 3000)}",
         lambda: "/".join(word() for _ in range(k(3, 6))) + f"/{k(1, 3000)}",
@@ -135,6 +146,14 @@ def findings(n: int = 1600, seed: int = 5, within: bool = False) -> tuple[np.nda
         lambda: "=" * k(10, 20) + f"part{k(1, 20)}" + "=" * k(10, 20),
         lambda: f"{of(hexa, 8)}-{of(hexa, 4)}-4{of(hexa, 3)}-a{of(hexa, 3)}-{of(hexa, 12)}",
         lambda: f"build-{k(1, 20)}-{k(0, 20)}-{k(0, 999)}-{word()}-{word()}",
+        lambda: pick(str.lower, str.capitalize, str.upper)((stem() + stem() + stem())[: k(16, 26)]),
+        lambda: pick(str.lower, str.capitalize)("".join(pick("th", "er", "on", "an", "en", "in", "he", "re", "es", "sch", "tion", "keit", "ou", "al", "ment", "ung", "ado", "que", "ein", "ich") for _ in range(k(7, 11)))),
+        lambda: of("0123456789", k(16, 21)),
+        lambda: pick("4", "5", "3", "6") + of("0123456789", 15),
+        lambda: str(k(1, 10)) + of("0123456789", k(15, 25)),
+        lambda: f"{k(1990, 2035)}{k(10, 13)}{k(10, 29)}{k(10, 24)}{k(10, 60)}{k(10, 60)}" + of("0123456789", k(2, 7)),
+        lambda: "0" * k(8, 20) + of("0123456789", k(3, 9)) if r.random() < 0.5 else pick("deadbeef", "cafebabe", "feedface", "abcdef", "0123456789abcdef") * k(3, 4),
+        lambda: "-".join(of("0123456789", 4) for _ in range(k(4, 6))),
     )
     rows, labels, classes = [], [], []
     for i in range(n):
@@ -191,7 +210,7 @@ class CharNetwork:
         h = np.maximum(m @ p["D"] + p["d"], 0)
         return {"m": m, "h": h, "where": where, "z": h @ p["o"] + p["c"]}
 
-    def fit(self, x: np.ndarray, y: np.ndarray, classes: np.ndarray, recall: float, epochs: int = 14, batch: int = 64, rate: float = 0.004) -> CharNetwork:
+    def fit(self, x: np.ndarray, y: np.ndarray, classes: np.ndarray, recall: float, epochs: int = 16, batch: int = 128, rate: float = 0.006) -> CharNetwork:
         """The last quarter of the rows is the calibration fold."""
         cut = len(x) * 3 // 4
         r, m, s, t = np.random.default_rng(1), {}, {}, 0
@@ -226,7 +245,8 @@ class CharNetwork:
         for i, at in enumerate(f["where"]):
             d = dm[:, i * FILTERS : (i + 1) * FILTERS]
             for j in range(WIDTH):
-                np.add.at(dk[j], (np.take_along_axis(x, at + j, axis=1), np.arange(FILTERS)[None, :]), d)
+                cell = np.take_along_axis(x, at + j, axis=1).astype(np.int64) * FILTERS + np.arange(FILTERS)
+                dk[j] += np.bincount(cell.reshape(-1), d.reshape(-1), N_CLASSES * FILTERS).reshape(N_CLASSES, FILTERS)
         return {"K": dk, "k": sum(dm[:, i * FILTERS : (i + 1) * FILTERS].sum(axis=0) for i in range(3)), "D": f["m"].T @ dh, "d": dh.sum(axis=0), "o": f["h"].T @ dz, "c": dz.sum(keepdims=True)}
 
     def scores(self, x: np.ndarray) -> np.ndarray:
@@ -234,24 +254,34 @@ class CharNetwork:
 
 
 def examples() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Generated findings in a mixed order, three quarters of them pieces."""
-    whole, pieces = findings(), findings(4800, seed=6, within=True)
+    """Generated findings in a mixed order, whole ones and pieces of longer ones."""
+    whole, pieces = findings(5600), findings(4800, seed=6, within=True)
     order = np.random.default_rng(2).permutation(len(whole[0]) + len(pieces[0]))
     return tuple(np.concatenate(x)[order] for x in zip(whole, pieces, strict=True))
 
 
 def trained(recall: float = 0.95, labelled=None) -> CharNetwork:
-    """A network fitted to labelled findings (windows, labels, classes), or to generated ones."""
-    x, y, classes = labelled or examples()
-    return CharNetwork().fit(x, y, classes, recall)
+    """A network fitted to labelled findings (windows, labels, classes), or to generated ones, once per process."""
+    return CharNetwork().fit(*labelled, recall) if labelled else _generated(recall)
 
 
-def scan_text(texts: list[str], network: CharNetwork) -> list[list[tuple[int, str, int]]]:
-    """All findings (start, kind, end) of each text, in the order of start and kind."""
-    found = [base_findings(t) for t in texts]
-    where = [(i, a, b) for i, t in enumerate(texts) for a, b in candidates(t, found[i])]
+@functools.cache
+def _generated(recall: float) -> CharNetwork:
+    return CharNetwork().fit(*examples(), recall)
+
+
+def value(text: str, start: int, kind: str, end: int) -> tuple[int, int]:
+    """Where the value of a base finding lies, without what assigns it."""
+    return RULES[kind][0].match(text, start, end).span(RULES[kind][1]) if kind == "assign" else (start, end)
+
+
+def scored(texts: list[str], network: CharNetwork) -> list[list[tuple[int, str, int, float]]]:
+    """All findings (start, kind, end, score) of each text, in the order of start and kind."""
+    base = [base_findings(t) for t in texts]
+    where = [(i, *value(t, *f), f) for i, t in enumerate(texts) for f in base[i]]
+    where += [(i, a, b, None) for i, t in enumerate(texts) for a, b in candidates(t, base[i])]
     best, rows, owner, held = np.zeros(len(where)), [], [], 0
-    for k, (i, a, b) in enumerate(where):
+    for k, (i, a, b, _) in enumerate(where):
         rows.append(windows(texts[i], a, b))
         owner.append(np.full(len(rows[-1]), k))
         held += len(rows[-1])
@@ -260,31 +290,40 @@ def scan_text(texts: list[str], network: CharNetwork) -> list[list[tuple[int, st
             for first in range(0, held, 2048):
                 np.maximum.at(best, of[first : first + 2048], network.scores(x[first : first + 2048]))
             rows, owner, held = [], [], 0
-    for p, (i, a, b) in zip(best.tolist(), where, strict=True):
-        if p >= network.thresholds[candidate_class(texts[i][a:b])]:
-            found[i].append((a, "other", b))
-    return [sorted(f, key=lambda x: (x[0], KINDS.index(x[1]))) for f in found]
+    out = [[] for _ in texts]
+    for p, (i, a, b, finding) in zip(best.tolist(), where, strict=True):
+        if finding:
+            out[i].append((*finding, p))
+        elif p >= network.thresholds[candidate_class(texts[i][a:b])]:
+            out[i].append((a, "other", b, p))
+    return [sorted(f, key=lambda x: (x[0], KINDS.index(x[1]))) for f in out]
+
+
+def scan_text(texts: list[str], network: CharNetwork) -> list[list[tuple[int, str, int]]]:
+    """All findings (start, kind, end) of each text, in the order of start and kind."""
+    return [[f[:3] for f in found] for found in scored(texts, network)]
 
 
 def _joined(found) -> str:
-    return ",".join(f"{kind}:{a}:{b}" for a, kind, b in found)
+    return ",".join(f"{kind}:{a}:{b}" for a, kind, b, *_ in found)
 
 
 def secret_findings(docs: DataFrame, network: CharNetwork | None = None) -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_other) of every document."""
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_other, scores) of every document; a score for each span."""
     network = network or trained()
 
     def scan(batches):
         for batch in batches:
             for part in (batch.slice(i, 500) for i in range(0, len(batch), 500)):
-                found = scan_text([t or "" for t in part.column(1).to_pylist()], network)
-                counts = [pa.array([sum(kind == k for _, kind, _ in f) for f in found], pa.int64()) for k in KINDS]
+                found = scored([t or "" for t in part.column(1).to_pylist()], network)
+                counts = [pa.array([sum(x[1] == k for x in f) for f in found], pa.int64()) for k in KINDS]
                 digest = [hashlib.sha256(_joined(x for x in f if x[1] != "other").encode()).hexdigest() for f in found]
-                yield pa.RecordBatch.from_arrays([part.column(0), *counts[:3], pa.array(digest, pa.string()), pa.array([_joined(f) for f in found], pa.string()), counts[3]], names)
+                scores = pa.array([[x[3] for x in f] for f in found], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), *counts[:3], pa.array(digest, pa.string()), pa.array([_joined(f) for f in found], pa.string()), counts[3], scores], names)
 
-    names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_other"]
+    names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_other", "scores"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_other long")
+    return rows.mapInArrow(scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_other long, scores array<double>")
 
 
 def redacted(docs: DataFrame, network: CharNetwork | None = None, mask: str = "[secret]") -> DataFrame:

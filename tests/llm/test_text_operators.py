@@ -253,6 +253,51 @@ def codes_of(text):
     return secret_scan.window(text, 0, len(text))[secret_scan.LEFT : secret_scan.LEFT + len(text)].tolist()
 
 
+def test_network_on_keys_of_other_makes():
+    r = np.random.default_rng(123)
+    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    every = letters + letters.upper() + digits
+    of = lambda chars, n: "".join(chars[i] for i in r.integers(0, len(chars), n))
+    makes = [
+        lambda: of(every + "+/", 40), lambda: "ghp_" + of(every, 36), lambda: f"xoxp-{of(digits, 12)}-{of(digits, 12)}-{of(every, 24)}", lambda: "AIza" + of(every + "-_", 35),
+        lambda: "npm_" + of(every, 36), lambda: "glpat-" + of(every + "-_", 20), lambda: of(letters + "234567", 32), lambda: "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9" + of(every + "-_", 40), lambda: of(letters + letters.upper(), 30),
+    ]
+    words = "deploy the service with this value before friday please and rotate later config line says that".split()
+    texts = [" ".join([*r.permutation(words)[:6], make() + ".", *r.permutation(words)[:4]]) for make in makes for _ in range(60)]
+    found = [any(f[1] == "other" for f in x) for x in secret_scan.scan_text(texts, secret_scan.trained())]
+    assert np.mean(found) >= 0.93
+
+
+def test_scan_of_the_table_against_brute_force(spark):
+    rows = {r.doc_id: r for r in queries.op1_secret_scan(spark, "/root/testdata/sf0.01").collect()}
+    texts = {r.doc_id: r.text for r in read_table(spark, "/root/testdata/sf0.01", "documents").collect()}
+    rules = (("assign", r"(?ai:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 8), ("access", r"(AKIA[A-Z0-9]+)", 16), ("hex", r"([0-9a-f]+)", 32))
+    candidates = others = 0
+    for d, text in texts.items():
+        want = [(m.start(), i, kind, m.end()) for i, (kind, rule, least) in enumerate(rules) for m in re.finditer(rule, text or "") if len(m[1]) >= least]
+        joined = ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in sorted(want))
+        r = rows[d]
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(x[2] == k for x in want) for k in secret_scan.KINDS[:3]]
+        spans = [x for x in r.spans.split(",") if x]
+        assert ",".join(x for x in spans if not x.startswith("other")) == joined and len(r.scores) == len(spans) == len(want) + r.n_other
+        candidates += len(secret_scan.candidates(text or "", secret_scan.base_findings(text or "")))
+        others += r.n_other
+    assert len(rows) == len(texts) and candidates > 100 and others <= 0.03 * candidates
+
+
+def test_planted_keys_are_found_in_the_table(spark):
+    r = np.random.default_rng(9)
+    texts = [t.text for t in read_table(spark, SMALL, "documents").where("length(text) > 100").collect()]
+    chars = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    planted = []
+    for t in texts:
+        at, key = t.index(" ", 40) + 1 if " " in t[40:] else 0, "".join(chars[i] for i in r.integers(0, 62, 32))
+        planted.append((t[:at] + key + " " + t[at:], at))
+    found = secret_scan.scan_text([t for t, _ in planted], secret_scan.trained())
+    assert np.mean([any(f == (at, "other", at + 32) for f in x) for x, (_, at) in zip(found, planted, strict=True)]) >= 0.95
+
+
 def test_remainders_of_base_findings_are_candidates():
     rest, key = "/wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY1", "Zq8Rt2Lw9Xk4Vb7Nm3Pj"
     for text, parts in (
