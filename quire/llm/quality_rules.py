@@ -3,11 +3,12 @@
 Each document's measures are whole numbers. A quantile sketch of a measure is its count by bucket: a bucket for each
 value below 64, then 32 for each doubling, so a quantile is off by 1/32 at most and sketches merge by adding counts.
 Sketches are kept per language and source and merged up to the language, then to all, where a group has fewer than
-`least_docs` documents. A document passes while each measure stays within the quartiles widened by `reach` times their
-distance plus a floor; only documents that the base rule spares take part in the sketches.
+`least_docs` documents. A measure's fences lie beyond its 0.1 and 0.9 quantiles, by `reach` times their distance from
+the median and a floor, which keeps groups whose measure hardly varies from rejecting at once. A document passes while
+each measure stays within them; only documents that the base rule spares take part in the sketches.
 
 Defined cases: a null text has no words, and texts without words fail; a null language or source is a group of its
-own; repeated rows count and are returned each; an empty table gives an empty result; other columns are ignored.
+own; repeated rows count and are returned each; very long texts are measured whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,13 +18,13 @@ from pyspark.sql import functions as F
 
 from quire.llm.shared import let, materialise
 
-#: Of each measure: the least distance between the upper quartile and the fence above, and of the fence below (or none).
+#: Of each measure: the least distance between the 0.9 quantile and the fence above, and of the fence below (or none).
 FLOORS = {
-    "symbol_share": (150, None),
-    "dup_line_share": (450, None),
-    "repeat_share": (200, None),
-    "stutter_share": (100, None),
-    "word_length": (500, 250),
+    "symbol_share": (50, None),
+    "dup_line_share": (200, None),
+    "repeat_share": (60, None),
+    "stutter_share": (30, None),
+    "word_length": (100, 50),
 }
 LEVELS = ("source", "lang", "all")
 
@@ -95,10 +96,10 @@ def fences(cells: DataFrame, level: str, reach: int) -> DataFrame:
     merged = cells.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "measure")
     ranked = merged.withColumn("total", F.sum("n").over(group)).withColumn("upto", F.sum("n").over(group.orderBy("bucket")))
-    quartile = lambda q: _low(F.min(F.when(4 * F.col("upto") >= q * F.col("total"), F.col("bucket"))))
-    rows = ranked.groupBy(*keys, "measure").agg(F.max("total").alias("docs"), quartile(1).alias("q1"), quartile(3).alias("q3"))
-    high = F.col("q3") + reach * (F.col("q3") - F.col("q1"))
-    low = F.col("q1") - reach * (F.col("q3") - F.col("q1"))
+    decile = lambda q: _low(F.min(F.when(10 * F.col("upto") >= q * F.col("total"), F.col("bucket"))))
+    rows = ranked.groupBy(*keys, "measure").agg(F.max("total").alias("docs"), *(decile(q).alias(f"q{q}") for q in (1, 5, 9)))
+    high = F.col("q9") + reach * (F.col("q9") - F.col("q5"))
+    low = F.col("q1") - reach * (F.col("q5") - F.col("q1"))
     columns = [F.max("docs").alias("docs")]
     for m, (above, below) in FLOORS.items():
         columns.append(F.max(F.when(F.col("measure") == m, high + above)).alias(f"high_{m}"))
@@ -137,20 +138,20 @@ def quality_rules(docs: DataFrame, reach: int = 3, least_docs: int = 100) -> Dat
 
 def oracle_sql(reach: int = 3, least_docs: int = 100) -> str:
     """The same as DuckDB SQL."""
-    low = "CASE WHEN b < 64 THEN b ELSE ((b - 64) % 32 + 32) << ((b - 64) // 32 + 1)::INT END"
+    low = "CASE WHEN {b} < 64 THEN {b} ELSE (({b} - 64) % 32 + 32) << (({b} - 64) // 32 + 1)::INT END"
     levels = []
     for level, keys in zip(LEVELS, ("lang, source,", "lang,", ""), strict=True):
         cols = ", ".join(
-            f"max(CASE WHEN measure = '{m}' THEN q3 + {reach} * (q3 - q1) + {above} END) AS high_{m}"
-            + (f", max(CASE WHEN measure = '{m}' THEN q1 - {reach} * (q3 - q1) - {below} END) AS low_{m}" if below is not None else "")
+            f"max(CASE WHEN measure = '{m}' THEN q9 + {reach} * (q9 - q5) + {above} END) AS high_{m}"
+            + (f", max(CASE WHEN measure = '{m}' THEN q1 - {reach} * (q5 - q1) - {below} END) AS low_{m}" if below is not None else "")
             for m, (above, below) in FLOORS.items()
         )
         group = f"GROUP BY {keys.rstrip(',')}" if keys else ""
         levels.append(f"""
 {level}_cells AS (SELECT {keys} measure, bucket, count(*) AS n FROM cells GROUP BY {keys} measure, bucket),
 {level}_ranked AS (SELECT *, sum(n) OVER (PARTITION BY {keys} measure) AS total, sum(n) OVER (PARTITION BY {keys} measure ORDER BY bucket) AS upto FROM {level}_cells),
-{level}_quartiles AS (SELECT {keys} measure, max(total) AS docs, min(CASE WHEN 4 * upto >= total THEN bucket END) AS b1, min(CASE WHEN 4 * upto >= 3 * total THEN bucket END) AS b3 FROM {level}_ranked GROUP BY {keys} measure),
-{level}_values AS (SELECT {keys} measure, docs, {low.replace("b ", "b1 ").replace("(b -", "(b1 -")} AS q1, {low.replace("b ", "b3 ").replace("(b -", "(b3 -")} AS q3 FROM {level}_quartiles),
+{level}_deciles AS (SELECT {keys} measure, max(total) AS docs, {", ".join(f"min(CASE WHEN 10 * upto >= {q} * total THEN bucket END) AS b{q}" for q in (1, 5, 9))} FROM {level}_ranked GROUP BY {keys} measure),
+{level}_values AS (SELECT {keys} measure, docs, {", ".join(f"{low.format(b=f'b{q}')} AS q{q}" for q in (1, 5, 9))} FROM {level}_deciles),
 {level}_fences AS (SELECT {keys} max(docs) AS docs, {cols} FROM {level}_values {group} {f"HAVING max(docs) >= {least_docs}" if keys else ""})""")
     tests = " AND ".join(
         f"coalesce({m} <= coalesce(s.high_{m}, l.high_{m}, a.high_{m}), true)"
