@@ -5,11 +5,15 @@ The reader loads the dictionary from the leading frame, decodes frame after fram
 header is missing or malformed, a length disagrees with the record or a digest with the payload.
 
 Of pages with equal payloads of at least `least` bytes the one of the largest id is the response and the others are
-revisits that refer to it. Only digests travel to be counted; the pages move once, to meet the digests that repeat.
+revisits that name its record. Only digests travel to be counted. Pages whose digest's bucket is none of those that
+repeat are written where they are, and so are the revisits of digests that repeat often, which are few enough to be
+broadcast; the other pages move once, to meet their digests, of which none has more than `OFTEN` pages or a 100,000th
+of all.
 
 Defined cases: a null html is the empty payload; pages of null id are responses and no revisit refers to them; pages
-of equal id and payload are all responses if theirs is the largest id; a null url is left out of the record; an empty
-table gives an empty result; other columns are ignored.
+of equal id and payload are all responses if theirs is the largest id, and revisits name the first of them; every
+record's id is its own; a null url is left out of the record; a very long page is one record like any other, in an
+archive that may pass SHARD_BYTES by it; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +39,10 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SAMPLE, SAMPLE_BYTES, DICTIONARY = 300, 20_000, 32_768
 SHARD_BYTES = 64 << 20
 FEED = 1 << 16
+#: Pages of one digest from which on its revisits stay in place.
+OFTEN = 1000
+#: Binary logarithm of the buckets of digests that are broadcast at most.
+BUCKETS = 20
 
 
 def digest_of(payload: bytes) -> str:
@@ -42,17 +50,26 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """One record: a revisit, which keeps the HTTP header alone, if it refers to another page."""
-    kind = "response" if refers_to is None else "revisit"
+def response_id(page_id: int, payload_digest: str) -> str:
+    """The record id of the response that revisits of a payload refer to."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'response {page_id} {payload_digest}')}>"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, place: str = "", referred: bool = False) -> bytes:
+    """One record: a revisit, which keeps the HTTP header alone, if it refers to another page.
+
+    place: what no other record shares; referred: whether this is the record that revisits refer to.
+    """
+    kind, digest = "response" if refers_to is None else "revisit", digest_of(payload)
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if refers_to is None else b"")
-    head = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {url}')}>", "WARC-Date": "1970-01-01T00:00:00Z"}
+    own = response_id(page_id, digest) if referred else f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'record {place}')}>"
+    head = {"WARC-Type": kind, "WARC-Record-ID": own, "WARC-Date": "1970-01-01T00:00:00Z"}
     if url is not None:
         head["WARC-Target-URI"] = re.sub(r"[^\x21-\x7e]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode("utf-8", "replace")), url)
-    head["WARC-Payload-Digest"] = f"sha1:{digest_of(payload)}"
+    head["WARC-Payload-Digest"] = f"sha1:{digest}"
     if refers_to is not None:
-        head |= {"WARC-Profile": PROFILE, "WARC-Refers-To": f"<urn:page:{refers_to}>"}
+        head |= {"WARC-Profile": PROFILE, "WARC-Refers-To": response_id(refers_to, digest), "WARC-Refers-To-Page-ID": str(refers_to)}
     if page_id is not None:
         head["WARC-Page-ID"] = str(page_id)
     head |= {"Content-Type": "application/http; msgtype=response", "Content-Length": str(len(block))}
@@ -121,10 +138,10 @@ def parse(raw: bytes) -> dict:
         if n != len(payload) or digest != digest_of(payload):
             raise ValueError("the payload isn't that of its length and digest")
     else:
-        match = re.fullmatch(rb"<urn:page:(-?\d+)>", fields.get(b"WARC-Refers-To", b""))
-        if payload or not match:
+        match = re.fullmatch(rb"-?\d+", fields.get(b"WARC-Refers-To-Page-ID", b""))
+        refers = int(match[0]) if match else None
+        if payload or refers is None or fields.get(b"WARC-Refers-To", b"").decode() != response_id(refers, digest):
             raise ValueError("a revisit has a payload or refers to nothing")
-        refers = int(match[1])
     return {"page_id": page, "payload_bytes": n, "payload_digest": digest, "record_type": kind, "refers_to": refers, "payload": payload}
 
 
@@ -147,8 +164,19 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     dictionary = dictionary_of(rows)
     payload = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
     rows = rows.withColumn("digest", F.when(F.octet_length(payload) >= least, F.sha1(payload)))
-    heads = rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("head"), F.count("*").alias("n")).where("n > 1 AND head IS NOT NULL").select("digest", "head")
-    rows = rows.join(heads, "digest", "left").select("page_id", "url", "html", F.when(F.col("page_id") < F.col("head"), F.col("head")).alias("refers_to"))
+    repeated = rows.where(F.col("digest").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("head"), F.count("*").alias("n")).where("n > 1 AND head IS NOT NULL")
+    heads = materialise(repeated, "heads")
+    often = max(OFTEN, (heads.agg(F.sum("n")).first()[0] or 0) // 100_000)
+    bucket = F.conv(F.substring("digest", 1, -(-BUCKETS // 4)), 16, 10).cast("long").alias("bucket")
+    hot = F.broadcast(heads.where(F.col("n") > often).select("digest", F.col("head").alias("hot")))
+    rows = rows.join(hot, "digest", "left").join(F.broadcast(heads.where(F.col("n") <= often).select(bucket).distinct().withColumn("near", F.lit(True))), bucket == F.col("bucket"), "left").drop("bucket")
+    # of a digest that repeats often only its responses move; a null page_id is no revisit
+    stays = F.when(F.col("hot").isNotNull(), F.coalesce(F.col("page_id") != F.col("hot"), F.lit(True))).otherwise(F.col("near").isNull())
+    still = rows.where(stays).select("page_id", "url", "html", F.when(F.col("page_id") < F.col("hot"), F.col("hot")).alias("refers_to"), F.lit(None).cast("string").alias("referred"))
+    # dealt here, so that adaptive execution doesn't part pages of one digest
+    moved = rows.where(~stays).drop("hot", "near").repartition("digest").join(heads.select("digest", "head").hint("merge"), "digest", "left")
+    moved = moved.withColumn("referred", F.when(F.col("page_id") == F.col("head"), F.col("digest"))).sortWithinPartitions("referred")
+    moved = moved.select("page_id", "url", "html", F.when(F.col("page_id") < F.col("head"), F.col("head")).alias("refers_to"), "referred")
 
     def write(batches):
         from pyspark import TaskContext
@@ -158,19 +186,21 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
         fs.create_dir(base, recursive=True)
         encode = compressor(dictionary)
         seq = n = size = 0
-        out = path = None
+        out = path = before = None
 
         def closed():
             out.close()
             return pa.RecordBatch.from_pydict({"path": [path], "records": [n]})
 
         for batch in batches:
-            for page_id, url, html, refers in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            for page_id, url, html, refers, digest in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 if out is None:
                     path = f"{base}/pages-{task.partitionId():06d}-{seq:05d}-{task.taskAttemptId()}.warc.zst"
-                    out = fs.open_output_stream(path)
+                    out = fs.open_output_stream(path, compression=None)  # the name would ask for another frame around all
                     out.write(archive_head(dictionary))
-                raw = record(page_id, url, (html or "").encode("utf-8"), refers)
+                # rows of one digest lie together: the first is the record that revisits refer to
+                raw = record(page_id, url, (html or "").encode("utf-8"), refers, f"{path} {n}", digest is not None and digest != before)
+                before = digest
                 out.write(encode.compress(raw))
                 n, size = n + 1, size + len(raw)
                 if size >= SHARD_BYTES:
@@ -179,7 +209,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
         if out is not None:
             yield closed()
 
-    return materialise(rows.mapInArrow(write, "path string, records long"), "archives")
+    return materialise(still.unionByName(moved).mapInArrow(write, "path string, records long"), "archives")
 
 
 def read_archives(spark: SparkSession, archives: DataFrame) -> DataFrame:
@@ -193,7 +223,7 @@ def read_archives(spark: SparkSession, archives: DataFrame) -> DataFrame:
             for path, records in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 fs, name = file_system(path)
                 held, n = [], 0
-                with fs.open_input_stream(name) as stream:
+                with fs.open_input_stream(name, compression=None) as stream:
                     for raw in frames(stream):
                         fields = parse(raw)
                         held.append([fields[k] for k in names])
