@@ -3,11 +3,13 @@
 A document is a bag of passages of PASSAGE words. Every passage is encoded (shares of byte kinds, word shapes,
 repetition, hashed byte pairs); a gated attention weighs the passages; the weighted representation gives the score. Only
 document labels teach it. Training takes at most `sample` labelled documents outside the held-out fold (the lowest by
-a hash of their id) to the driver as passage features; scoring is a map over all texts with the weights in it.
+a hash of their id, and of rows of one id by a hash of their passages) to the driver as passage features, of longer
+documents BAG passages spread evenly; scoring is a map over all passages of all texts with the weights in it.
 
 Defined cases: a null or wordless text is one passage of zeros and is scored like any other; without labels outside
 the held-out fold every score is 0.5; several labels of a document count as their mean; a null id is not held out;
-repeated rows are scored each; an empty table gives an empty result; other columns never enter a score.
+repeated rows are scored each; very long texts have as many passages as they need; an empty table gives an empty
+result; other columns never enter a score.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ PASSAGE = 48
 PAIRS = 64
 #: Documents that training takes at most.
 SAMPLE = 4000
+#: Passages of a document that training takes at most; scoring takes all.
+BAG = 512
 FOLDS = 5
 HIDDEN, GATE = 24, 12
 
@@ -170,13 +174,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Attention
             data, offsets = flat(batch.column(1))
             for first, last in slices(offsets, CHUNK):
                 x, off = passage_features(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
-                raw = [x[a:b].astype(np.float16).tobytes() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+                raw = [x[a : b : -((a - b) // BAG)].astype(np.float16).tobytes() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), batch.column(2).slice(first, last - first), pa.array(raw, pa.binary())], ["doc_id", "label", "x"])
 
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("label"))
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.avg("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = _rows(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(encode, "doc_id long, label double, x binary").toArrow()
+    rows = _rows(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(encode, "doc_id long, label double, x binary")
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("x")).limit(sample).toArrow()
     order = sorted(zip(rows["doc_id"].to_pylist(), rows["label"].to_pylist(), rows["x"].to_pylist(), strict=True))
     bags = [np.frombuffer(x, np.float16).reshape(-1, N_FEATURES).astype(np.float32) for _, _, x in order]
     off = np.concatenate([[0], np.cumsum([len(b) for b in bags])]).astype(np.int64)
