@@ -4,11 +4,13 @@ An item's windows are its runs of `window` words, or all its words if it has few
 successive k-grams, which is as long as a window, both sides keep the rightmost least hash: so each shared window has
 a shared fingerprint at the same place in it. Fingerprints of documents that a bitmap of the items' fingerprints
 rules out are dropped where they are made; the others are joined, and each hit is extended within the words around it
-that it carries, which decides every window with this fingerprint in it. The bitmap has a fixed size for benchmarks
-of any size. Words are compared by 64-bit hashes.
+that it carries, which decides every window with this fingerprint in it. Items that share a fingerprint with the words
+around it are one row there, and sets of items are named by a hash until each document has its own, so a passage of
+many items costs its documents one row each. The bitmap has a fixed size for benchmarks of any size. Words are compared
+by 64-bit hashes.
 
 Defined cases: null or wordless texts have no words and no windows, and their sha256 is that of the empty string;
-documents of equal or null id are judged each for itself; items of equal id count once, items of null id not at all;
+documents of equal or null id, and very long ones, are judged each for itself and whole; items of equal id count once, items of null id not at all;
 an empty benchmark leaves all documents clean; other columns are ignored.
 """
 
@@ -20,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import BITS, bitmap, flat, materialise, mix, slices
+from quire.llm.shared import BITS, bitmap, flat, fresh, materialise, mix, slices
 from quire.llm.words import ALNUM, gram_hashes, spans, word_hashes
 
 CHUNK = 1_000_000
@@ -144,7 +146,7 @@ def extended(k: int, window: int):
                 keep[whole] = same[:, side : side + k].all(axis=1) & (left + right >= side)
                 low[whole], high[whole] = place[whole] - left, place[whole] + k + right
             rows = pa.array(np.flatnonzero(keep))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n).take(rows) for n in ("part", "row", "item_id")), pa.array(low[keep]), pa.array(high[keep])], ["part", "row", "item_id", "low", "high"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n).take(rows) for n in ("part", "row", "those")), pa.array(low[keep]), pa.array(high[keep])], ["part", "row", "those", "low", "high"])
 
     return extend
 
@@ -157,14 +159,19 @@ def covered(runs):
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items, items_sha256, contaminated) of every document."""
-    prints = materialise(item_prints(items, k, window, item_col, item_text), "prints")
+    prints = item_prints(items, k, window, item_col, item_text).groupBy("print", "size", "around").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    prints = materialise(prints.withColumn("those", F.xxhash64("items")), "prints")
     sizes = sorted(r[0] for r in prints.where(F.col("size") < window).select("size").distinct().collect())
     seen = materialise(candidates(docs, bitmap(prints, "print"), sizes, k, window), "seen")
     hits = seen.where(F.size("hits") > 0).select("part", "row", F.inline("hits"))
-    joined = hits.join(prints, ["print", "size"]).select("part", "row", "item_id", "size", "place", "words", "around")
-    runs = joined.mapInArrow(extended(k, window), "part int, row long, item_id string, low long, high long")
-    by_doc = runs.groupBy("part", "row").agg(F.collect_set("item_id").alias("items"), F.collect_set(F.struct("low", "high")).alias("runs"))
-    by_doc = by_doc.select("part", "row", F.array_sort("items").alias("items"), covered(F.col("runs")).alias("n_hit"))
+    joined = hits.join(prints.drop("items"), ["print", "size"]).select("part", "row", "those", "size", "place", "words", "around")
+    runs = joined.mapInArrow(extended(k, window), "part int, row long, those long, low long, high long")
+    by_doc = runs.groupBy("part", "row").agg(F.collect_set("those").alias("sets"), F.collect_set(F.struct("low", "high")).alias("runs"))
+    by_doc = materialise(by_doc.select("part", "row", "sets", covered(F.col("runs")).alias("n_hit")), "found")
+    sets = prints.select("those", "items").dropDuplicates(["those"])
+    named = by_doc.select("part", "row", F.explode("sets").alias("those")).join(sets, "those").select("part", "row", F.explode("items").alias("item"))
+    named = named.groupBy("part", "row").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    by_doc = by_doc.join(named, ["part", "row"]).select("part", "row", "items", "n_hit")
     out = seen.select("part", "row", "doc_id", "n_words").join(by_doc, ["part", "row"], "left")
     items_of = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
@@ -180,5 +187,6 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
 
 def clean(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
     """The rows of docs, with all their columns, whose id no contaminated text has (rows without an id stay)."""
-    hit = contamination(docs, items, window, k).where("contaminated").select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, docs["doc_id"] == F.col("__hit"), "left_anti")
+    name = fresh(docs, "hit")
+    hit = contamination(docs, items, window, k).where("contaminated").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(hit, docs["doc_id"] == F.col(name), "left_anti")

@@ -23,7 +23,7 @@ ROWS = [
 def odd(spark):
     """Nulls in any column, empty and long texts, repeated rows, and columns named like what operators make."""
     df = spark.createDataFrame(ROWS, "doc_id long, text string, lang string, source string, n_chars long")
-    for name in ("n_words", "score", "node", "n", "part", "row", "head", "hit", "hits", "start", "length", "label", "h", "component_id", "kept", "digest", "__index"):
+    for name in ("n_words", "score", "node", "n", "part", "row", "head", "hit", "hits", "start", "length", "label", "h", "component_id", "kept", "digest", "__index", "__head", "__hit", "key", "row_", "root", "task", "bucket", "tie"):
         from pyspark.sql import functions as F
 
         df = df.withColumn(name, F.lit(name))

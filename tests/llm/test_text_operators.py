@@ -366,6 +366,15 @@ def test_classifier_takes_anything(spark, odd, nothing):
     assert quality_classifier.accepted(odd, model, 0.0).count() == odd.count() and quality_classifier.accepted(odd, model).columns == odd.columns
 
 
+def test_training_takes_a_bounded_sample(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "good words " * (30 + i)) for i in range(40)] + [(2, "# $ %" * 60_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    seen = {}
+    monkeypatch.setattr(quality_classifier.AttentionModel, "fit", lambda self, x, off, y, **k: seen.update(x=x, off=off, y=y) or self)
+    quality_classifier.train(docs, labels, sample=7)
+    assert len(seen["y"]) == 7 and np.diff(seen["off"]).max() <= quality_classifier.BAG
+
+
 def test_gradients():
     r = np.random.default_rng(1)
     m = quality_classifier.AttentionModel()
@@ -409,6 +418,27 @@ def test_archives(spark):
     assert warc.warc_round_trip(pages(spark), least=10**9).where("record_type <> 'response'").count() == 0
 
 
+@pytest.mark.parametrize("often", [1000, 2, 0])
+def test_records_have_ids_of_their_own_and_revisits_name_one(spark, tmp_path, monkeypatch, often):
+    monkeypatch.setattr(warc, "OFTEN", often)
+    rows = [(i, f"u{i % 3}", "same") for i in (1, 2, 3, 9, 9, 9)] + [(5, "a", "x"), (5, "a", "x"), (None, None, "x"), (7, "b", "y"), (None, "n", "z"), (None, "n", "z"), (8, "c", None), (6, "c", "")]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    archives = warc.write_archives(docs, f"file://{tmp_path}/{often}")
+    heads = []
+    for r in archives.collect():
+        with open(r.path, "rb") as f:
+            heads += [dict(x.split(b": ", 1) for x in raw.partition(b"\r\n\r\n")[0].split(b"\r\n")[1:]) for raw in warc.frames(f)]
+    ids = {h[b"WARC-Record-ID"]: h for h in heads}
+    assert len(ids) == len(heads) == len(rows)
+    revisits = [h for h in heads if h[b"WARC-Type"] == b"revisit"]
+    assert sorted(int(h[b"WARC-Page-ID"]) for h in revisits) == [1, 2, 3, 6]
+    for h in revisits:
+        named = ids[h[b"WARC-Refers-To"]]
+        assert named[b"WARC-Type"] == b"response" and named[b"WARC-Payload-Digest"] == h[b"WARC-Payload-Digest"] and named[b"WARC-Page-ID"] == h[b"WARC-Refers-To-Page-ID"]
+    got = collections.Counter((r.page_id, r.record_type, r.refers_to) for r in warc.read_archives(spark, archives).collect())
+    assert got[(9, "response", None)] == 3 and got[(5, "response", None)] == 2 and got[(6, "revisit", 8)] == 1 and got[(None, "response", None)] == 3
+
+
 def test_archives_on_the_table(spark, compare):
     compare(queries.op7_warc(spark, SMALL), queries.OP7_SQL, {"pages": f"{SMALL}/pages.parquet"})
 
