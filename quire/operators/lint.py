@@ -187,6 +187,7 @@ def body_findings(lines: list[dict], text: str):
         after = body[k + 1]["raw"] if k + 1 < len(body) else ""
         opens = code and not inside and FENCE.match(raw)
         if code:
+            blank = 0
             m = FENCE.match(raw)
             if opens:
                 inside = m[1]
@@ -385,15 +386,26 @@ def lint(notes: DataFrame, schema: Schema, resolved: DataFrame | None = None, op
     return out.orderBy("file", "line", "rule_id", "message")
 
 
+#: Salts over which a rule's first findings are sought.
+SALTS = 64
+
+
 def rule_groups(violations: DataFrame, most: int = 20) -> DataFrame:
-    """(rule_id, severity, total, files, shown, limited): the first `most` findings of each rule with its totals."""
+    """(rule_id, severity, total, files, shown, limited): the first `most` findings of each rule with its totals.
+
+    A rule with an error is one of errors. No rule's findings meet in one task: each salt hands on its first ones.
+    """
     from pyspark.sql import Window
 
-    w = Window.partitionBy("rule_id").orderBy("file", "line", "message")
-    ranked = violations.withColumn("_rank", F.row_number().over(w))
-    shown = F.array_sort(F.collect_list(F.when(F.col("_rank") <= most, F.struct("file", "line", "message"))))
-    out = ranked.groupBy("rule_id").agg(F.max("severity").alias("severity"), F.count("*").alias("total"), F.count_distinct("file").alias("files"), shown.alias("shown"))
-    return out.withColumn("limited", F.col("total") > most).orderBy("rule_id")
+    order = ("file", "line", "message")
+    salted = violations.select("rule_id", *order, F.pmod(F.xxhash64("file"), F.lit(SALTS)).alias("_salt"))
+    first = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("rule_id", "_salt").orderBy(*order))).where(F.col("_rank") <= most)
+    first = first.withColumn("_rank", F.row_number().over(Window.partitionBy("rule_id").orderBy(*order))).where(F.col("_rank") <= most)
+    shown = first.groupBy("rule_id").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("shown"))
+    severity = F.when(F.bool_or(F.col("severity") == "error"), "error").otherwise(F.max("severity"))
+    totals = violations.groupBy("rule_id").agg(severity.alias("severity"), F.count("*").alias("total"), F.count_distinct("file").alias("files"))
+    out = totals.join(shown, "rule_id")
+    return out.select("rule_id", "severity", "total", "files", "shown", (F.col("total") > most).alias("limited")).orderBy("rule_id")
 
 
 def counts(violations: DataFrame) -> DataFrame:

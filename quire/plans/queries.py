@@ -508,10 +508,10 @@ def lint_counts(spark, sf_dir):
 
 
 @query(f"""WITH n AS (SELECT * FROM {NOTES_SQL}) SELECT 'SCHEMA' AS rule_id, (SELECT count(*) FROM n) + (SELECT count(*) FROM n WHERE quality IS NULL) + (SELECT count(*) FROM n WHERE lang = 'es')
- + (SELECT count(*) FROM n WHERE NOT regexp_matches(source, '^src[0-9]$')) + (SELECT count(*) FROM n WHERE toxic IS NOT NULL) AS total, (SELECT count(*) FROM n) AS files, 20::INT AS n_shown, true AS limited""")
+ + (SELECT count(*) FROM n WHERE NOT regexp_matches(source, '^src[0-9]$')) + (SELECT count(*) FROM n WHERE toxic IS NOT NULL) AS total, (SELECT count(*) FROM n) AS files, 20::INT AS n_shown, true AS limited, 'error' AS severity""")
 def lint_rule_groups(spark, sf_dir):
     """Findings by rule, the first of each shown."""
-    return lint.rule_groups(_lint(spark, sf_dir)).select("rule_id", "total", "files", F.size("shown").alias("n_shown"), "limited")
+    return lint.rule_groups(_lint(spark, sf_dir)).select("rule_id", "severity", "total", "files", F.size("shown").alias("n_shown"), "limited")
 
 
 # Plans of edits -----------------------------------------------------------------------------------------------------
@@ -579,3 +579,6 @@ def text_sink(spark, sf_dir):
 def annotation_sink(spark, sf_dir):
     """Findings as annotations."""
     return sinks.annotations(_lint(spark, sf_dir).where("message = 'missing property: quality'"))
+
+
+from quire.plans import note_queries  # noqa: E402, F401  (registers its queries)
