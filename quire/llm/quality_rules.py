@@ -21,8 +21,8 @@ from quire.llm.shared import let, materialise
 #: Of each measure: the least distance between the 0.9 quantile and the fence above, and of the fence below (or none).
 FLOORS = {
     "symbol_share": (50, None),
-    "dup_line_share": (200, None),
-    "repeat_share": (60, None),
+    "dup_line_share": (250, None),
+    "repeat_share": (100, None),
     "stutter_share": (30, None),
     "word_length": (100, 50),
 }
