@@ -299,9 +299,13 @@ def okf_findings(path: str, lines: list[dict]):
             yield "OKF005", "warning", n, f"an empty section: {t}"
 
 
+#: Names that the skill format keeps for its vendor.
+RESERVED_NAMES = ("anthropic", "claude")
+
+
 def skill_findings(path: str, properties: dict[str, str], lines: list[dict]):
     name = properties.get("name", "")
-    if name.lower() in ("skill", "agent", "assistant", "system", "default"):
+    if name.lower() in RESERVED_NAMES:
         yield "SKILL001", "error", 1, "the name is reserved"
     folder = path.rsplit("/", 2)[-2] if path.count("/") else ""
     if folder and name != folder:
@@ -349,6 +353,48 @@ def citation_violations(resolved: DataFrame) -> DataFrame:
     return _rows(resolved.where("verdict = 'broken'"), "OKF006", "warning", F.concat(F.lit("citation leads nowhere: "), F.col("target")), F.col("line"))
 
 
+#: The rules with their severity as found and what they are about.
+CATALOG = {
+    "SCHEMA": ("error", "declared properties, types and sections"), "NOTE001": ("error", "checkboxes outside lists"), "NOTE002": ("error", "completed notes with open tasks"),
+    "NOTE003": ("warning", "properties that hold no date"), "NOTE004": ("warning", "properties that hold no time"), "NOTE005": ("error", "frontmatter that can't be read"), "NOTE006": ("warning", "broken links"),
+    **{r: ("warning", "Markdown's public rule of this number") for r in BODY_RULES if r.startswith("MD")},
+    **{f"CHANGELOG00{i}": ("warning", "changelogs") for i in range(1, 9)}, **{f"OKF00{i}": ("warning", "knowledge folders") for i in range(1, 7)},
+    "MADR001": ("warning", "numbers of decision records"), "MADR002": ("warning", "superseded decision records"),
+    "SKILL001": ("error", "reserved names"), "SKILL002": ("warning", "names and folders"), "SKILL003": ("warning", "length of skills"),
+}
+
+
+def catalog(overrides: dict[str, dict] | None = None) -> list[dict]:
+    """Every rule with its default and effective severity, and whether it is on."""
+    rows = []
+    for rule, (severity, about) in sorted(CATALOG.items()):
+        own = (overrides or {}).get(rule, {})
+        rows.append({"rule_id": rule, "default_severity": severity, "severity": own.get("severity", severity), "enabled": own.get("enabled", True), "overridden": bool(own), "about": about})
+    return rows
+
+
+def with_override(overrides: dict[str, dict], rule: str, enabled: bool | None = None, severity: str | None = None) -> dict[str, dict]:
+    """The overrides with one set; what equals the default is left out, and so is a rule without any."""
+    if rule not in CATALOG:
+        raise ValueError(f"unknown rule: {rule}")
+    if severity not in (None, "error", "warning"):
+        raise ValueError(f"unknown severity: {severity}")
+    own = dict(overrides.get(rule, {}))
+    if enabled is not None:
+        own["enabled"] = enabled
+    if severity is not None:
+        own["severity"] = severity
+    own = {k: v for k, v in own.items() if v != {"enabled": True, "severity": CATALOG[rule][0]}[k]}
+    rest = {k: v for k, v in overrides.items() if k != rule}
+    return rest | {rule: own} if own else rest
+
+
+def without_override(overrides: dict[str, dict], rule: str) -> dict[str, dict]:
+    if rule not in CATALOG:
+        raise ValueError(f"unknown rule: {rule}")
+    return {k: v for k, v in overrides.items() if k != rule}
+
+
 @dataclass
 class LintOptions:
     strict: bool = False

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.markdown import EXTERNAL, link_spans
-from quire.functions.text import ascii_lower, jaro_winkler_similarity, percent_decoded, stem
+from quire.functions.text import ascii_lower, glob_regex, jaro_winkler_similarity, percent_decoded, stem
 from quire.operators.aggregate import unambiguous
 from quire.operators.links import first_only
 
 TIE = 0.01
-#: Paths that fuzzy repair hands to every task at most, in characters; beyond it they meet by their first letters.
+#: Paths that fuzzy repair hands to every task at most, in characters; beyond it they meet by letters they share.
 MOST_PATHS = 8 << 20
 
 
@@ -36,7 +36,7 @@ def fuzzy_repairs(broken: DataFrame, paths: DataFrame, least: float = 0.8) -> Da
     """(.., new_path, strategy, confidence): the path nearest by Jaro-Winkler, unless the second is within TIE of it.
 
     Each different written name is compared once with every stem, in the tasks that hold the names; the stems are
-    handed to them only where they are few enough, else names and stems meet by a first letter they may share.
+    handed to them only where they are few enough, else names and stems meet by letters that the similarity asks for.
     """
     name = ascii_lower(stem(percent_decoded(F.col("target"))))
     stems = paths.select("rel_path", ascii_lower(stem(F.col("rel_path"))).alias("stem"))
@@ -47,8 +47,7 @@ def fuzzy_repairs(broken: DataFrame, paths: DataFrame, least: float = 0.8) -> Da
         near = F.least(F.length("name"), F.length("stem")) >= F.greatest(F.length("name"), F.length("stem")) * F.lit(max(0.0, 3 * (least - 0.4) / 0.6 - 2))
         pairs = names.join(F.broadcast(stems), near & (F.col("source") != F.col("rel_path")))
     else:
-        letters = lambda c: F.array_distinct(F.filter(F.split(c, ""), lambda x: x != ""))
-        pairs = names.withColumn("k", F.explode(letters(F.col("name")))).join(stems.withColumn("k", F.explode(letters(F.col("stem")))), "k").where("source <> rel_path").drop("k").distinct()
+        pairs = _by_letters(names, stems, least)
     scored = pairs.withColumn("score", jaro_winkler_similarity("name", "stem")).where(F.col("score") >= least)
     w = Window.partitionBy("name", "source").orderBy(F.col("score").desc(), "rel_path")
     ranked = scored.withColumns({"rank": F.row_number().over(w), "second": F.lead("score").over(w)}).where("rank = 1")
@@ -56,15 +55,51 @@ def fuzzy_repairs(broken: DataFrame, paths: DataFrame, least: float = 0.8) -> Da
     return broken.withColumn("name", name).join(best, ["name", "rel_path"], "left").select(*broken.columns, "new_path", F.when(F.col("new_path").isNotNull(), "fuzzy").alias("strategy"), "confidence")
 
 
+def _by_letters(names: DataFrame, stems: DataFrame, least: float) -> DataFrame:
+    """Pairs (name, source, rel_path, stem) that may be similar enough, by prefix filters over numbered letters.
+
+    The k-th `a` of a text is a member of its own, so matches are members in common. With p first letters in common (4 at
+    most count) the similarity before their bonus has to be j >= (least - p / 10) / (1 - p / 10), and above 0.7 for a bonus;
+    lengths a and b then need m >= (3 j - 1) a b / (a + b) members in common. Two texts with so many share one of the
+    first a - m + 1 of each in any common order; rare members come first in the one used. Each p is a join of its own.
+    """
+
+    def members(rows: DataFrame, key: str) -> DataFrame:
+        each = rows.select(key).distinct().select(key, F.posexplode(F.split(key, "")).alias("i", "x")).where("x <> ''")
+        w = Window.partitionBy(key, "x").orderBy("i")
+        return each.select(key, F.concat("x", F.row_number().over(w).cast("string")).alias("m"))
+
+    of_names, of_stems = members(names, "name"), members(stems, "stem")
+    counts = of_names.select("m").union(of_stems.select("m")).groupBy("m").agg(F.count("*").alias("c"))
+    ranked = lambda rows, key: rows.join(counts, "m").withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy("c", "m")))
+    of_names, of_stems = ranked(of_names, "name"), ranked(of_stems, "stem")
+    met = None
+    for p in range(5):
+        j = min(least, max((least - 0.1 * p) / (1 - 0.1 * p), 0.7))
+        ratio = max(0.0, 3 * j - 2)  # of the shorter to the longer length, if all of the shorter matches
+
+        def heads(rows: DataFrame, key: str, p: int = p, j: float = j, ratio: float = ratio) -> DataFrame:
+            n = F.length(key)
+            other = F.ceil(n * ratio - 1e-9)  # what is asked for grows with the other length; this is the least
+            m = F.greatest(F.lit(1), F.ceil((3 * j - 1) * n * other / (n + other) - 1e-9))
+            return rows.where((F.col("k") <= n - m + 1) & (n >= p)).select(key, "m", F.substring(key, 1, p).alias("head"))
+
+        pairs = heads(of_names, "name").join(heads(of_stems, "stem"), ["m", "head"])
+        near = F.least(F.length("name"), F.length("stem")) >= F.greatest(F.length("name"), F.length("stem")) * ratio - 1e-9
+        pairs = pairs.where(near).select("name", "stem")
+        met = pairs if met is None else met.union(pairs)
+    return names.join(met.distinct(), "name").join(stems, "stem").where("source <> rel_path")
+
+
 def fix_plan(broken: DataFrame, paths: DataFrame, least: float = 0.8, ignore: list[str] = ()) -> DataFrame:
-    """(source, line, old_target, new_target, strategy, confidence); rows without a new target can't be repaired."""
+    """(source, line, kind, old_target, new_target, strategy, confidence); rows without a new target can't be repaired."""
     from quire.operators.filters import without
 
     rows = without(broken, "target", list(ignore)) if ignore else broken
     sure = certain_repairs(rows.select("rel_path", "line", "kind", "target"), paths)
     rest = fuzzy_repairs(sure.where("new_path IS NULL").select("rel_path", "line", "kind", "target"), paths, least)
     both = sure.where("new_path IS NOT NULL").unionByName(rest)
-    return both.select(F.col("rel_path").alias("source"), "line", F.col("target").alias("old_target"), F.col("new_path").alias("new_target"), "strategy", F.round("confidence", 6).alias("confidence"))
+    return both.select(F.col("rel_path").alias("source"), "line", "kind", F.col("target").alias("old_target"), F.col("new_path").alias("new_target"), "strategy", F.round("confidence", 6).alias("confidence"))
 
 
 def title_inventory(notes: DataFrame) -> DataFrame:
@@ -73,6 +108,27 @@ def title_inventory(notes: DataFrame) -> DataFrame:
     return unambiguous(rows.select("rel_path", ascii_lower(F.trim("name")).alias("key")).distinct(), "key", "rel_path")
 
 
+def without_excluded(inventory: DataFrame, titles: list[str] = (), globs: list[str] = (), least: int = 0) -> DataFrame:
+    """The titles that may become links: not in the list (in either case), not of notes in the globs, of `least` bytes at least."""
+    out = inventory.where(F.octet_length("key") >= least)
+    if titles:
+        out = out.where(~F.col("key").isin(*{ascii_fold(t) for t in titles}))
+    for g in globs:
+        out = out.where(~F.col("rel_path").rlike("(?i)" + glob_regex(g)))
+    return out
+
+
+def excluded_by_settings(inventory: DataFrame, asked: dict, settings: dict, least: int = 0) -> DataFrame:
+    """The titles that the settings' exclusions (titles, globs) take away beyond those that were asked for."""
+    both = {k: [*asked.get(k, []), *settings.get(k, [])] for k in ("titles", "globs")}
+    left = without_excluded(inventory, both["titles"], both["globs"], least)
+    return without_excluded(inventory, asked.get("titles", []), asked.get("globs", []), least).join(left.select("key").distinct(), "key", "left_anti")
+
+
+def ascii_fold(text: str) -> str:
+    return text.translate({i: i + 32 for i in range(65, 91)})
+
+
 def inert_zones(line: str) -> list[tuple[int, int]]:
     """Places that must stay as they are: links, embeds, bare addresses, tags of HTML, headings."""
     zones = [(s.start, s.end) for s in link_spans(line, external=True)]

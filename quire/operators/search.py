@@ -60,6 +60,13 @@ def build_index(docs: DataFrame, text: Column, path: str = "rel_path", stemming:
     return Index(postings, rows.select("rel_path", F.size("words").alias("dl")), stemming)
 
 
+def refreshed(index: Index, changed: Index, gone: DataFrame) -> Index:
+    """The index with the changed documents' rows in place of their old ones, and without those gone (rel_path)."""
+    out = gone.select("rel_path").union(changed.doc_stats.select("rel_path")).distinct()
+    keep = lambda old, new: old.join(out, "rel_path", "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
+    return Index(keep(index.postings, changed.postings), keep(index.doc_stats, changed.doc_stats), index.stemming)
+
+
 @dataclass
 class Query:
     """Positive clauses are lists of tokens (a phrase has several); with any OR all of them are optional."""

@@ -101,3 +101,87 @@ def view(config: dict, name: str) -> Find:
 def wide_views(config: dict) -> list[str]:
     """Views that narrow nothing."""
     return [name for name in sorted(config["views"]) if not view(config, name).narrowing()]
+
+
+def nearest_names(path: str, known: list[str], most: int = 3) -> str | None:
+    """The name beside `path` that is nearest by edit distance, within `most`; the first by name of equals."""
+    from quire.functions.text import damerau
+
+    folder, _, name = path.rpartition("/")
+    beside = sorted(k.rpartition("/")[2] for k in known if k.rpartition("/")[0] == folder and k != path)
+    best = min(((damerau(name, b), b) for b in beside if abs(len(b) - len(name)) <= most), default=None)
+    return best[1] if best and best[0] <= most else None
+
+
+def resolve_file(notes: DataFrame, asked: str) -> tuple[str | None, str | None]:
+    """(path, hint): the note that a name asks for, as it is, with .md, or alone in either case; else what was perhaps meant."""
+    asked = re.sub(r"^(\./)+", "", asked.replace("\\", "/"))
+    names = [asked, f"{asked}.md"]
+    folder = asked.rpartition("/")[0]
+    lower = F.lower("rel_path").isin(*(n.lower() for n in names))
+    rows = [r[0] for r in notes.where(lower | (F.regexp_extract("rel_path", "^(?:(.*)/)?[^/]*$", 1) == folder)).select("rel_path").distinct().collect()]  # one folder's names
+    for n in names:
+        if n in rows:
+            return n, None
+    folded = sorted(r for r in rows if r.lower() in {n.lower() for n in names})
+    if len(folded) == 1:
+        return folded[0], None
+    return None, nearest_names(names[-1] if not asked.lower().endswith(".md") else asked, rows)
+
+
+# Settings that are edited: new settings come back, and write_config puts them in place -------------------------------
+
+
+def with_type(config: dict, name: str, **changes) -> dict:
+    """The settings with a declared type set or changed; lists and tables given replace the old ones."""
+    from quire.operators.lint import Schema
+
+    types = config.get("schema", {}).get("types", {})
+    out = merged(config, {}) | {"schema": {**config.get("schema", {}), "types": {**types, name: {**types.get(name, {}), **{k.replace("_", "-"): v for k, v in changes.items()}}}}}
+    Schema.of(out["schema"])
+    return out
+
+
+def without_type(config: dict, name: str) -> dict:
+    """The settings without a type and the paths bound to it."""
+    schema = config.get("schema", {})
+    if name not in schema.get("types", {}):
+        raise KeyError(f"no type {name}")
+    bind = {g: t for g, t in schema.get("bind", {}).items() if t != name}
+    return {**config, "schema": {**schema, "types": {k: v for k, v in schema["types"].items() if k != name}, "bind": bind}}
+
+
+def with_view(config: dict, name: str, **query) -> dict:
+    """The settings with a saved query; it has to be one."""
+    out = {**config, "views": {**config.get("views", {}), name: query}}
+    view(out, name)
+    return out
+
+
+def without_view(config: dict, name: str) -> dict:
+    if name not in config.get("views", {}):
+        raise KeyError(f"no view {name}")
+    return {**config, "views": {k: v for k, v in config["views"].items() if k != name}}
+
+
+def _toml(value) -> str:
+    import json
+
+    if isinstance(value, dict):
+        return "{" + ", ".join(f"{json.dumps(str(k))} = {_toml(v)}" for k, v in value.items()) + "}"
+    if isinstance(value, (list, tuple)):
+        return "[" + ", ".join(map(_toml, value)) + "]"
+    return json.dumps(value, ensure_ascii=False)
+
+
+def write_config(config: dict, root: str, name: str = ".quire.toml") -> None:
+    """Write what differs from the defaults, in one rename: values of the top level, then a table for each other key."""
+    own = {k: v for k, v in config.items() if v is not None and v != DEFAULTS.get(k)}
+    rows = [f"{k} = {_toml(v)}" for k, v in own.items() if not isinstance(v, dict)]
+    for k, table in own.items():
+        if isinstance(table, dict):
+            rows += ["", f"[{k}]", *(f"{_toml(str(n))} = {_toml(v)}" for n, v in table.items())]
+    path = os.path.join(root, name)
+    with open(f"{path}.new", "w", encoding="utf-8") as f:
+        f.write("\n".join(rows).lstrip("\n") + "\n")
+    os.replace(f"{path}.new", path)

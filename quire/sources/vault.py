@@ -5,34 +5,72 @@ from __future__ import annotations
 import json
 import os
 import re
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions.markdown import parse_note, property_type
-from quire.functions.text import glob_match, glob_regex, percent_decoded
+from quire.functions.text import glob_regex, percent_decoded
 from quire.model import META, NOTES
 
 MAX_FILE = 100 << 20
 
 
-def ignored_globs(root: str) -> list[str]:
-    """The patterns of the folder's own .gitignore, as globs of whole relative paths."""
-    try:
-        with open(os.path.join(root, ".gitignore"), encoding="utf-8") as f:
-            rows = [x.strip() for x in f]
-    except OSError:
-        return []
+def ignore_rules(root: str) -> list[tuple[bool, str]]:
+    """(whether it ignores, regular expression of whole relative paths) of the rows of all .gitignore files, in their order.
+
+    A row of a nested file holds below its folder; the last rule that a path meets decides, so `!pattern` admits again.
+    """
     out = []
-    for row in rows:
-        if not row or row.startswith("#"):
+    for folder, names, files in os.walk(root):
+        names[:] = sorted(n for n in names if n != ".git")
+        if ".gitignore" not in files:
             continue
-        mark, row = ("", row[1:]) if row.startswith("!") else ("!", row)
-        tops = row.startswith("/") or "/" in row.rstrip("/")
-        base = ("" if tops else "**/") + row.strip("/")
-        out += [mark + base, mark + base + "/**"]
-    return [x for x in out if x.startswith("!")]
+        rel = os.path.relpath(folder, root).replace(os.sep, "/")
+        above = "" if rel == "." else rel + "/"
+        with open(os.path.join(folder, ".gitignore"), encoding="utf-8", errors="replace") as f:
+            rows = [x.rstrip("\n").rstrip("\r").rstrip() for x in f]
+        for row in rows:
+            if not row or row.startswith("#"):
+                continue
+            ignores = not row.startswith("!")
+            row = row if ignores else row[1:]
+            tops = "/" in row.rstrip("/")
+            base = glob_regex(above + ("" if tops else "**/") + row.strip("/"))[1:-1]
+            # a folder's rule holds for all below it; one that ends in a slash for that alone
+            out.append((ignores, f"^{base}/.*$" if row.endswith("/") else f"^{base}(/.*)?$"))
+    return out
+
+
+def ignored(path: Column, rules: list[tuple[bool, str]]) -> Column:
+    """Whether the last rule that a path meets ignores it."""
+    state = F.lit(False)
+    for ignores, pattern in rules:
+        state = F.when(path.rlike(pattern), F.lit(ignores)).otherwise(state)
+    return state
+
+
+def empty_notes(root: str, hidden: list[str]) -> list[tuple]:
+    """(rel_path, modified, "") of notes without a byte, which Spark's file readers pass over."""
+    out = []
+    for folder, names, files in os.walk(root):
+        names[:] = sorted(n for n in names if n[0] not in "._" or os.path.abspath(os.path.join(folder, n)) in hidden)
+        for name in files:
+            path = os.path.join(folder, name)
+            if name.endswith(".md") and name[0] not in "._" and os.path.getsize(path) == 0:
+                out.append((os.path.relpath(path, root).replace(os.sep, "/"), datetime.fromtimestamp(os.path.getmtime(path), UTC).replace(microsecond=0), ""))
+    return out
+
+
+def too_large(spark: SparkSession, root: str) -> DataFrame:
+    """(rel_path, size) of notes that discovery leaves out for their size; callers warn of them."""
+    base = (root if "://" in root else "file://" + os.path.abspath(root)).rstrip("/")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").load(base)
+    rows = files.where(F.col("length") > MAX_FILE).select("path", F.col("length").alias("size"))
+    full = percent_decoded(F.regexp_replace("path", "^file:/+", "file:///"))
+    return rows.select(F.substring(full, F.lit(len(re.sub("^file:/+", "file:///", base)) + 2), F.lit(1 << 20)).alias("rel_path"), "size")
 
 
 def discover(spark: SparkSession, root: str, include: list[str] | None = None) -> DataFrame:
@@ -41,10 +79,11 @@ def discover(spark: SparkSession, root: str, include: list[str] | None = None) -
     base = (root if "://" in root else "file://" + os.path.abspath(root)).rstrip("/")
 
     def load(path, **options):
-        reader = spark.read.format("text").option("wholetext", True).option("pathGlobFilter", "*.md")
+        # as bytes, so that broken UTF-8 is mended and not refused
+        reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.md")
         for k, v in options.items():
             reader = reader.option(k, v)
-        return reader.load(path).where(F.col("_metadata.file_size") <= MAX_FILE).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"))
+        return reader.load(path).where(F.col("length") <= MAX_FILE).select(F.make_valid_utf8(F.col("content").cast("string")).alias("text"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"))
 
     files = load(base, recursiveFileLookup="true")
     hidden = []
@@ -59,8 +98,10 @@ def discover(spark: SparkSession, root: str, include: list[str] | None = None) -
     full = percent_decoded(F.regexp_replace("path", "^file:/+", "file:///"))
     rel = F.substring(full, F.lit(len(re.sub("^file:/+", "file:///", base)) + 2), F.lit(1 << 20))
     out = files.select(rel.alias("rel_path"), "modified", "text")
-    skip = ignored_globs(root) if "://" not in root else []
-    return out.where(glob_match(F.col("rel_path"), skip)) if skip else out
+    if "://" not in root and (blank := empty_notes(root, [os.path.abspath(h) for h in hidden])):
+        out = out.unionByName(spark.createDataFrame(blank, "rel_path string, modified timestamp, text string"))
+    rules = ignore_rules(root) if "://" not in root else []
+    return out.where(~ignored(F.col("rel_path"), rules)) if rules else out
 
 
 def _items(value) -> list[dict]:

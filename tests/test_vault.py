@@ -336,3 +336,115 @@ def test_stream(spark, root, tmp_path):
     table = LatestNotes(spark, str(tmp_path / "table"))
     table.follow(stream_files(spark, root), once=True).awaitTermination(120)
     assert {r.rel_path for r in table.read().collect()} >= {"alpha.md", "sub/nested.md"}
+
+
+def test_ignore_files(spark, tmp_path):
+    for name, text in {"a.md": "", "x/keep.md": "", "x/b.md": "", "x/y/c.md": "", "x/y/d.md": "", "z/e.md": "", ".gitignore": "x/*\n!x/keep.md\n!x/y\n# no\nz/\n", "x/y/.gitignore": "d.md\n"}.items():
+        os.makedirs((tmp_path / name).parent, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    assert {r.rel_path for r in discover(spark, str(tmp_path)).collect()} == {"a.md", "x/keep.md", "x/y/c.md"}
+
+
+def test_rename_and_what_it_skips(spark):
+    from quire.sources.vault import parse
+
+    texts = {"a/n.md": "[[n]] [[b/n]]\n", "b/n.md": "x\n", "c.md": "[[n]] [up](a/n.md) [[a/n|l]]\n"}
+    notes = parse(spark.createDataFrame([(k, None, v) for k, v in texts.items()], "rel_path string, modified timestamp, text string"))
+    state = lambda old, new: mutate.rename_plan(notes, old, new).first().state
+    assert [state("a/n.md", "a/m.md"), state("a/n.md", "b/n.md"), state("no.md", "x.md"), state("c.md", "c.md")] == ["move", "conflict", "missing", "skipped"]
+    for bad in ("x.txt", "../x.md", "/x.md"):
+        with pytest.raises(ValueError):
+            mutate.rename_plan(notes, "c.md", bad)
+    moves = mutate.rename_plan(notes, "a/n.md", "a/m.md")
+    after = {r.rel_path: r.after for r in mutate.rewrite_plan(notes, mutate.move_link_changes(notes, moves)).collect()}
+    assert after == {"c.md": "[[n]] [up](a/m.md) [[a/m|l]]\n"}
+    skipped = {(r.rel_path, r.target, tuple(r.candidates)) for r in mutate.skipped_ambiguous(notes, moves).collect()}
+    assert skipped == {(p, "n", ("a/n.md", "b/n.md")) for p in ("a/n.md", "c.md")}
+    assert sorted(r.rel_path for r in snapshot.renamed(notes, moves).collect()) == ["a/m.md", "b/n.md", "c.md"]
+
+
+def test_link_fixes_are_guarded_and_tallied(spark, notes, resolved):
+    everything = good(notes)
+    fixes = repair.fix_plan(L.broken(resolved), everything.select("rel_path"))
+    plan = {r.rel_path: r.after for r in mutate.link_fix_plan(notes, fixes, fuzzy=True).collect()}
+    assert "[z](alpha.md)" in plan["gamma.md"] and not mutate.link_fix_plan(notes, fixes).collect()
+    changes = mutate.guarded(mutate.link_fix_changes(fixes, fuzzy=True), notes)
+    n = fixes.count()
+    assert mutate.fix_tally(fixes, changes).first().asDict() == {"planned": 1, "unfixable": n - 1, "rejected": 0, "failed": 0, "applied": 1}
+    assert mutate.fix_tally(fixes, changes, spark.createDataFrame([("gamma.md",)], "rel_path string")).first().applied == 0
+    wrong = spark.createDataFrame([("gamma.md", "wikilink", "zz", "nowhere", "alpha.md"), ("gamma.md", "wikilink", "zz", "beta", "alpha.md"), ("gamma.md", "wikilink", "zz", "alpha", "alpha.md")], "rel_path string, kind string, old_target string, new_target string, path string")
+    assert sorted((r.new_target, r.safe) for r in mutate.guarded(wrong, notes).collect()) == [("alpha", True), ("beta", False), ("nowhere", False)]
+
+
+def test_mentions_become_links(spark, notes):
+    everything = good(notes)
+    titles = repair.title_inventory(everything)
+    plan = {r.rel_path: r.after for r in mutate.auto_link_plan(notes, repair.mentions(everything, titles)).collect()}
+    assert plan["sub/nested.md"].endswith("about [[alpha]], Alphabet and `alpha`\n")
+    stale = spark.createDataFrame([("lonely.md", 1, 1, "nothing", "alpha.md"), ("lonely.md", 1, 3, "thing", "beta.md"), ("lonely.md", 1, 9, "gone", "beta.md"), ("lonely.md", 9, 1, "x", "beta.md")], "rel_path string, line int, col int, surface string, target string")
+    row = mutate.auto_link_plan(notes, stale).first()
+    assert (row.after, row.detail) == ("[[alpha]] here\n", "2 not found")
+    left = {r.key for r in repair.without_excluded(titles, ["ALPHA"], ["SUB/*"], 5).collect()}
+    assert "alpha" not in left and "nested" not in left and "beta" not in left and "gamma" in left
+    assert {r.key for r in repair.excluded_by_settings(titles, {"titles": ["alpha"]}, {"titles": ["alpha", "gamma"]}).collect()} == {"gamma"}
+
+
+def test_fuzzy_repairs_by_letters(spark, monkeypatch):
+    r = random.Random(7)
+    words = ["".join(r.choices("abcdeo", k=r.randint(1, 9))) for _ in range(120)]
+    typos = ["".join(c for c in w if r.random() < 0.85) + r.choice(["", "x", "a"]) for w in words]
+    paths = spark.createDataFrame([(f"d{i}/{w}.md",) for i, w in enumerate(words)], "rel_path string")
+    broken = spark.createDataFrame([("s.md", i, "wikilink", w) for i, w in enumerate(typos)], "rel_path string, line int, kind string, target string")
+    want = sorted(map(str, repair.fuzzy_repairs(broken, paths).collect()))
+    monkeypatch.setattr(repair, "MOST_PATHS", 0)
+    assert sorted(map(str, repair.fuzzy_repairs(broken, paths).collect())) == want and sum("fuzzy" in x for x in want) > 10
+
+
+def test_index_follows_its_notes(spark, notes):
+    body = lambda n: S.build_index(good(n), S.document_text(n["title"], snapshot._body()), stemming=True)
+    gone = notes.where("rel_path = 'gamma.md'")
+    changed = notes.where("rel_path = 'beta.md'")
+    index = snapshot.refresh_index(body(notes), changed, gone)
+    want = body(notes.where("rel_path <> 'gamma.md'"))
+    rows = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    assert rows(index.postings) == rows(want.postings) and rows(index.doc_stats) == rows(want.doc_stats)
+
+
+def test_rule_catalog():
+    overrides = lint.with_override({}, "MD009", enabled=False)
+    assert overrides == {"MD009": {"enabled": False}} and lint.with_override(overrides, "MD009", enabled=True) == {}
+    assert lint.with_override(overrides, "MD009", severity="error")["MD009"] == {"enabled": False, "severity": "error"}
+    shown = {r["rule_id"]: r for r in lint.catalog(overrides)}
+    assert not shown["MD009"]["enabled"] and shown["NOTE006"]["severity"] == "warning" and set(lint.BODY_RULES) <= set(shown)
+    assert lint.without_override(overrides, "MD009") == {}
+    for bad in (lambda: lint.with_override({}, "MD999"), lambda: lint.without_override({}, "X"), lambda: lint.with_override({}, "MD009", severity="fatal")):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_settings_are_edited(tmp_path):
+    config = lists.load_config(str(tmp_path))
+    config = lists.with_type(config, "note", required=["title"], properties={"status": {"type": "enum", "values": ["a", "b"]}})
+    config = lists.with_view(config, "open", task="todo", tags=["x"])
+    lists.write_config(config, str(tmp_path))
+    again = lists.load_config(str(tmp_path))
+    assert again["schema"]["types"]["note"]["required"] == ["title"] and lists.view(again, "open").tags == ["x"]
+    again = lists.without_view(lists.without_type(again, "note"), "open")
+    assert again["views"] == {} and again["schema"]["types"] == {}
+    for bad in (lambda: lists.without_type(again, "note"), lambda: lists.without_view(again, "open")):
+        with pytest.raises(KeyError):
+            bad()
+    with pytest.raises(ValueError):
+        lists.with_type(again, "bad", properties={"p": {"type": "what"}})
+
+
+def test_files_are_named_loosely(notes):
+    ask = lambda x: lists.resolve_file(notes, x)
+    assert ask("./alpha") == ("alpha.md", None) and ask("ALPHA.md") == ("alpha.md", None) and ask("sub/nestd.md") == (None, "nested.md")
+    assert ask("sub/whatever.md") == (None, None)
+
+
+def test_reserved_names_and_blank_lines():
+    assert [f[0] for f in lint.skill_findings("s/SKILL.md", {"name": "Claude"}, [])] == ["SKILL001", "SKILL002"]
+    note = M.parse_note("# T\n\n```py\nx\n```\n\ntext\n")
+    assert not [f for f in lint.body_findings([vars(x) for x in note.lines], "\n") if f[0] == "MD012"]
