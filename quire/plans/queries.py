@@ -153,13 +153,15 @@ def file_list_and_exclusion(spark, sf_dir):
     return X.without(X.in_file_list(rows, listed), "source", ["1"]).select("rel_path")
 
 
-@query("SELECT 2::BIGINT AS missing, 1::BIGINT AS not_markdown, 1::BIGINT AS outside, (SELECT count(*) FROM documents WHERE doc_id < 50) AS found")
+@query("""SELECT count(*) FILTER (doc_id % 7 = 1) AS missing, count(*) FILTER (doc_id % 7 = 2) AS not_markdown, count(*) FILTER (doc_id % 7 = 3) AS outside,
+ count(*) FILTER (doc_id % 7 NOT IN (1, 2, 3)) AS found FROM documents""")
 def files_from_counts(spark, sf_dir):
-    """A list of files: what is found, missing, not Markdown, outside."""
+    """A list of as many files as there are notes: what is found, missing, not Markdown, outside."""
     rows = notes(spark, sf_dir)
-    known = [r[0] for r in rows.where("doc_id < 50").select("rel_path").collect()]
-    found, n = files_from(spark, [*known, "no/1.md", "no/2.md", "a.txt", "../up.md"], rows)
-    return found.agg(F.count("*").alias("found")).select(F.lit(n["missing"]).cast("long").alias("missing"), F.lit(n["not_markdown"]).cast("long").alias("not_markdown"), F.lit(n["outside"]).cast("long").alias("outside"), "found")
+    way = F.col("doc_id") % 7
+    entry = F.when(way == 1, F.concat(F.lit("no/"), "rel_path")).when(way == 2, F.concat("rel_path", F.lit(".txt"))).when(way == 3, F.concat(F.lit("../"), "rel_path")).otherwise(F.col("rel_path"))
+    found, n = files_from(spark, rows.select(entry.alias("rel_path")), rows)
+    return found.agg(F.count("*").alias("found")).select(*(F.lit(n[k]).cast("long").alias(k) for k in ("missing", "not_markdown", "outside")), "found")
 
 
 @query("SELECT DISTINCT p_type AS tag, damerau_levenshtein(lower(p_type), 'smal')::INT AS distance FROM (SELECT DISTINCT unnest(string_split(p_type, ' ')) AS p_type FROM part) WHERE abs(length(p_type) - 4) <= 2 AND damerau_levenshtein(lower(p_type), 'smal') BETWEEN 1 AND 2 ORDER BY 2, 1 LIMIT 3")
@@ -315,20 +317,16 @@ def first_only_dedupe(spark, sf_dir):
     return L.first_only(rows, there).select("rel_path", "target", "line")
 
 
-#: DuckDB compares bytes where Spark's side compares characters, so names keep ASCII alone.
-_ASCII = "regexp_replace(text, '[^ -~]', {})"
-_TYPO = "substr(t, 1, 9) || 'x' || substr(t, 10, 20)"
-
-
-@query(f"""WITH a AS (SELECT item_id, {_ASCII.format("'', 'g'")} AS t FROM benchmark), b AS (SELECT item_id, lower({_TYPO}) AS name FROM a WHERE item_id % 2 = 0), s AS (SELECT lower(substr(t, 1, 29)) AS stem, 'p/' || item_id || '/' || substr(t, 1, 29) || '.md' AS path FROM a),
+@query("""WITH a AS (SELECT item_id, md5(text) AS t FROM benchmark), b AS (SELECT item_id, substr(t, 1, 9) || 'x' || substr(t, 10) AS name FROM a), s AS (SELECT t AS stem, 'p/' || item_id || '/' || t || '.md' AS path FROM a),
 x AS (SELECT item_id, path, jaro_winkler_similarity(name, stem) AS score FROM b, s WHERE score >= 0.8),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, path) AS k, lead(score) OVER (PARTITION BY item_id ORDER BY score DESC, path) AS second FROM x)
 SELECT item_id::INT AS line, path AS new_path, round(score, 6) AS confidence FROM r WHERE k = 1 AND (second IS NULL OR score - second > 0.01)""")
 def fuzzy_repair_top2(spark, sf_dir):
-    """The nearest name by Jaro-Winkler unless the second is as near: misspelt beginnings of benchmark items."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.expr(_ASCII.format("''")).alias("t"))
-    paths = items.select(F.concat(F.lit("p/"), F.col("item_id").cast("string"), F.lit("/"), F.substring("t", 1, 29), F.lit(".md")).alias("rel_path"))
-    broken = items.where("item_id % 2 = 0").select(F.col("item_id").cast("string").alias("rel_path"), F.col("item_id").cast("int").alias("line"), F.lit("wikilink").alias("kind"), F.expr(_TYPO).alias("target"))
+    """The nearest name by Jaro-Winkler unless the second is as near: misspelt digests of all benchmark items."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.md5("text").alias("t"))
+    paths = items.select(F.concat(F.lit("p/"), F.col("item_id").cast("string"), F.lit("/"), "t", F.lit(".md")).alias("rel_path"))
+    typo = F.concat(F.substring("t", 1, 9), F.lit("x"), F.substring("t", 10, 99))
+    broken = items.select(F.col("item_id").cast("string").alias("rel_path"), F.col("item_id").cast("int").alias("line"), F.lit("wikilink").alias("kind"), typo.alias("target"))
     return repair.fuzzy_repairs(broken, paths).where("new_path IS NOT NULL").select("line", "new_path", F.round("confidence", 6).alias("confidence"))
 
 
@@ -427,20 +425,27 @@ def repeated_numbers(spark, sf_dir):
     return A.repeated_numbers(table(spark, sf_dir, "documents").select(F.concat(F.col("source"), F.lit("/"), name).alias("rel_path"))).select("rel_path")
 
 
-@query("SELECT key, min(source) AS source FROM (SELECT lower(string_split(text, ' ')[1]) AS key, source FROM documents) GROUP BY key HAVING count(DISTINCT source) = 1")
+_WORDS = "(SELECT source, unnest(list_filter(string_split_regex(text, '[ \\n\\t]+'), lambda x: x <> '')) AS s FROM documents)"
+_LOW = "translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _words(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("source", F.explode(F.split("text", r"[ \n\t]+")).alias("surface")).where("surface <> ''")
+
+
+@query(f"SELECT key, min(source) AS source FROM (SELECT {_LOW} AS key, source FROM {_WORDS}) GROUP BY key HAVING count(DISTINCT source) = 1")
 def unambiguous_titles(spark, sf_dir):
-    """Keys that one source has: first words."""
-    rows = table(spark, sf_dir, "documents").select(F.lower(F.get(F.split("text", " "), F.lit(0))).alias("key"), "source")
-    return A.unambiguous(rows, "key", "source").distinct()
+    """Keys that one source has: all words of all texts."""
+    rows = _words(spark, sf_dir).select(T.ascii_lower(F.col("surface")).alias("key"), "source").distinct()
+    return A.unambiguous(rows, "key", "source")
 
 
-@query("""WITH m AS (SELECT string_split(text, ' ')[1] AS s FROM documents), p AS (SELECT translate(s, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key, s, count(*) AS n FROM m WHERE s IS NOT NULL GROUP BY ALL),
+@query(f"""WITH p AS (SELECT {_LOW} AS key, s, count(*) AS n FROM {_WORDS} GROUP BY ALL), n AS (SELECT greatest(25, -(-count(*) // 40)) AS least FROM documents),
 r AS (SELECT key, arg_min(s, [lpad((1000000000 - n)::VARCHAR, 12, '0'), s]) AS surface, sum(n)::BIGINT AS count FROM p GROUP BY key), t AS (SELECT sum(count) AS total FROM r)
-SELECT key, surface, count, floor((200 * count + total) / (2 * total))::BIGINT AS share FROM r, t WHERE count >= 25""")
+SELECT key, surface, count, floor((200 * count + total) / (2 * total))::BIGINT AS share FROM r, t, n WHERE count >= least""")
 def common_titles(spark, sf_dir):
-    """Titles met too often to be linked: first words, by their commonest spelling."""
-    rows = table(spark, sf_dir, "documents").select(F.get(F.split("text", " "), F.lit(0)).alias("surface")).where("surface IS NOT NULL")
-    return A.common_titles(rows, 1000)
+    """Titles met too often to be linked: all words of all texts, by their commonest spelling."""
+    return A.common_titles(_words(spark, sf_dir).select("surface"), table(spark, sf_dir, "documents").count())
 
 
 # Windows ------------------------------------------------------------------------------------------------------------

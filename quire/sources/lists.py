@@ -19,9 +19,9 @@ def normalise_list(text: str) -> list[str]:
     return [re.sub(r"^(\./)+", "", x) for x in rows if x]
 
 
-def files_from(spark: SparkSession, listed: list[str], notes: DataFrame) -> tuple[DataFrame, dict[str, int]]:
-    """(rows of the listed notes, counts of missing, not_markdown and outside entries)."""
-    rows = spark.createDataFrame([(x,) for x in listed], "rel_path string")
+def files_from(spark: SparkSession, listed: list[str] | DataFrame, notes: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """(rows of the listed notes, counts of missing, not_markdown and outside entries); a list of any size is a DataFrame (rel_path)."""
+    rows = listed.select("rel_path") if isinstance(listed, DataFrame) else spark.createDataFrame([(x,) for x in listed], "rel_path string")
     outside = F.col("rel_path").startswith("/") | F.col("rel_path").rlike(r"(^|/)\.\.(/|$)")
     kind = rows.withColumn("kind", F.when(outside, "outside").when(~F.lower("rel_path").endswith(".md"), "not_markdown").otherwise("note"))
     known = notes.select("rel_path").withColumn("known", F.lit(True)).distinct()
