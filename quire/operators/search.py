@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.snowball import stemmer
+from quire.functions.stemmer import CODES, LANGUAGES
 from quire.functions.stemmer import language as known_language
-from quire.functions.stemmer import stem
 
 K1, B, EMPTY_AVERAGE = 1.2, 0.75, 256.0
 
@@ -27,16 +28,31 @@ def tokens(text: Column) -> Column:
 
 
 def stemmed(rows: DataFrame) -> DataFrame:
-    """(rel_path, words, lang) with English words (also where lang is null or unknown) as their stems."""
+    """(rel_path, words, lang) with words as their stems in the row's language, English where it is null or unknown."""
 
     def stems(batches):
         for batch in batches:
-            words = [w if w is None or (known_language(l) or "english") != "english" else [stem(x) for x in w] for w, l in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            words = []
+            for row, name in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                cut = stemmer(known_language(name) or "english")
+                words.append(row if row is None else [cut(x) for x in row])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.list_(pa.string())), batch.column(2)], ["rel_path", "words", "lang"])
 
     return rows.select("rel_path", "words", "lang").mapInArrow(stems, "rel_path string, words array<string>, lang string")
 
 
+def own_language(properties: Column) -> Column:
+    """A note's `language` property; null where it is no text."""
+    p = F.get(F.filter(properties, lambda x: (x["name"] == "language") & (x["type"] == "text")), F.lit(0))
+    return F.get(p["items"], F.lit(0))["text"]
+
+
+def language_of(properties: Column, *names: str | None) -> Column:
+    """The language of a note's property if it is known, else the first known of the names, else English."""
+    own = F.lower(F.trim(own_language(properties)))
+    return F.when(own.isin(*LANGUAGES, *CODES), own).otherwise(F.lit(language(*names)))
+
+
 def document_text(title: Column, body: Column) -> Column:
     """A title takes part as the body's first words, without weight of its own."""
     return F.concat_ws(" ", title, body)
@@ -88,10 +104,11 @@ def split_words(text: str) -> list[str]:
     return [t for t in re.split(r"[\W_]+", text.lower()) if t]
 
 
-def parse_query(text: str, stemming: bool = False) -> Query:
+def parse_query(text: str, stemming: bool = False, lang: str | None = None) -> Query:
     """Terms, "phrases", -term, -"phrase", OR, AND. A negated phrase excludes each of its tokens."""
     q = Query()
-    cut = lambda s: [stem(t) if stemming else t for t in split_words(s)]
+    of = stemmer(language(lang)) if stemming else str
+    cut = lambda s: [of(t) for t in split_words(s)]
     for minus, phrase, word in re.findall(r'(-?)"([^"]*)"|(\S+)', text):
         if word:
             if word == "OR":

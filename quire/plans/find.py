@@ -117,14 +117,15 @@ def find(notes: DataFrame, query: Find, resolved: DataFrame | None = None, index
         hit = lambda x: x["kind"].isin("body", "code") & x["raw"].rlike(pattern) & (X.in_ranges(x["line"], F.col("_ranges")) if sections else F.lit(True))
         rows = rows.withColumn("matches", F.transform(F.filter("lines", hit), lambda x: F.struct(x["line"], x["section"], x["raw"].alias("text")))).where(F.size("matches") > 0)
     if query.pattern:
-        parsed = S.parse_query(query.pattern, query.stemming)
+        parsed = S.parse_query(query.pattern, query.stemming, query.language)
+        lang = S.language_of(F.col("properties"), query.language)
         if sections:
             inside = lambda x: x["kind"].isin("body", "code") & X.in_ranges(x["line"], F.col("_ranges"))
             text = F.array_join(F.transform(F.filter("lines", inside), lambda x: x["raw"]), "\n")
-            index = S.build_index(rows, text, stemming=query.stemming)
+            index = S.build_index(rows, text, stemming=query.stemming, lang=lang)
         elif index is None:
             body = F.array_join(F.transform(F.filter("lines", lambda x: x["kind"].isin("body", "code")), lambda x: x["raw"]), "\n")
-            index = S.build_index(scoped, S.document_text(F.col("title"), body), stemming=query.stemming)
+            index = S.build_index(scoped, S.document_text(F.col("title"), body), stemming=query.stemming, lang=lang)
         rows = rows.join(S.bm25(index, parsed, rows), "rel_path")
     edges = L.graph(resolved) if resolved is not None else None
     fields, sort = parse_fields(query.fields), query.sort or ("score" if query.pattern else "file")

@@ -31,13 +31,13 @@ def _body():
     return F.array_join(F.transform(F.filter("lines", lambda x: x["kind"].isin("body", "code")), lambda x: x["raw"]), "\n")
 
 
-def save(notes: DataFrame, root: str, name: str = ".quire-index", stemming: bool = True) -> str:
+def save(notes: DataFrame, root: str, name: str = ".quire-index", stemming: bool = True, language: str | None = None) -> str:
     """Write notes and their inverted index beside each other, then put them in place by one rename."""
     target = _inside(os.path.join(root, name), root)
     new = f"{target}.{uuid.uuid4().hex}"
     notes.write.parquet(f"file://{new}/notes")
     rows = notes.sparkSession.read.schema(StructType.fromDDL(NOTES)).parquet(f"file://{new}/notes")
-    index = S.build_index(good(rows), S.document_text(F.col("title"), _body()), stemming=stemming)
+    index = S.build_index(good(rows), S.document_text(F.col("title"), _body()), stemming=stemming, lang=S.language_of(F.col("properties"), language))
     index.postings.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"file://{new}/postings")
     index.doc_stats.write.parquet(f"file://{new}/doc_stats")
     with open(f"{new}/meta.json", "w", encoding="utf-8") as f:
@@ -96,9 +96,9 @@ def refresh(notes: DataFrame, changed: DataFrame, removed: DataFrame | None = No
     return notes.join(gone.distinct(), "rel_path", "left_anti").unionByName(changed)
 
 
-def refresh_index(index: S.Index, changed: DataFrame, removed: DataFrame | None = None) -> S.Index:
+def refresh_index(index: S.Index, changed: DataFrame, removed: DataFrame | None = None, language: str | None = None) -> S.Index:
     """The inverted index that goes with refresh(): changed notes indexed anew, old rows of theirs and of removed ones left out."""
-    new = S.build_index(good(changed), S.document_text(F.col("title"), _body()), stemming=index.stemming)
+    new = S.build_index(good(changed), S.document_text(F.col("title"), _body()), stemming=index.stemming, lang=S.language_of(F.col("properties"), language))
     gone = changed.select("rel_path") if removed is None else changed.select("rel_path").union(removed.select("rel_path"))
     return S.refreshed(index, new, gone)
 

@@ -448,3 +448,33 @@ def test_reserved_names_and_blank_lines():
     assert [f[0] for f in lint.skill_findings("s/SKILL.md", {"name": "Claude"}, [])] == ["SKILL001", "SKILL002"]
     note = M.parse_note("# T\n\n```py\nx\n```\n\ntext\n")
     assert not [f for f in lint.body_findings([vars(x) for x in note.lines], "\n") if f[0] == "MD012"]
+
+
+@pytest.mark.parametrize(
+    ("language", "words"),
+    [
+        ("german", "aufeinander aufeinand kategorischen kategor häuser haus freundlichkeiten freundlich bedürfnisse bedurfnis katzen katz größe gross autobahnen autobahn aufgeräumten aufgeraumt süßigkeiten sussig"),
+        ("spanish", "chicas chic torneos torne trabajadores trabaj corriendo corr felicidad felic químicamente quimic hablábamos habl tecnología tecnolog existencia existent cheques chequ"),
+        ("french", "continuation continu continuellement continuel maintenaient mainten majestueusement majestu majorité major maladies malad chevaux cheval quantité quantit constamment const évidemment évident finissaient fin"),
+        ("english", "running run machines machin"),
+        ("finnish", "taloissa taloissa"),
+    ],
+)
+def test_stemmers(language, words):
+    from quire.functions.snowball import stemmer
+
+    words = words.split()
+    assert [stemmer(language)(w) for w in words[::2]] == words[1::2]
+    for odd in ("", "a", "ß", "y", "qu", "éè", "uyy", "iv", "niss", "123"):
+        assert isinstance(stemmer(language)(odd), str)
+
+
+def test_languages_of_notes_and_queries(spark):
+    from quire.sources.vault import parse
+
+    texts = {"f.md": "---\nlanguage: fr\n---\nles maladies\n", "e.md": "maladies here\n", "x.md": "---\nlanguage: klingon\n---\nmalade\n", "g.md": "---\nlanguage: 3\n---\nHäuser\n"}
+    notes = parse(spark.createDataFrame([(k, None, v) for k, v in texts.items()], "rel_path string, modified timestamp, text string"))
+    found = lambda pattern, language=None: sorted(r.file for r in find(notes, Find(pattern=pattern, language=language)).collect())
+    assert found("malade", "french") == ["e.md", "f.md", "x.md"]  # what has no language of its own follows the query
+    assert found("maladies") == ["e.md"]
+    assert found("haus", "de") == ["g.md"] and found("haus") == []
