@@ -60,11 +60,12 @@ def document_text(title: Column, body: Column) -> Column:
 
 @dataclass
 class Index:
-    """postings (term, rel_path, tf, positions) and doc_stats (rel_path, dl)."""
+    """postings (term, rel_path, tf, positions) and doc_stats (rel_path, dl); an index that is made just now also has its words."""
 
     postings: DataFrame
     doc_stats: DataFrame
     stemming: bool = False
+    words: DataFrame | None = None
 
 
 def build_index(docs: DataFrame, text: Column, path: str = "rel_path", stemming: bool = False, lang: Column | None = None) -> Index:
@@ -73,7 +74,7 @@ def build_index(docs: DataFrame, text: Column, path: str = "rel_path", stemming:
     rows = stemmed(rows) if stemming else rows
     each = rows.select("rel_path", F.posexplode("words").alias("position", "term"))
     postings = each.groupBy("term", "rel_path").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
-    return Index(postings, rows.select("rel_path", F.size("words").alias("dl")), stemming)
+    return Index(postings, rows.select("rel_path", F.size("words").alias("dl")), stemming, rows.select("rel_path", "words"))
 
 
 def refreshed(index: Index, changed: Index, gone: DataFrame) -> Index:
@@ -139,6 +140,8 @@ def bm25(index: Index, query: Query, candidates: DataFrame | None = None, k1: fl
     terms = query.terms
     if not terms:
         return index.doc_stats.select("rel_path", F.lit(0.0).alias("score")).limit(0)
+    if index.words is not None:
+        return _scanned(index.words, query, candidates, k1, b)
     corpus = index.doc_stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     n, avgdl = corpus["n"], corpus["avgdl"] or EMPTY_AVERAGE
     wanted = index.postings.where(F.col("term").isin(*terms))
@@ -171,6 +174,45 @@ def bm25(index: Index, query: Query, candidates: DataFrame | None = None, k1: fl
     return docs.select("rel_path", "score")
 
 
+def _scanned(words: DataFrame, query: Query, candidates: DataFrame | None, k1: float, b: float) -> DataFrame:
+    """bm25 over (rel_path, words), without postings: one pass for the counts, one narrow pass for the scores, no shuffle."""
+    terms = query.terms
+    tf = lambda t: F.size(F.filter("words", lambda w: w == t))
+    dl = F.size("words")
+    row = words.agg(F.count("*").alias("n"), F.avg(dl).alias("avgdl"), *(F.count_if(F.array_contains("words", t)).alias(f"df_{i}") for i, t in enumerate(terms))).first()
+    n, avgdl = row["n"], row["avgdl"] or EMPTY_AVERAGE
+    counts = {t: row[f"df_{i}"] for i, t in enumerate(terms) if row[f"df_{i}"]}
+    if not counts:
+        return words.select("rel_path", F.lit(0.0).alias("score")).limit(0)
+    names = {t: f"_tf{i}" for i, t in enumerate(counts)}
+    keep = F.lit(False)
+    for t in counts:
+        keep = keep | F.array_contains("words", t)
+    if query.negative:
+        keep = keep & ~F.arrays_overlap("words", F.array(*map(F.lit, query.negative)))
+    docs = words.where(keep)
+    if candidates is not None:
+        docs = docs.join(candidates.select("rel_path").distinct(), "rel_path", "left_semi")
+    docs = docs.withColumns({"_dl": dl, **{c: tf(t) for t, c in names.items()}})
+    score = F.lit(0.0)
+    for t, c in names.items():
+        idf = F.log(F.lit(1.0) + (F.lit(n - counts[t] + 0.5) / F.lit(counts[t] + 0.5))) * float(terms[t])
+        score = score + idf * (F.col(c) * (k1 + 1)) / (F.col(c) + k1 * (1 - b + b * F.col("_dl") / avgdl))
+    for clause in query.positive:
+        known = [t for t in clause if t in counts]
+        everything = _all(F.col(names[t]) > 0 for t in known) if known else F.lit(False)
+        fits = everything
+        if len(clause) > 1:
+            places = F.sequence(F.lit(0), F.greatest(F.col("_dl") - len(clause), F.lit(0)))
+            fits = everything & (F.coalesce(F.exists(places, _side_by_side(clause)), F.lit(False)) if len(known) == len(clause) else F.lit(False))
+        docs = docs.where(~everything | fits if query.optional else fits)
+    return docs.select("rel_path", score.alias("score"))
+
+
+def _side_by_side(clause: list[str]):
+    return lambda i: _all(F.get("words", i + k) == t for k, t in enumerate(clause))
+
+
 def _adjacent(clause: list[str]) -> Column:
     """Some place of the first word has the others right behind it."""
     follow = lambda p: _all(F.array_contains(F.element_at("at", t), p + i) for i, t in enumerate(clause) if i)

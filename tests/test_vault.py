@@ -478,3 +478,14 @@ def test_languages_of_notes_and_queries(spark):
     assert found("malade", "french") == ["e.md", "f.md", "x.md"]  # what has no language of its own follows the query
     assert found("maladies") == ["e.md"]
     assert found("haus", "de") == ["g.md"] and found("haus") == []
+
+
+def test_search_of_postings_and_of_words_agree(spark):
+    r = random.Random(3)
+    docs = spark.createDataFrame([(f"d{i}", " ".join(r.choices("ab cd ef gh ij kl".split(), k=r.randint(0, 12)))) for i in range(80)], "rel_path string, t string")
+    index = S.build_index(docs, docs["t"])
+    stored = S.Index(index.postings, index.doc_stats)
+    rows = lambda i, q, c=None: sorted((x.rel_path, round(x.score, 9)) for x in S.bm25(i, S.parse_query(q), c).collect())
+    for q in ("ab cd", "ab OR zz", '"ab cd" ef', '"ab cd" OR "ef gh" kl', "ab -cd", 'ab ab -"ef gh"', "zz", '"ab zz"', "-ab", '"ab zz" OR cd'):
+        assert rows(index, q) == rows(stored, q)
+        assert rows(index, q, docs.where("rel_path < 'd4'")) == rows(stored, q, docs.where("rel_path < 'd4'"))
