@@ -115,7 +115,20 @@ FROM bits
 """
 
 
+OP10_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, p, p + least(5, len(w)) - 1), ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) t(p) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id, doc_id AS r FROM n UNION SELECT e.y, reach.r FROM reach JOIN e ON e.x = reach.doc_id)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, coalesce(min(r), d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN reach USING (doc_id) GROUP BY d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     from quire.llm import quality_rules
 
-    return {"op7_warc": OP7_SQL, "op2_quality_rules": quality_rules.oracle_sql(), "op5_decontamination": OP5_SQL}
+    return {"op7_warc": OP7_SQL, "op2_quality_rules": quality_rules.oracle_sql(), "op5_decontamination": OP5_SQL, "op10_jaccard_join": OP10_SQL}

@@ -189,6 +189,10 @@ def test_one_of_each_keeps_rows_of_one_id_with_different_texts(spark):
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, a, "x"), (1, b, "y"), (2, c, "z"), (4, "", "w"), (4, None, "v"), (None, a, "u")], key=str)
 
 
+def test_join_against_sql(spark, compare):
+    compare(queries.op10_jaccard_join(spark, SMALL), queries.OP10_SQL, {"documents": f"{SMALL}/documents.parquet"})
+
+
 def test_join_of_odd_rows(spark, odd, nothing):
     assert jaccard_join.jaccard_join(nothing).count() == 0
     kept = jaccard_join.one_of_each(odd)
