@@ -175,42 +175,60 @@ def bm25(index: Index, query: Query, candidates: DataFrame | None = None, k1: fl
 
 
 def _scanned(words: DataFrame, query: Query, candidates: DataFrame | None, k1: float, b: float) -> DataFrame:
-    """bm25 over (rel_path, words), without postings: one pass for the counts, one narrow pass for the scores, no shuffle."""
-    terms = query.terms
-    tf = lambda t: F.size(F.filter("words", lambda w: w == t))
-    dl = F.size("words")
-    row = words.agg(F.count("*").alias("n"), F.avg(dl).alias("avgdl"), *(F.count_if(F.array_contains("words", t)).alias(f"df_{i}") for i, t in enumerate(terms))).first()
+    """bm25 over (rel_path, words), without postings: one pass for the counts, one narrow pass for the scores, no shuffle.
+
+    What a row's words say is worked out in one lambda and laid out by a generator, so that they are made once a pass.
+    """
+    terms = list(query.terms)
+    phrases = [c for c in query.positive if len(c) > 1]
+
+    def facts(w: Column) -> Column:
+        tf = {t: F.size(F.filter(w, _equal(t))) for t in terms}
+        columns = [F.size(w).alias("_dl"), *(tf[t].alias(f"_tf{i}") for i, t in enumerate(terms))]
+        for i, clause in enumerate(phrases):
+            places = F.sequence(F.lit(0), F.greatest(F.size(w) - len(clause), F.lit(0)))
+            held = _all(F.array_contains(w, t) for t in clause)
+            columns.append(F.coalesce(F.when(held, F.exists(places, _side_by_side(w, clause))), F.lit(False)).alias(f"_side{i}"))
+        columns.append((F.arrays_overlap(w, F.array(*map(F.lit, query.negative))) if query.negative else F.lit(False)).alias("_no"))
+        return F.struct(*columns)
+
+    rows = words.select("rel_path", F.inline(F.transform(F.array("words"), facts)))
+    row = rows.agg(F.count("*").alias("n"), F.avg("_dl").alias("avgdl"), *(F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(terms)))).first()
     n, avgdl = row["n"], row["avgdl"] or EMPTY_AVERAGE
-    counts = {t: row[f"df_{i}"] for i, t in enumerate(terms) if row[f"df_{i}"]}
+    counts = {t: row[f"df{i}"] for i, t in enumerate(terms) if row[f"df{i}"]}
     if not counts:
         return words.select("rel_path", F.lit(0.0).alias("score")).limit(0)
-    names = {t: f"_tf{i}" for i, t in enumerate(counts)}
-    keep = F.lit(False)
-    for t in counts:
-        keep = keep | F.array_contains("words", t)
-    if query.negative:
-        keep = keep & ~F.arrays_overlap("words", F.array(*map(F.lit, query.negative)))
-    docs = words.where(keep)
+    names = {t: F.col(f"_tf{i}") for i, t in enumerate(terms) if t in counts}
+    docs = rows.where(~F.col("_no") & _any(c > 0 for c in names.values()))
     if candidates is not None:
         docs = docs.join(candidates.select("rel_path").distinct(), "rel_path", "left_semi")
-    docs = docs.withColumns({"_dl": dl, **{c: tf(t) for t, c in names.items()}})
     score = F.lit(0.0)
     for t, c in names.items():
-        idf = F.log(F.lit(1.0) + (F.lit(n - counts[t] + 0.5) / F.lit(counts[t] + 0.5))) * float(terms[t])
-        score = score + idf * (F.col(c) * (k1 + 1)) / (F.col(c) + k1 * (1 - b + b * F.col("_dl") / avgdl))
+        idf = F.log(F.lit(1.0) + (F.lit(n - counts[t] + 0.5) / F.lit(counts[t] + 0.5))) * float(query.terms[t])
+        score = score + idf * (c * (k1 + 1)) / (c + k1 * (1 - b + b * F.col("_dl") / avgdl))
     for clause in query.positive:
         known = [t for t in clause if t in counts]
-        everything = _all(F.col(names[t]) > 0 for t in known) if known else F.lit(False)
+        everything = _all(names[t] > 0 for t in known) if known else F.lit(False)
         fits = everything
         if len(clause) > 1:
-            places = F.sequence(F.lit(0), F.greatest(F.col("_dl") - len(clause), F.lit(0)))
-            fits = everything & (F.coalesce(F.exists(places, _side_by_side(clause)), F.lit(False)) if len(known) == len(clause) else F.lit(False))
+            fits = everything & (F.col(f"_side{phrases.index(clause)}") if len(known) == len(clause) else F.lit(False))
         docs = docs.where(~everything | fits if query.optional else fits)
     return docs.select("rel_path", score.alias("score"))
 
 
-def _side_by_side(clause: list[str]):
-    return lambda i: _all(F.get("words", i + k) == t for k, t in enumerate(clause))
+def _equal(t: str):
+    return lambda x: x == t
+
+
+def _any(tests):
+    out = F.lit(False)
+    for t in tests:
+        out = out | t
+    return out
+
+
+def _side_by_side(words: Column, clause: list[str]):
+    return lambda i: _all(F.get(words, i + k) == t for k, t in enumerate(clause))
 
 
 def _adjacent(clause: list[str]) -> Column:
