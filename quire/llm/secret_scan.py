@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -114,13 +115,13 @@ def windows(text: str, a: int, b: int) -> np.ndarray:
 
 def findings(n: int = 2600, seed: int = 5, within: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Labelled findings from a seeded generator: (windows, labels, candidate classes); within: pieces of longer candidates."""
-    r = np.random.default_rng(seed)
+    r = random.Random(seed)
     hexa, upper, alnum, base64 = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
-    of = lambda chars, k: "".join(chars[i] for i in r.integers(0, len(chars), k))
-    word = lambda: of("aeiounrstlhdc", int(r.integers(2, 9)))
+    of = lambda chars, k: "".join(r.choices(chars, k=k))
+    word = lambda: of("aeiounrstlhdc", 2 + int(r.random() * 7))
     spoken = lambda: "".join(pick("", of("bcdfghjklmnpqrstvwxyz", 1), pick("st", "pr", "br", "cl", "tr", "ch", "sh", "th")) + of("aeiou", 1) + pick("", of("bcdgklmnprstvx", 1), pick("rt", "ck", "st", "nd", "ng", "ss")) for _ in range(k(1, 4)))
-    pick = lambda *x: x[int(r.integers(0, len(x)))]
-    k = lambda a, b: int(r.integers(a, b))
+    pick = lambda *x: x[int(r.random() * len(x))]
+    k = lambda a, b: a + int(r.random() * (b - a))
     secret = (
         lambda: of(alnum, k(18, 48)),
         lambda: of(base64, k(22, 60)) + pick("", "=", "=="),
