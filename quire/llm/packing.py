@@ -5,8 +5,8 @@ reaches the driver: lengths are placed longest first, each into the emptiest pac
 counts of a packing pattern move at once. Pieces then find their pattern by their rank among the pieces of equal
 length; no group of equal lengths ever meets in a task.
 
-Defined cases: a null or empty text is the end id alone; repeated documents are packed each for itself; an empty
-table gives an empty result; other columns are ignored.
+Defined cases: a null or empty text is the end id alone; a very long text is cut into as many pieces as it needs; repeated
+documents are packed each for itself; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -6,6 +6,7 @@ The library is asked for the class of each code point it meets (once per process
 from __future__ import annotations
 
 import functools
+import json
 
 import numpy as np
 
@@ -41,10 +42,29 @@ def byte_characters() -> str:
     return "".join(chr(b if b in plain else next(rest)) for b in range(256))
 
 
+def checked(path: str) -> dict:
+    """The file's settings, if it is plain byte-level BPE, whose cuts and merges are those made here; else a ValueError."""
+    with open(path, encoding="utf-8") as f:
+        settings = json.load(f)
+    model, cut = settings["model"], settings.get("pre_tokenizer") or {}
+    plain = {
+        "the model is BPE": model.get("type", "BPE") == "BPE" and "merges" in model,
+        "there is no normalizer": settings.get("normalizer") is None,
+        "pre-tokens are byte-level, by the pattern, without a space put before": cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True),
+        "no merge is left out or passed over": not model.get("dropout") and not model.get("ignore_merges") and not model.get("byte_fallback"),
+        "symbols have no prefix or suffix": not model.get("continuing_subword_prefix") and not model.get("end_of_word_suffix"),
+        "added tokens are taken as they stand": not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in settings.get("added_tokens", [])),
+    }
+    if missing := [k for k, v in plain.items() if not v]:
+        raise ValueError(f"{path} isn't plain byte-level BPE; it would have to hold that " + ", ".join(missing))
+    return settings
+
+
 class Cutter:
     """Pre-token cuts for one tokenizer file."""
 
     def __init__(self, path: str):
+        checked(path)
         self.path, self.tokenizer = path, library(path)
         self.cut = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.classes = np.full(0x110000, UNKNOWN, np.uint8)

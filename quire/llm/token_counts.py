@@ -5,20 +5,21 @@ every row, merges all its occurrences in that row (left to right, without overla
 left; what survives is counted. The tokenizers library gives the vocabulary and the cuts, and never encodes.
 
 Defined cases: a null text counts as empty (0 tokens, 0 bytes); special strings in a text count one token each, as the
-library does by default; repeated rows give repeated rows; columns other than the id and the text are ignored.
+library does by default; a very long text is counted whole, from parts cut where a pre-token starts for certain, and a
+pre-token of any length is merged whole; repeated rows give repeated rows; an empty table gives an empty result; columns
+other than the id and the text are ignored.
 """
 
 from __future__ import annotations
 
 import functools
-import json
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.pretokens import CHUNK, Cutter, WordCache, byte_characters
+from quire.llm.pretokens import CHUNK, Cutter, WordCache, byte_characters, checked
 from quire.llm.shared import HashTable, flat, ragged, slices
 
 NEVER = np.int32(2**31 - 1)
@@ -28,14 +29,13 @@ class Merges:
     """The merge table of a byte-level BPE file."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+        model = checked(path)["model"]
         vocab = model["vocab"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         left, right, whole = (np.fromiter(map(vocab.__getitem__, x), np.int64, len(pairs)) for x in ([a for a, _ in pairs], [b for _, b in pairs], [a + b for a, b in pairs]))
         self.bytes = np.array([vocab[c] for c in byte_characters()], np.int32)
         keys, first = np.unique(self.key(left, right), return_index=True)
-        self.table, self.whole = HashTable(19), whole.astype(np.int32)
+        self.table, self.whole = HashTable(max(10, (2 * len(keys)).bit_length())), whole.astype(np.int32)
         self.table.put(keys, first)
 
     @staticmethod

@@ -167,3 +167,17 @@ def test_pretokens_of_one_hash_are_told_apart(monkeypatch):
         data, off = pretokens.flat(pa.array(texts))
         ids, at = encoder.encode(data, off)
         assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [exact(t) for t in texts]
+
+
+@pytest.mark.parametrize("change", [{"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"model": {"type": "WordPiece"}}, {"model": {"dropout": 0.1}}])
+def test_other_tokenizers_are_refused(tmp_path, change):
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        settings = json.load(f)
+    for k, v in change.items():
+        settings[k] = {**settings[k], **v} if k == "model" else v
+    (tmp_path / "t.json").write_text(json.dumps(settings))
+    with pytest.raises(ValueError, match="byte-level"):
+        pretokens.checked(str(tmp_path / "t.json"))
+    assert pretokens.checked(PATH)["model"]["vocab"]
