@@ -91,58 +91,77 @@ def constraint_rows(schema: Schema) -> list[tuple]:
     return out
 
 
+RULE = "struct<name: string, kind: string, pattern: string, low: int, high: int, values: array<string>, item_pattern: string, required: boolean, implied: boolean>"
+
+
+def _problem(rule: Column, p: Column) -> Column:
+    """What is wrong with a property (a row of the properties array, or null) under one rule; null if nothing is."""
+    items, kind = p["items"], rule["kind"]
+    text = F.get(items, F.lit(0))["text"]
+    plain = p["type"].isin("text", "date", "datetime", "datetime-tz")
+    # a quoted date or time is text of that shape
+    clock = r"T([01]\d|2[0-3]):[0-5]\d:[0-5]\d"
+    day = F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd").isNotNull()
+    shape = lambda pattern: plain & F.coalesce(text.rlike(pattern) & day, F.lit(False))
+    not_like = lambda value, pattern: pattern.isNotNull() & ~F.regexp_like(value, pattern)
+    found = (
+        F.when(kind == "string", F.when(~plain, "must be text").when(F.length(text) < rule["low"], "is too short").when(F.length(text) > rule["high"], "is too long").when(not_like(text, rule["pattern"]), "doesn't have the pattern"))
+        .when(kind == "date", F.when(~shape(r"^\d{4}-\d{2}-\d{2}$"), "must be a date"))
+        .when(kind == "datetime", F.when(~shape(rf"^\d{{4}}-\d{{2}}-\d{{2}}{clock}$"), "must be a date with a time"))
+        .when(kind == "datetime-tz", F.when(~shape(rf"^\d{{4}}-\d{{2}}-\d{{2}}{clock}(Z|[+-]([01]\d|2[0-3]):[0-5]\d)$"), "must be a time with its zone"))
+        .when(kind == "number", F.when(p["type"] != "number", "must be a number"))
+        .when(kind == "boolean", F.when(p["type"] != "checkbox", "must be true or false"))
+        .when(kind == "list", F.when(p["type"] != "list", "must be a list"))
+        .when(kind == "enum", F.when(~(plain & F.coalesce(F.array_contains(rule["values"], text), F.lit(False))), "isn't one of the values"))
+        .when(kind == "string-list", F.when(p["type"] != "list", "must be a list").when(F.exists(items, lambda i: i["kind"] != "text"), "must hold texts only").when(F.exists(items, lambda i: not_like(i["text"], rule["item_pattern"])), "holds an item without the pattern"))
+    )
+    empty = p["json"].isin("null", "[]")
+    return (
+        F.when(p.isNull(), F.when(rule["required"], F.concat(F.lit("missing property: "), rule["name"])))
+        .when(empty, F.when(rule["required"], F.concat(F.lit("empty property: "), rule["name"])))
+        .when(~rule["implied"] & found.isNotNull(), F.concat(rule["name"], F.lit(" "), found))
+    )
+
+
 def schema_violations(notes: DataFrame, schema: Schema, strict: bool = False) -> DataFrame:
-    """Findings under the rule SCHEMA, at line 1: one at most for each property."""
+    """Findings under the rule SCHEMA, at line 1: one at most for each property. One pass over the notes.
+
+    The rules of each declared type are one row of a small table (as many rows as the settings declare types).
+    """
     spark = notes.sparkSession
     soft = "error" if strict else "warning"
     typed = with_type(good(notes), schema)
-    parts = [
-        _rows(typed.where("own_type IS NULL AND type_row IS NOT NULL AND type_row.type <> 'null'"), "SCHEMA", "error", F.lit("type must be text")),
-        _rows(typed.where("own_type IS NULL AND type_row IS NULL AND bound IS NULL"), "SCHEMA", soft, F.lit("no type")),
-        _rows(typed.where("own_type IS NOT NULL AND bound IS NOT NULL AND own_type <> bound"), "SCHEMA", "warning", F.concat(F.lit("type is "), F.col("own_type"), F.lit(" where the path asks for "), F.col("bound"))),
-        _rows(typed.where(F.exists("tags", lambda t: t.contains(","))), "SCHEMA", "warning", F.lit("a tag holds a comma")),
+    per: dict[str, list] = {}
+    for row in constraint_rows(schema):
+        per.setdefault(row[0], []).append(row[1:])
+    table = []
+    for name in [None, *schema.types]:
+        e = schema.effective(name)
+        table.append((name or "", per.get(name or "", []), bool(e["declared"]), e["sections"]))
+    rules = spark.createDataFrame(table, f"schema_type string, rules array<{RULE}>, closed boolean, wanted array<string>")
+    rows = typed.withColumn("schema_type", F.coalesce("schema_type", F.lit(""))).join(F.broadcast(rules), "schema_type", "left")
+    finding = lambda severity, message: F.struct(F.lit(severity).alias("severity"), (F.lit(message) if isinstance(message, str) else message).alias("message"))
+    untyped, declares = F.col("own_type").isNull(), F.col("type_row").isNotNull()
+    whole = [
+        F.when(untyped & (F.col("type_row.type") != "null"), finding("error", "type must be text")),
+        F.when(untyped & ~declares & F.col("bound").isNull(), finding(soft, "no type")),
+        F.when(F.col("own_type") != F.col("bound"), finding("warning", F.concat(F.lit("type is "), F.col("own_type"), F.lit(" where the path asks for "), F.col("bound")))),
+        F.when(F.exists("tags", lambda t: t.contains(",")), finding("warning", "a tag holds a comma")),
     ]
-    columns = "schema_type string, name string, kind string, pattern string, low int, high int, values array<string>, item_pattern string, required boolean, implied boolean"
-    rules = F.broadcast(spark.createDataFrame(constraint_rows(schema), columns))  # as many rows as the settings declare
-    keyed = typed.select("rel_path", F.coalesce("schema_type", F.lit("")).alias("schema_type"), "properties")
-    props = keyed.select("rel_path", "schema_type", F.explode("properties").alias("p")).select("rel_path", "schema_type", "p.*")
-    empty = F.col("json").isin("null", "[]")
-    asked = keyed.select("rel_path", "schema_type", F.transform("properties", lambda p: p["name"]).alias("names")).join(rules.where("required"), "schema_type")
-    parts.append(_rows(asked.where(~F.array_contains("names", F.col("name"))), "SCHEMA", "error", F.concat(F.lit("missing property: "), F.col("name"))))
-    both = props.join(rules, ["schema_type", "name"])
-    parts.append(_rows(both.where(F.col("required") & empty), "SCHEMA", "error", F.concat(F.lit("empty property: "), F.col("name"))))
-    text = F.get("items", F.lit(0))["text"]
-    plain = F.col("type").isin("text", "date", "datetime", "datetime-tz")
-    kind = F.col("kind")
-    # a quoted date or time is text of that shape
-    whole_date = F.coalesce(text.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(text, "yyyy-MM-dd").isNotNull(), F.lit(False))
-    clock = r"T([01]\d|2[0-3]):[0-5]\d:[0-5]\d"
-    day = F.try_to_date(F.substring(text, 1, 10), "yyyy-MM-dd").isNotNull()
-    problem = (
-        F.when(kind == "string", F.when(~plain, F.lit("must be text")).when(F.length(text) < F.col("low"), F.lit("is too short")).when(F.length(text) > F.col("high"), F.lit("is too long")).when(F.col("pattern").isNotNull() & ~F.expr("regexp_like(items[0].text, pattern)"), F.lit("doesn't have the pattern")))
-        .when(kind == "date", F.when(~(plain & whole_date), F.lit("must be a date")))
-        .when(kind == "datetime", F.when(~(plain & F.coalesce(text.rlike(rf"^\d{{4}}-\d{{2}}-\d{{2}}{clock}$") & day, F.lit(False))), F.lit("must be a date with a time")))
-        .when(kind == "datetime-tz", F.when(~(plain & F.coalesce(text.rlike(rf"^\d{{4}}-\d{{2}}-\d{{2}}{clock}(Z|[+-]([01]\d|2[0-3]):[0-5]\d)$") & day, F.lit(False))), F.lit("must be a time with its zone")))
-        .when(kind == "number", F.when(F.col("type") != "number", F.lit("must be a number")))
-        .when(kind == "boolean", F.when(F.col("type") != "checkbox", F.lit("must be true or false")))
-        .when(kind == "list", F.when(F.col("type") != "list", F.lit("must be a list")))
-        .when(kind == "enum", F.when(~(plain & F.coalesce(F.array_contains("values", text), F.lit(False))), F.lit("isn't one of the values")))
-        .when(kind == "string-list", F.when(F.col("type") != "list", F.lit("must be a list")).when(F.exists("items", lambda i: i["kind"] != "text"), F.lit("must hold texts only")).when(F.col("item_pattern").isNotNull() & F.exists("items", lambda i: ~F.regexp_like(i["text"], F.col("item_pattern"))), F.lit("holds an item without the pattern")))
-    )
-    parts.append(_rows(both.where(~empty & ~F.col("implied")).withColumn("problem", problem).where("problem IS NOT NULL"), "SCHEMA", "error", F.concat(F.col("name"), F.lit(" "), F.col("problem"))))
-    closed = [n or "" for n in [None, *schema.types] if schema.effective(n)["declared"]]
-    if closed:
-        open_ = props.where(F.col("schema_type").isin(*closed) & ~F.col("name").isin("type", "tags", "title")).join(rules.select("schema_type", "name"), ["schema_type", "name"], "left_anti")
-        parts.append(_rows(open_, "SCHEMA", soft, F.concat(F.lit("undeclared property: "), F.col("name"))))
-    wanted = [(n or "", s) for n in [None, *schema.types] if (s := schema.effective(n)["sections"])]
-    if wanted:
-        order = spark.createDataFrame(wanted, "schema_type string, wanted array<string>")
+    named = lambda r: F.get(F.filter("properties", lambda p: p["name"] == r["name"]), F.lit(0))
+    problems = F.transform("rules", lambda r: finding("error", F.element_at(F.transform(F.array(named(r)), lambda p: _problem(r, p)), 1)))
+    known = lambda p: p["name"].isin("type", "tags", "title") | F.exists("rules", lambda r: r["name"] == p["name"])
+    open_ = F.filter("properties", lambda p: F.col("closed") & ~known(p))
+    parts = [F.array(*whole), problems, F.transform(open_, lambda p: finding(soft, F.concat(F.lit("undeclared property: "), p["name"])))]
+    if any(row[3] for row in table):
         # a cursor through the wanted headings, moved on by the note's headings
-        fold = typed.select("rel_path", F.coalesce("schema_type", F.lit("")).alias("schema_type"), F.transform("sections", lambda s: F.concat(F.repeat(F.lit("#"), s["level"]), F.lit(" "), F.coalesce(s["heading"], F.lit("")))).alias("held")).join(F.broadcast(order), "schema_type")
+        held = F.transform("sections", lambda s: F.concat(F.repeat(F.lit("#"), s["level"]), F.lit(" "), F.coalesce(s["heading"], F.lit(""))))
         same = lambda w, h: (w == h) | (w == F.regexp_replace(h, "^#+ ", ""))
-        reached = F.aggregate("held", F.lit(0), lambda i, h: F.when(same(F.get("wanted", i), h), i + 1).otherwise(i))
-        parts.append(_rows(fold.withColumn("i", reached).where("i < size(wanted)"), "SCHEMA", "error", F.concat(F.lit("missing section, or out of order: "), F.get("wanted", F.col("i")))))
-    return _union(parts)
+        reached = F.aggregate(held, F.lit(0), lambda i, h: F.when(same(F.get("wanted", i), h), i + 1).otherwise(i))
+        at = F.get("wanted", reached)
+        parts.append(F.array(F.when(at.isNotNull(), finding("error", F.concat(F.lit("missing section, or out of order: "), at)))))
+    found = F.filter(F.concat(*(F.coalesce(x, F.array().cast("array<struct<severity: string, message: string>>")) for x in parts)), lambda f: f["message"].isNotNull())
+    return rows.select("rel_path", F.inline(found)).select(F.col("rel_path").alias("file"), F.lit("SCHEMA").alias("rule_id"), "severity", F.lit(1).alias("line"), "message")
 
 
 def parse_violations(notes: DataFrame) -> DataFrame:
