@@ -6,6 +6,8 @@ A note is optional YAML between `---` lines, then lines that are code, comment o
 
 from __future__ import annotations
 
+import copy
+import functools
 import json
 import re
 from dataclasses import dataclass, field
@@ -75,7 +77,13 @@ def _plain(value):
 
 
 def parse_yaml(text: str) -> tuple[dict, str | None]:
-    """(properties, error)."""
+    """(properties, error). Edits read the same text twice in a row, so the last ones are kept."""
+    properties, error = _parsed(text)
+    return copy.deepcopy(properties), error
+
+
+@functools.lru_cache(32)
+def _parsed(text: str) -> tuple[dict, str | None]:
     try:
         value = yaml.load(text, Loader)
     except (yaml.YAMLError, ValueError, RecursionError) as e:

@@ -489,3 +489,14 @@ def test_search_of_postings_and_of_words_agree(spark):
     for q in ("ab cd", "ab OR zz", '"ab cd" ef', '"ab cd" OR "ef gh" kl', "ab -cd", 'ab ab -"ef gh"', "zz", '"ab zz"', "-ab", '"ab zz" OR cd'):
         assert rows(index, q) == rows(stored, q)
         assert rows(index, q, docs.where("rel_path < 'd4'")) == rows(stored, q, docs.where("rel_path < 'd4'"))
+
+
+def test_plain_values_are_written_as_yaml_writes_them():
+    import yaml
+
+    for value in ("open", "a b", "yes", "No", "x-1", "a/b_", "b ", " a", "1a", "null", "~", "a: b", "a #b", "-", True, False, 0, -7, 10**20, "é", ""):
+        for key in ("status", "on", "my key", "k:x"):
+            assert mutate._dump(key, value) == yaml.safe_dump({key: value}, allow_unicode=True, default_flow_style=False, sort_keys=False, width=1 << 30).rstrip("\n").split("\n")
+    first, _ = M.parse_yaml("a: [1]")
+    first["a"].append(2)
+    assert M.parse_yaml("a: [1]") == ({"a": [1]}, None)
