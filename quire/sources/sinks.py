@@ -57,22 +57,72 @@ def write_atomic(root: str, rel_path: str, text: str) -> None:
         raise
 
 
-def apply(plan: DataFrame, root: str) -> int:
+OUTCOME = "rel_path string, state string"
+
+
+def _outcomes(rows: DataFrame, act, report: str | None) -> DataFrame:
+    """(rel_path, state) of act(batch rows), which runs once: the states are written to `report`, or counted at once."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            states = [act(*r) for r in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(states, pa.string())], ["rel_path", "state"])
+
+    out = rows.mapInArrow(run, OUTCOME)
+    if report:
+        out.write.parquet(report)
+        out = rows.sparkSession.read.schema(OUTCOME).parquet(report)
+    return out
+
+
+def apply(plan: DataFrame, root: str, report: str | None = None) -> int:
     """Write the new texts of a plan (rel_path, before, after) to a vault that all executors share; files that changed since are left.
 
-    Returns how many were written. Writing again what is there already is harmless, so a lost task may run again.
+    Returns how many hold their new text then; `report` is a new folder for each file's state: written, there, changed or
+    failed. Writing again what is there already is harmless, so a lost task may run again.
     """
 
-    def write(rows):
-        for r in rows:
-            path = os.path.join(root, r["rel_path"])
-            with open(path, encoding="utf-8", newline="") as f:
+    def write(rel_path, before, after):
+        try:
+            with open(os.path.join(root, rel_path), encoding="utf-8", newline="") as f:
                 now = f.read()
-            if now == r["before"]:
-                write_atomic(root, r["rel_path"], r["after"])
-                yield (r["rel_path"], True)
-            else:
-                yield (r["rel_path"], now == r["after"])
+            if now == before:
+                write_atomic(root, rel_path, after)
+                return "written"
+            return "there" if now == after else "changed"
+        except (OSError, UnicodeDecodeError):
+            return "failed"
 
     changed = plan.where(~F.col("before").eqNullSafe(F.col("after"))).select("rel_path", "before", "after")
-    return sum(done for _, done in changed.rdd.mapPartitions(write).collect())
+    return _outcomes(changed, write, report).agg(F.count_if(F.col("state").isin("written", "there"))).first()[0]
+
+
+def apply_moves(moves: DataFrame, root: str, report: str) -> bool:
+    """Rename the files of moves (rel_path, dest, state 'move') in a shared vault; if one fails, those done go back.
+
+    Returns whether all are at their new place. A destination that is there is never overwritten; a move that a lost task
+    has done already counts as done.
+    """
+
+    def rename(old: str, new: str) -> str:
+        a, b = (os.path.realpath(os.path.join(root, x)) for x in (old, new))
+        if any(not x.startswith(os.path.realpath(root) + os.sep) for x in (a, b)):
+            return "failed"
+        try:
+            os.makedirs(os.path.dirname(b), exist_ok=True)
+            if not os.path.exists(a):
+                return "moved" if os.path.exists(b) else "failed"
+            os.link(a, b)  # fails where the destination is there
+            os.unlink(a)
+            return "moved"
+        except OSError:
+            return "failed"
+
+    going = moves.where("state = 'move'").select("rel_path", "dest")
+    done = _outcomes(going, rename, report)
+    if done.where("state <> 'moved'").isEmpty():
+        return True
+    back = going.join(done.where("state = 'moved'").select("rel_path"), "rel_path").select(F.col("dest").alias("rel_path"), F.col("rel_path").alias("dest"))
+    _outcomes(back, rename, f"{report}-undone")
+    return False

@@ -500,3 +500,29 @@ def test_plain_values_are_written_as_yaml_writes_them():
     first, _ = M.parse_yaml("a: [1]")
     first["a"].append(2)
     assert M.parse_yaml("a: [1]") == ({"a": [1]}, None)
+
+
+def test_moves_are_undone_if_one_fails(spark, tmp_path):
+    top = tmp_path / "v"
+    for name in ("a.md", "b.md", "c.md", "in/c.md"):
+        os.makedirs((top / name).parent, exist_ok=True)
+        (top / name).write_text(name)
+    rows = lambda *names: spark.createDataFrame([(n, f"in/{n}", "move") for n in names], "rel_path string, dest string, state string")
+    held = lambda: sorted(os.path.relpath(os.path.join(d, f), top) for d, _, fs in os.walk(top) for f in fs)
+    before = held()
+    assert not sinks.apply_moves(rows("a.md", "b.md", "c.md"), str(top), f"file://{tmp_path}/r1")
+    assert held() == before and (top / "in/c.md").read_text() == "in/c.md"
+    assert not sinks.apply_moves(rows("no.md"), str(top), f"file://{tmp_path}/r2")
+    assert sinks.apply_moves(rows("a.md", "b.md"), str(top), f"file://{tmp_path}/r3")
+    assert held() == ["c.md", "in/a.md", "in/b.md", "in/c.md"]
+    assert sinks.apply_moves(rows("a.md"), str(top), f"file://{tmp_path}/r4")  # done already
+
+
+def test_states_of_written_files(spark, tmp_path):
+    top = tmp_path / "v"
+    os.makedirs(top)
+    for name, text in (("a.md", "1"), ("b.md", "2"), ("c.md", "x")):
+        (top / name).write_text(text)
+    plan = spark.createDataFrame([("a.md", "1", "2"), ("b.md", "1", "2"), ("c.md", "1", "2"), ("d.md", "1", "2"), ("e.md", "1", "1")], "rel_path string, before string, after string")
+    assert sinks.apply(plan, str(top), f"file://{tmp_path}/report") == 2
+    assert {r.rel_path: r.state for r in spark.read.parquet(f"{tmp_path}/report").collect()} == {"a.md": "written", "b.md": "there", "c.md": "changed", "d.md": "failed"}
