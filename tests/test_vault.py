@@ -551,3 +551,7 @@ def test_broken_anchors_in_any_order_of_links(reordered_links):
     links, paths = reordered_links
     heads = paths.selectExpr("rel_path", "concat('H', CAST(regexp_extract(rel_path, '([0-9]+)', 1) AS INT) - 1) AS heading").where("rel_path <> 'a/7.md'")
     assert [(r.rel_path, r.path) for r in L.broken_anchors(L.resolve(links, paths), heads).collect()] == [("a/6.md", "a/7.md")]
+
+
+def test_health_in_any_order_of_links(reordered_links):
+    assert L.health(L.resolve(*reordered_links)).first().asDict() == {"total": 300, "broken": 0, "out_of_vault": 1}
