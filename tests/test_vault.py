@@ -555,3 +555,9 @@ def test_broken_anchors_in_any_order_of_links(reordered_links):
 
 def test_health_in_any_order_of_links(reordered_links):
     assert L.health(L.resolve(*reordered_links)).first().asDict() == {"total": 300, "broken": 0, "out_of_vault": 1}
+
+
+def test_verdicts_in_any_order_of_links(reordered_links):
+    found = {r.rel_path: (r.path, r.verdict) for r in L.resolve(*reordered_links).collect()}
+    want = {f"a/{i}.md": (f"a/{i + 1}.md", "resolved" if i % 2 else "short-form") for i in range(299)}
+    assert found == want | {"a/299.md": (None, "out-of-vault")}
