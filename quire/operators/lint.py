@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 
 from quire.functions.markdown import FENCE, TASK, heading, is_date, is_datetime, is_datetime_tz, link_spans
 from quire.functions.text import SEMVER, damerau, glob_regex
+from quire.model import LINKS, META, SECTIONS, TASKS
 from quire.operators.aggregate import repeated_numbers
-from quire.sources.vault import child, good
+from quire.sources.vault import by_note, child, good, note_row
 
 VIOLATION = "file string, rule_id string, severity string, line int, message string"
+SCANNED = f"{META}, sections {SECTIONS}, tasks {TASKS}, links {LINKS}, findings array<struct<rule_id: string, severity: string, line: int, message: string>>"
 KINDS = ("string", "date", "datetime", "datetime-tz", "number", "boolean", "list", "enum", "string-list")
 
 
@@ -333,23 +335,48 @@ def skill_findings(path: str, properties: dict[str, str], lines: list[dict]):
         yield "SKILL003", "warning", 1, "more than 500 lines"
 
 
+def note_findings(path: str, lines: list[dict], text: str, properties: list[dict], rules: tuple[str, ...], profiles: tuple[str, ...]) -> list[tuple]:
+    """What the line rules and the profiles find in one note."""
+    found = [f for f in body_findings(lines, text) if f[0] in rules]
+    name = path.rsplit("/", 1)[-1]
+    if "changelog" in profiles and name.lower() == "changelog.md":
+        found += changelog_findings(lines)
+    if "okf" in profiles:
+        found += okf_findings(path, lines)
+    if "skills" in profiles and name == "SKILL.md":
+        found += skill_findings(path, {p["name"]: p["items"][0]["text"] for p in properties if p["items"]}, lines)
+    return found
+
+
+def scanned(files: DataFrame, rules: tuple[str, ...] = BODY_RULES, profiles: tuple[str, ...] = ()) -> DataFrame:
+    """Notes from (rel_path, modified, text) with their line findings in place of lines and text, in one pass over each text.
+
+    body_violations hands these findings on, so lint needs nothing else of such notes.
+    """
+
+    def row(path, modified, text):
+        note = note_row(path, modified, text)
+        lines, text = note.pop("lines"), note.pop("text")
+        found = [] if note["parse_error"] is not None else note_findings(path, lines, text or "", note["properties"], rules, profiles)
+        return note | {"findings": [dict(zip(("rule_id", "severity", "line", "message"), f, strict=True)) for f in found]}
+
+    return by_note(files, row, SCANNED)
+
+
 def body_violations(notes: DataFrame, rules: tuple[str, ...] = BODY_RULES, profiles: tuple[str, ...] = ()) -> DataFrame:
-    """Findings of the line rules, and of the profiles changelog, okf and skills where they apply by file name."""
+    """Findings of the line rules, and of the profiles changelog, okf and skills where they apply by file name.
+
+    Scanned notes have theirs already, of the rules and profiles that they were scanned with.
+    """
+    if "findings" in notes.columns:
+        return good(notes).select(F.col("rel_path").alias("file"), F.inline("findings"))
 
     def check(batches):
         schema = pa.schema([("file", pa.string()), ("rule_id", pa.string()), ("severity", pa.string()), ("line", pa.int32()), ("message", pa.string())])
         for batch in batches:
             out = []
             for path, lines, text, props in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                lines, found = lines or [], []
-                found += [f for f in body_findings(lines, text or "") if f[0] in rules]
-                name = path.rsplit("/", 1)[-1]
-                if "changelog" in profiles and name.lower() == "changelog.md":
-                    found += changelog_findings(lines)
-                if "okf" in profiles:
-                    found += okf_findings(path, lines)
-                if "skills" in profiles and name == "SKILL.md":
-                    found += skill_findings(path, {p["name"]: p["items"][0]["text"] for p in props or () if p["items"]}, lines)
+                found = note_findings(path, lines or [], text or "", props or [], rules, profiles)
                 out += [{"file": path, "rule_id": r, "severity": s, "line": n, "message": m} for r, s, n, m in found]
             yield pa.RecordBatch.from_pylist(out, schema)
 
@@ -435,6 +462,11 @@ def overridden(violations: DataFrame, overrides: dict[str, dict]) -> DataFrame:
 
 def lint(notes: DataFrame, schema: Schema, resolved: DataFrame | None = None, options: LintOptions | None = None) -> DataFrame:
     """All findings, by file, line and rule."""
+    return findings(notes, schema, resolved, options).orderBy("file", "line", "rule_id", "message")
+
+
+def findings(notes: DataFrame, schema: Schema, resolved: DataFrame | None = None, options: LintOptions | None = None) -> DataFrame:
+    """All findings in no order, for groups and counts."""
     o = options or LintOptions()
     parts = [parse_violations(notes), body_violations(notes, profiles=o.profiles), date_violations(notes)]
     if schema:
@@ -448,7 +480,7 @@ def lint(notes: DataFrame, schema: Schema, resolved: DataFrame | None = None, op
     out = overridden(_union(parts), o.overrides)
     for glob in o.ignore:
         out = out.where(~F.col("file").rlike(glob_regex(glob)))
-    return out.orderBy("file", "line", "rule_id", "message")
+    return out
 
 
 #: Salts over which a rule's first findings are sought.
