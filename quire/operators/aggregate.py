@@ -69,15 +69,16 @@ def rare_values(values: DataFrame, most: int = 50) -> DataFrame:
     return near.groupBy("name", "value").agg(best.alias("suggestion")).orderBy("name", "value")
 
 
-def common_titles(matches: DataFrame, documents: int, common_words: set[str] = frozenset()) -> DataFrame:
+def common_titles(matches: DataFrame, documents: int, common_words: set[str] = frozenset(), least: int | None = None) -> DataFrame:
     """(key, surface, count, share): titles met so often that linking them all is doubtful, or that are plain words.
 
-    Over rows (surface): the most frequent spelling stands for a title; the bound is 25 or a fortieth of the documents.
+    Over rows (surface): the most frequent spelling stands for a title; the bound is `least`, else 25 or a fortieth of the
+    documents, rounded up.
     """
     per = matches.groupBy(ascii_lower(F.col("surface")).alias("key"), "surface").agg(F.count("*").alias("n"))
     rows = per.groupBy("key").agg(F.min_by("surface", F.struct((-F.col("n")).alias("m"), F.col("surface"))).alias("surface"), F.sum("n").alias("count"))
     total = rows.agg(F.sum("count").alias("total"))
-    often = F.col("count") >= max(25, -(-documents // 40))
+    often = F.col("count") >= (max(25, -(-documents // 40)) if least is None else least)
     kept = rows.where(often | F.col("key").isin(*sorted(common_words)) if common_words else often)
     return kept.join(F.broadcast(total), F.lit(True)).select("key", "surface", "count", percent_of(F.col("count"), F.col("total")).alias("share"))
 

@@ -585,3 +585,14 @@ def test_word_edges_in_expressions(spark):
     held = lambda q: [r.title for r in titles.where(X.title_predicate(q, F.col("title"))).collect()]
     assert held(r"/^le\b/") == ["Le mot", "Le", "Leè"] and held(r"/^le\B/") == ["Lent", "le_x"] and held(r"/\ble$/") == ["Le", "éle"]
     assert X.checked_regex(r"[\b]\\b\Q\b\E") == r"[\b]\\b\Q\b\E"
+
+
+def test_common_titles_at_the_bound_of_the_sql(spark, compare, tmp_path):
+    from quire.plans.queries import ORACLES, QUERIES
+
+    # a fortieth of 1,041 is 26.025: the SQL takes words met 26 times
+    docs = spark.range(1041).selectExpr("id AS doc_id", "concat('w', id, CASE WHEN id < 26 THEN ' Edge' WHEN id < 51 THEN ' below' ELSE '' END) AS text", "'s' AS source")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    found = QUERIES["common_titles"](spark, str(tmp_path))
+    assert [r.key for r in found.collect()] == ["edge"]
+    compare(found, ORACLES["common_titles"], {"documents": f"{tmp_path}/documents.parquet/*.parquet"})
