@@ -578,7 +578,8 @@ def one_of_each(docs: DataFrame, words_each: int = 5, percent: int = 80) -> Data
     are documents of their own; rows without an id stay as they are and never stand for others.
     """
     joined = _joined(docs, words_each, percent).where(F.col("doc_id").isNotNull())
-    heads = joined.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("m")).select("m.doc_id", "m.key").distinct()
+    # two branches below read them: one plan of all that leads to them would start all its exchanges at once, twice
+    heads = materialise(joined.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("m")).select("m.key").distinct(), "heads")
     key, row = fresh(docs, "key"), fresh(docs, "row")
     known = docs.withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))).withColumn(row, F.xxhash64(*(F.to_json(F.struct(c)) if _unhashable(docs.schema[c].dataType) else F.col(c) for c in docs.columns)))
     kept = known.where(F.col("doc_id").isNotNull()).join(heads.select(F.col("key").alias(key)), key, "left_semi")

@@ -44,3 +44,26 @@ def test_stages_take_odd_rows(spark, odd):
 def test_run_gives_what_the_stages_give(spark):
     assert C.run(spark, SMALL).count() > 0
     assert jaccard_join and quality_classifier
+
+
+def test_one_of_each_reads_its_heads(spark):
+    # the last plan starts from the heads, so it doesn't start the exchanges that lead to them, for each branch anew
+    plan = jaccard_join.one_of_each(read_table(spark, SMALL, "documents"))._jdf.queryExecution().executedPlan().toString()
+    assert "quire-heads-" in plan and "quire-links-" not in plan and "quire-sets-" not in plan
+
+
+def test_free_memory_of_the_driver_goes_back(spark):
+    from quire.llm.shared import materialise
+
+    free = spark._jvm.java.util.ArrayList()
+    for _ in range(2000):
+        free.add(spark._jvm.java.util.zip.Deflater())  # about 256 KB each, outside the heap, between blocks that stay
+    pid = spark._jvm.java.lang.ProcessHandle.current().pid()
+    size = lambda: int(re.search(r"Rss:\s+(\d+)", open(f"/proc/{pid}/smaps_rollup").read())[1])
+    last = free.get(1999)
+    for i in range(1999):
+        free.get(i).end()
+    before = size()
+    materialise(spark.range(3), "small")
+    last.end()
+    assert size() < before - 100_000
